@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tracegrid.llm import pii, secrets
+from tracegrid.llm import pii, secrets, simhash
 
 
 def queries() -> dict:
-    return {"op2_secrets": secrets.query, "op7_pii": pii.query}
+    return {"op2_secrets": secrets.query, "op4_simhash": simhash.query, "op7_pii": pii.query}
 
 
 def oracle_sql() -> dict[str, str]:
