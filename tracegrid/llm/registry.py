@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tracegrid.llm import packing, pii, secrets, simhash
+from tracegrid.llm import packing, pii, secrets, simhash, sketches
 
 
 def queries() -> dict:
-    return {"op2_secrets": secrets.query, "op4_simhash": simhash.query, "op7_pii": pii.query, "op10_packing": packing.query}
+    return {"op2_secrets": secrets.query, "op3_sketches": sketches.query, "op4_simhash": simhash.query, "op7_pii": pii.query, "op10_packing": packing.query}
 
 
 def oracle_sql() -> dict[str, str]:
