@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tracegrid.llm import packing, pii, secrets, simhash, sketches
+from tracegrid.llm import packing, pii, secrets, simhash, sketches, substrings, warc
 
 
 def queries() -> dict:
-    return {"op2_secrets": secrets.query, "op3_sketches": sketches.query, "op4_simhash": simhash.query, "op7_pii": pii.query, "op10_packing": packing.query}
+    return {"op2_secrets": secrets.query, "op3_sketches": sketches.query, "op4_simhash": simhash.query, "op7_pii": pii.query, "op8_warc": warc.query, "op9_substrings": substrings.query, "op10_packing": packing.query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": secrets.oracle(), "op7_pii": pii.oracle()}
+    return {"op2_secrets": secrets.oracle(), "op7_pii": pii.oracle(), "op8_warc": warc.ORACLE, "op9_substrings": substrings.ORACLE}
