@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tracegrid.llm import mixing, packing, pii, secrets, simhash, sketches, substrings, warc
+from tracegrid.llm import forest_dedup, mixing, packing, pii, secrets, simhash, sketches, substrings, warc
 
 
 def queries() -> dict:
-    return {"op2_secrets": secrets.query, "op3_sketches": sketches.query, "op4_simhash": simhash.query, "op6_mixing": mixing.query, "op7_pii": pii.query, "op8_warc": warc.query, "op9_substrings": substrings.query, "op10_packing": packing.query}
+    return {"op1_forest": forest_dedup.query, "op2_secrets": secrets.query, "op3_sketches": sketches.query, "op4_simhash": simhash.query, "op6_mixing": mixing.query, "op7_pii": pii.query, "op8_warc": warc.query, "op9_substrings": substrings.query, "op10_packing": packing.query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": secrets.oracle(), "op6_mixing": mixing.oracle(), "op7_pii": pii.oracle(), "op8_warc": warc.ORACLE, "op9_substrings": substrings.ORACLE}
+    return {"op1_forest": forest_dedup.ORACLE, "op2_secrets": secrets.oracle(), "op6_mixing": mixing.oracle(), "op7_pii": pii.oracle(), "op8_warc": warc.ORACLE, "op9_substrings": substrings.ORACLE}
