@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tracegrid.llm import forest_dedup, mixing, packing, pii, secrets, simhash, sketches, substrings, warc
+from tracegrid.llm import forest_dedup, mixing, packing, pii, secrets, simhash, sketches, substrings, toxicity, warc
 
 
 def queries() -> dict:
-    return {"op1_forest": forest_dedup.query, "op2_secrets": secrets.query, "op3_sketches": sketches.query, "op4_simhash": simhash.query, "op6_mixing": mixing.query, "op7_pii": pii.query, "op8_warc": warc.query, "op9_substrings": substrings.query, "op10_packing": packing.query}
+    return {"op1_forest": forest_dedup.query, "op2_secrets": secrets.query, "op3_sketches": sketches.query, "op4_simhash": simhash.query, "op5_toxicity": toxicity.query, "op6_mixing": mixing.query, "op7_pii": pii.query, "op8_warc": warc.query, "op9_substrings": substrings.query, "op10_packing": packing.query}
 
 
 def oracle_sql() -> dict[str, str]:
