@@ -13,9 +13,14 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import json
 import math
+import os
 import re
+import sys
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -28,8 +33,8 @@ from tracegrid.llm.shared import settled
 LENGTH, END = 1024, 0
 #: Rows in a part of a length within which rows are numbered one after another.
 SALTED = 100_000
-#: Distinct stretches of text whose ids a task keeps in memory.
-MEMO = 600_000
+#: Distinct words whose ids a worker process keeps in memory.
+MEMO = 1_000_000
 #: A space with white space on both sides joins its neighbours into one token, so such texts aren't cut at spaces.
 _RUN = re.compile(r"\s \s")
 
@@ -40,34 +45,74 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Known(dict):
+    """Space-led words (given without the space) -> ids as bytes; what is new is encoded on the way."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = found = self.encode(" " + word)
+        return found
+
+
 class Encoder:
-    """Text -> its ids as little-endian 32-bit values.
+    """Text -> its ids as little-endian 32-bit values, those that the tokenizer file gives.
 
     The vocabulary's splitting rule always cuts before a space that follows and precedes a word, so a text's ids are
-    those of its space-led words one after another; words that were seen before are looked up.
+    those of its space-led words one after another; words that were seen before are looked up. New words go through
+    the same byte pairs in ``tiktoken``, if the file's merges are its ids in order; special tokens, and texts with
+    white space around a space, through ``tokenizers`` as whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model, self.memo = Tokenizer.from_file(path), {}
+        self.model = Tokenizer.from_file(path)
+        spec = json.loads(self.model.to_str())
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        pairs = byte_pairs(spec)
+        encode = (lambda t: self.whole([t])[0]) if pairs is None else (lambda t, f=pairs.encode_ordinary: array("I", f(t)).tobytes())
+        self.first, self.known = encode, _Known(encode)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.model.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [None if _RUN.search(t) else t.split(" ") for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        for words in cut:
-            if words:
-                words[1:] = [" " + w for w in words[1:]]
-        new = list({w for words in cut if words for w in words if w not in memo})
-        for at in range(0, len(new), 10_000):
-            memo.update(zip(new[at : at + 10_000], self._encode(new[at : at + 10_000]), strict=True))
-        return [b"".join([memo[w] for w in words]) if words is not None else self._encode([t])[0] for t, words in zip(texts, cut, strict=True)]
+        if len(self.known) > MEMO:
+            self.known.clear()
+        get, out = self.known.__getitem__, []
+        for t in texts:
+            if _RUN.search(t) or any(x in t for x in self.special):
+                out += self.whole([t])
+                continue
+            first, *rest = t.split(" ")
+            out.append((self.first(first) if first else b"") + b"".join(map(get, rest)))
+        return out
+
+
+def byte_pairs(spec: dict):
+    """The tokenizer file's byte pairs as a tiktoken encoding; None if its merges or settings are of another kind."""
+    import public_tokenizers
+    import tiktoken
+
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the rest follow from 256 on
+    hidden = [b for b in range(256) if b not in shown]
+    byte = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
+    model, splits = spec["model"], spec.get("pre_tokenizer") or {}
+    ranks = {bytes(byte[c] for c in token): n for token, n in model["vocab"].items() if all(c in byte for c in token)}
+    in_order = all(model["vocab"].get("".join(m)) == 256 + n for n, m in enumerate(model["merges"]))
+    plain = sys.byteorder == "little" and model["type"] == "BPE" and splits.get("type") == "ByteLevel" and not splits.get("add_prefix_space") and not spec.get("normalizer")
+    if not (plain and in_order and len(ranks) == len(model["merges"]) + 256):
+        return None
+    return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so that what it knows serves all of its tasks."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END, path: str | None = None) -> DataFrame:
@@ -76,10 +121,8 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     last = np.array([end], dtype="<u4").tobytes()
 
     def run(batches):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = Encoder(path)
+        encode = encoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -133,16 +133,21 @@ def opened(docs: bytes, counts: bytes, hashes: bytes, flags: bytes, wide: bool):
 
 
 def answers(rows: DataFrame, buckets: int, wide: bool, both: bool) -> DataFrame:
-    """(of, hashes): for a document its hashes that count, one row from each bucket and task that knows some."""
+    """(of, hashes): for each document that has some, its hashes that count.
+
+    Buckets answer with one row for each shard of documents; a shard's rows then become one row for each document.
+    """
+    kind = "<u8" if wide else "<u4"
 
     def tell(doc, value):
-        order = np.argsort(doc, kind="stable")
-        doc, value = doc[order], value[order]
-        at = begins(doc)
-        ends = np.append(at[1:], len(doc))
-        for k in range(0, len(at), 4096):
-            some = list(zip(at[k : k + 4096].tolist(), ends[k : k + 4096].tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[at[k : k + 4096]], pa.int64()), pa.array([value[a:b].tobytes() for a, b in some], pa.binary())], ["of", "hashes"])
+        shard = (mix(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((doc, shard))
+        doc, value, shard = doc[order], value[order], shard[order]
+        at = begins(shard)
+        ends = np.append(at[1:], len(doc)).tolist()
+        parts = [packed(doc[a:b], int(shard[a]), value[a:b], np.zeros(0, dtype=bool), wide)[:4] for a, b in zip(at.tolist(), ends, strict=True)]
+        columns = list(zip(*parts, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["shard", "docs", "counts", "hashes"])
 
     def settle(parts):
         doc, value, block = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -153,27 +158,40 @@ def answers(rows: DataFrame, buckets: int, wide: bool, both: bool) -> DataFrame:
             yield from tell(doc[known], value[known])
 
     def run(batches):
-        now, held = None, []
-        for batch in batches:
-            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                part = opened(*row, wide)
-                if bucket < 0:
-                    yield from tell(*part[:2])
-                    continue
-                if bucket != now and held:
-                    yield from settle(held)
-                    held = []
-                now = bucket
-                held.append(part)
-        if held:
-            yield from settle(held)
+        for bucket, parts in runs(batches):
+            if bucket < 0:
+                for part in parts:
+                    yield from tell(*opened(*part, wide)[:2])
+            else:
+                yield from settle([opened(*part, wide) for part in parts])
+
+    def merge(batches):
+        for _, parts in runs(batches):
+            doc, value = (np.concatenate(x) for x in zip(*((np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(n, "<u4")), np.frombuffer(h, kind)) for d, n, h in parts), strict=True))
+            order = np.argsort(doc, kind="stable")
+            doc, value = doc[order], value[order]
+            at = begins(doc)
+            ends = np.append(at[1:], len(doc))
+            for k in range(0, len(at), 1024):
+                some = zip(at[k : k + 1024].tolist(), ends[k : k + 1024].tolist(), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[at[k : k + 1024]], pa.int64()), pa.array([value[a:b].tobytes() for a, b in some], pa.binary())], ["of", "hashes"])
 
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "of bigint, hashes binary")
+    told = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "shard bigint, docs binary, counts binary, hashes binary")
+    return told.repartition(buckets, "shard").sortWithinPartitions("shard").mapInArrow(merge, "of bigint, hashes binary")
 
 
-def gathered(found: DataFrame) -> DataFrame:
-    """One row for each document with all its answers."""
-    return found.groupBy("of").agg(F.collect_list("hashes").alias("hashes"))
+def runs(batches):
+    """(first column's value, [rest of the row]) of rows in order of that value."""
+    now, held = None, []
+    for batch in batches:
+        for value, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and value != now:
+                yield now, held
+                held = []
+            now = value
+            held.append(row)
+    if held:
+        yield now, held
 
 
 def words_of(memo: _Words, text: bytes | None) -> tuple[list[bytes], np.ndarray]:
@@ -215,7 +233,7 @@ def repeats(docs: DataFrame, found: DataFrame, key: str, text: str, buckets: int
             docs_, values = [], []
             for k, t, h in zip(ids, texts, hashes, strict=True):
                 words = words_of(memo, t)[1]
-                marks = np.isin((rolling(words, block) & np.uint64(0xFFFFFFFF)).astype("<u4"), np.frombuffer(b"".join(h), "<u4"))
+                marks = np.isin((rolling(words, block) & np.uint64(0xFFFFFFFF)).astype("<u4"), np.frombuffer(h, "<u4"))
                 windows = rolling(words, window)
                 seen = np.append(0, np.cumsum(marks))  # a window counts if one of its stretches is an anchor
                 value = np.unique(windows[seen[window - block + 1 :][: len(windows)] > seen[: len(windows)]])
@@ -234,9 +252,9 @@ def repeats(docs: DataFrame, found: DataFrame, key: str, text: str, buckets: int
     return answers(joined.mapInArrow(run, QUESTIONS), buckets, wide=True, both=False)
 
 
-def removed(found: list[bytes], words: np.ndarray, hashes: list[bytes], window: int = WINDOW) -> np.ndarray:
+def removed(found: list[bytes], words: np.ndarray, hashes: bytes, window: int = WINDOW) -> np.ndarray:
     """Mask of a document's words that its repeated windows cover."""
-    starts = np.flatnonzero(np.isin(rolling(words, window), np.frombuffer(b"".join(hashes), "<u8")))
+    starts = np.flatnonzero(np.isin(rolling(words, window), np.frombuffer(hashes, "<u8")))
     edge = np.zeros(len(found) + 1, dtype=np.int64)
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + window, -1)
@@ -251,10 +269,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     if buckets >= 1 << 18:
         raise ValueError("at most 2**18 buckets")
     here = docs.select(key, text).where(F.col(key).isNotNull())
-    found = gathered(repeats(here, gathered(anchors(here, key, text, buckets, block)), key, text, buckets, window, block))
+    found = repeats(here, anchors(here, key, text, buckets, block), key, text, buckets, window, block)
     # The same shuffle of the texts serves both joins.
     whole = here.join(found, F.col(key) == F.col("of"), "left").select(key, text, "hashes")
-    whole = whole.unionByName(docs.select(key, text, F.lit(None).cast("array<binary>").alias("hashes")).where(F.col(key).isNull()))
+    whole = whole.unionByName(docs.select(key, text, F.lit(None).cast("binary").alias("hashes")).where(F.col(key).isNull()))
 
     def run(batches):
         memo = _Words()
@@ -279,7 +297,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w)),
 m AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g),
 c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM g JOIN m USING (g) WHERE first < doc_id),
