@@ -1,11 +1,14 @@
-"""Named queries over the fixture tables, each with its SQL."""
+"""Named queries over the fixture tables, each with its SQL where SQL can say it."""
 
 from __future__ import annotations
 
+from tracegrid.plans import models, scenes, sessions, statistics  # noqa: F401  they register their queries
+from tracegrid.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(sorted(QUERIES.items()))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
