@@ -1,0 +1,314 @@
+"""The ten operators against brute force on small frames, and their defined results in odd cases."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tracegrid.llm import components, forest_dedup, mixing, packing, pii, secrets, simhash, sketches, substrings, toxicity, warc
+
+SF = "/root/testdata/sf0.001"
+ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "One two three four five six"), (5, "one TWO three four five six"), (6, "word " * 3000), (6, "word " * 3000), (None, "a null id"), (7, "ünï çødé " * 9 + "mail a.b@ex.org AKIA" + "Z9" * 9)]
+SCHEMA = "doc_id bigint, text string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def odd(spark, extra=True):
+    df = spark.createDataFrame(ODD, SCHEMA)
+    return df.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.lit(None).cast("bigint"), "spans": F.lit(1), "component_id": F.lit(2), "fp": F.lit(3), "h": F.lit(4)}) if extra else df
+
+
+def texts_of(df):
+    return {r["doc_id"]: r["text"] or "" for r in df.select("doc_id", "text").collect()}
+
+
+def words(text):
+    return re.findall("[^\x20\x09-\x0d]+", text)
+
+
+def shingles(text, n=4):
+    w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    return [" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))] if w else []
+
+
+def brute_simhash(text):
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles(text)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+
+def groups_of(links, nodes):
+    least = {n: n for n in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(least[a], least[b])
+            if least[a] != m or least[b] != m:
+                least[a] = least[b] = m
+                changed = True
+    return least
+
+
+def test_components_of_chains_and_stars(spark):
+    links = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(-5, 100), (7, 7), (None, 3)]
+    found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    nodes = {n for x in links[:-1] for n in x if x != (7, 7)}
+    assert found == {n: v for n, v in groups_of([x for x in links[:-1]], nodes).items()} or all(found.get(n, n) == v for n, v in groups_of(links[:-1], nodes).items())
+
+
+def test_simhash_against_brute_force(spark, docs):
+    texts = texts_of(docs)
+    prints = {k: brute_simhash(t) for k, t in texts.items()}
+    ids = sorted(prints)
+    links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 4]
+    least = groups_of(links, ids)
+    found = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.query(spark, SF).collect()}
+    assert found == {k: (f"{prints[k]:016x}", least[k]) for k in ids}
+
+
+def test_bit_sliced_parts_find_what_rows_find():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, size=70).astype(np.uint64)
+    left, right = base[:40], base[20:] ^ (np.uint64(1) << rng.integers(0, 64, size=50).astype(np.uint64))
+    want = {(i, j) for i, a in enumerate(left.tolist()) for j, b in enumerate(right.tolist()) if (a ^ b).bit_count() <= 4}
+    got = {(int(i), int(j)) for a, b in simhash.close_parts(left, right, 4) for i, j in zip(a, b, strict=True)}
+    assert got == want
+
+
+def test_simhash_odd_rows(spark):
+    rows = simhash.groups(odd(spark)).collect()
+    assert len(rows) == len(ODD)
+    of = {r["doc_id"]: r["component_id"] for r in rows}
+    assert of[1] == of[2] == of[3] == 1 and of[4] == of[5] == 4 and of[6] == 6
+    kept = simhash.keep_one(odd(spark))
+    assert kept.columns == odd(spark).columns
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 4, 6, 6, 7]
+    assert simhash.groups(odd(spark).limit(0)).count() == 0
+
+
+def test_sketches_against_brute_force(spark, docs):
+    texts = texts_of(docs)
+    ids = sorted(texts, reverse=True)
+    rows = {r["doc_id"]: r for r in sketches.query(spark, SF).collect()}
+    assert set(rows) == set(ids)
+    for k, doc in enumerate(ids):
+        text, after = texts[doc], texts[ids[(k + 1) % len(ids)]]
+        cut = len(text) // 3
+        edited = text[: len(text) - cut] + after[:cut]
+        assert rows[doc]["n_chars"] == len(text) and rows[doc]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+    for doc in ids[:60]:
+        text, after = texts[doc], texts[ids[(ids.index(doc) + 1) % len(ids)]]
+        exact = lambda t: {tuple(words(t)[i : i + 5]) for i in range(max(1, len(words(t)) - 4))} if words(t) else set()
+        a, b = exact(text), exact(after)
+        true = len(a & b) / len(a | b) if a | b else 1.0
+        assert abs(rows[doc]["near_next"] - true) < 0.2
+        assert abs(rows[doc]["n_distinct"] - len(a)) <= 0.4 * len(a) + 1
+
+
+def test_sketches_merge_and_odd_rows(spark):
+    both = sketches.with_sketch(odd(spark), "text", "sketch")
+    rows = both.collect()
+    assert len(rows) == len(ODD) and {tuple(r["sketch"]) for r in rows if r["doc_id"] in (1, 2, 3)} == {()}
+    whole = spark.createDataFrame([("a b c d e f g h i j", 1), ("f g h i j k l m n o", 1), ("x y z x y z", 2)], "text string, g int")
+    parts = sketches.with_sketch(whole, "text", "s")
+    merged = {r["g"]: r["s"] for r in sketches.merge_parts(parts, ["g"], "s").collect()}
+    one = [r["s"] for r in parts.where("g = 1").collect()]
+    assert merged[1] == sorted(set(one[0]) | set(one[1]))[: sketches.K]
+
+
+def test_toxicity_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.1"
+    found = toxicity.query(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id")
+    rows = [(r["score"], r["predicted"], r["toxic"]) for r in found.where("toxic is not null").collect()]
+    right = sum(p == y for _, p, y in rows) / len(rows)
+    share = sum(y for *_, y in rows) / len(rows)
+    assert right > max(share, 1 - share) and right > 0.95
+    for r in found.limit(20).collect():
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_forward_backward_against_enumeration():
+    from itertools import product
+
+    rng = np.random.default_rng(1)
+    odds, trans = rng.normal(size=5), rng.normal(size=(2, 2))
+    weight = {p: np.exp(sum(odds[k] * s for k, s in enumerate(p)) + sum(trans[a, b] for a, b in zip(p, p[1:], strict=False))) for p in product((0, 1), repeat=5)}
+    want = [sum(w for p, w in weight.items() if p[k]) / sum(weight.values()) for k in range(5)]
+    got = 1 / (1 + np.exp(-toxicity.forward_backward(odds, np.array([5]), trans)))
+    assert np.allclose(got, want)
+
+
+def test_toxicity_odd_rows(spark):
+    none = spark.createDataFrame([], "doc_id bigint, toxic int")
+    assert {r["score"] for r in toxicity.scored(odd(spark), toxicity.learn(odd(spark), none)).collect()} == {0.0}
+    bad = [(k, f"plain words here about weather and trains number{k}" + (" grumblefoo nastybar grumblefoo" if k % 2 else "")) for k in range(80)]
+    train = spark.createDataFrame(bad, SCHEMA)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)] + [(None, 1), (3, None), (999, 1)], "doc_id bigint, toxic int")
+    kept = toxicity.clean(train.unionByName(odd(spark, False)), labels)
+    assert not [r for r in kept.collect() if "nastybar" in (r["text"] or "")]
+    assert {1, 2, 3, 4, 6}.issubset({r["doc_id"] for r in kept.collect()})
+
+
+def test_spans_in_odd_rows(spark):
+    found = {r["doc_id"]: r["pii"] for r in pii.find(odd(spark), "text", "pii").collect()}
+    assert found[1] == found[2] == found[3] == [] and [s["hit"] for s in found[7]] == ["a.b@ex.org"]
+    text = ODD[-1][1]
+    assert text[found[7][0]["start"] : found[7][0]["end"]] == "a.b@ex.org"
+    assert "[EMAIL]" in {r["doc_id"]: r["text"] for r in pii.redact(odd(spark)).collect()}[7]
+    assert pii.redact(odd(spark)).columns == odd(spark).columns
+    assert pii.find(odd(spark).limit(0)).count() == 0
+
+
+def brute_spans(text, pattern, kind, ok):
+    return [f"{kind}:{m.start()}:{m.end()}" for m in re.finditer(pattern, text) if ok(m)]
+
+
+def test_secrets_and_ledger(spark, docs, tmp_path):
+    entries = secrets.scan_new(odd(spark), "doc_id")
+    texts = {t or "" for _, t in ODD}
+    assert entries.count() == len(texts)
+    secrets.append_to_ledger(entries, str(tmp_path / "ledger"))
+    ledger = spark.read.parquet(str(tmp_path / "ledger"))
+    more = odd(spark, False).unionByName(spark.createDataFrame([(50, "token = abcdefghijklmnop")], SCHEMA))
+    assert secrets.scan_new(more, "doc_id", ledger).count() == 1
+    rows = {r["doc_id"]: r["spans"] for r in secrets.scan(more, "doc_id", ledger).collect()}
+    assert [s["kind"] for s in rows[50]] == ["assign"] and [s["kind"] for s in rows[7]] == ["access"]
+    brute = {k: len(brute_spans(t, r"AKIA[A-Z0-9]+", "access", lambda m: len(m[0]) >= 18)) for k, t in texts_of(docs).items()}
+    assert {r["doc_id"]: r["n_access"] for r in secrets.query(spark, SF).collect()} == brute
+
+
+def test_mixing_meets_targets(spark, docs):
+    out = mixing.mixed(docs).groupBy("mix_source").agg(F.sum("mix_tokens").alias("t"), F.sum(F.col("mix_tokens") * F.col("mix_weight")).alias("w")).collect()
+    taken, shares = sum(r["w"] for r in out), sum(r["t"] ** mixing.TEMPER for r in out)
+    for r in out:
+        assert r["w"] <= r["t"] + 1e-6 and abs(r["w"] / taken - r["t"] ** mixing.TEMPER / shares) < 0.1
+    kept = mixing.sample(odd(spark))
+    assert kept.columns == odd(spark).columns and mixing.sample(odd(spark).limit(0)).count() == 0
+
+
+def test_packing_round_trip(spark, docs):
+    from tokenizers import Tokenizer
+
+    model, texts = Tokenizer.from_file(packing.tokenizer_path()), texts_of(docs)
+    model.encode_special_tokens = True
+    rows = packing.query(spark, SF).collect()
+    by_doc = {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+    assert set(by_doc) == set(texts)
+    for doc, parts in list(by_doc.items()):
+        ids = np.array([*model.encode(texts[doc], add_special_tokens=False).ids, 0], dtype="<u4")
+        at = 0
+        for r in sorted(parts, key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids)
+            assert r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= packing.LENGTH
+    total = sum(r["length"] for r in rows)
+    assert len(sequences) <= 1.02 * total / packing.LENGTH + 2
+
+
+def test_packing_patterns_place_everything():
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        hist = {int(n): int(c) for n, c in zip(rng.integers(1, 64, 20), rng.integers(1, 50, 20), strict=True)}
+        placed = {}
+        for pattern, count in packing.patterns(hist, 64):
+            assert sum(pattern) <= 64
+            for n in pattern:
+                placed[n] = placed.get(n, 0) + count
+        assert placed == hist
+
+
+def test_packing_odd_rows(spark):
+    rows = packing.pack(packing.pieces(odd(spark))).collect()
+    assert {r["doc_id"]: r["doc_tokens"] for r in rows}[1] == 1 and len([r for r in rows if r["doc_id"] is None]) == 1
+    assert packing.pack(packing.pieces(odd(spark).limit(0))).count() == 0
+
+
+def test_warc_round_trip_and_faults(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a/\r\nx", "<p>é</p>"), (2, None, None), (3, "u", ""), (4, "u", "<p>é</p>"), (4, "u", "<p>é</p>"), (None, "u", "solo")], "page_id bigint, url string, html string")
+    folder = str(tmp_path / "warc")
+    warc.write_archives(pages, f"file://{folder}")
+    rows = warc.read_archives(spark, f"file://{folder}").collect()
+    assert len(rows) == 6
+    of = {r["page_id"]: r for r in rows}
+    assert of[1]["refers_to"] == 4 and of[2]["refers_to"] == 3 and of[4]["record_type"] == "response" and of[1]["payload_bytes"] == 9
+    assert bytes(of[4]["payload"]).decode() == "<p>é</p>"
+    good = warc.archive([warc.record(1, "u", b"abc" * 50, warc.digest_of(b"abc" * 50), 150, None)])
+    assert len(list(warc.read_archive(good))) == 1
+    for bad in (good[:-4], b"\0" * 8 + good[8:]):
+        with pytest.raises(Exception):  # noqa: B017  a frame cut short, or no dictionary
+            list(warc.read_archive(bad))
+    with pytest.raises(ValueError):
+        warc.parse(b"WARC/1.1\r\nWARC-Type: response\r\n\r\n")
+
+
+def brute_substrings(texts, n=13):
+    first, out = {}, {}
+    for k in sorted(texts):
+        w = words(texts[k])
+        for i in range(len(w) - n + 1):
+            first.setdefault(tuple(w[i : i + n]), k)
+    for k, t in texts.items():
+        w, gone = words(t), set()
+        for i in range(len(w) - n + 1):
+            if first[tuple(w[i : i + n])] < k:
+                gone.update(range(i, i + n))
+        out[k] = (len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))
+    return out
+
+
+def test_substrings_against_brute_force(spark, docs):
+    rng = np.random.default_rng(5)
+    passage = [f"p{k}" for k in range(40)]
+    made = {k: " ".join([*(f"w{x}" for x in rng.integers(0, 6, int(rng.integers(0, 60)))), *passage[int(a := rng.integers(0, 30)) : int(a + rng.integers(0, 30))], *(f"w{x}" for x in rng.integers(0, 3, 30))]) for k in range(80)}
+    for texts in (made, texts_of(docs)):
+        df = spark.createDataFrame(list(texts.items()), SCHEMA)
+        found = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substrings.dedup(df).collect()}
+        assert found == brute_substrings(texts)
+
+
+def test_substrings_odd_rows(spark):
+    rows = substrings.dedup(odd(spark)).collect()
+    assert len(rows) == len(ODD) and all(r["n_removed"] == 0 for r in rows)
+    assert substrings.dedup(odd(spark).limit(0)).count() == 0
+
+
+def test_forest_recall_against_brute_force(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, v = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=np.float64)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    found = {r["vec_id"]: r["n_links"] for r in forest_dedup.near_vectors(spark.createDataFrame(list(zip(ids.tolist(), v.tolist(), strict=True)), "vec_id bigint, embedding array<double>"), leaf=64).collect()}
+    got, want = sum(found.values()), int(near.sum())
+    assert all(found[i] <= n for i, n in zip(ids.tolist(), near.sum(axis=1).tolist(), strict=True)) and got >= 0.95 * want
+
+
+def test_forest_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.01]), (2, [0.0, 1.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (None, [1.0, 0.0]), (9, [1.0, 0.0]), (10, [1.0, 0.0, 0.0])]
+    found = forest_dedup.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("n_links", F.lit(0))).collect()
+    assert len(found) == len(rows)
+    links = {r["vec_id"]: r["n_links"] for r in found if r["vec_id"] not in (2, None)}
+    assert links == {1: 2, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0, 8: 0, 9: 2, 10: 0}
+    assert {r["component_id"] for r in found if r["vec_id"] in (1, 9)} == {1}

@@ -120,7 +120,7 @@ def asking(doc: np.ndarray, value: np.ndarray, block: np.ndarray, known: np.ndar
     order = np.lexsort((doc, bucket))
     doc, value, block, bucket = doc[order], value[order], block[order], bucket[order]
     at = begins(bucket)
-    for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True):
+    for lo, hi in zip(at.tolist(), np.append(at, len(bucket))[1:].tolist(), strict=True):
         rows.append(packed(doc[lo:hi], int(bucket[lo]), value[lo:hi], block[lo:hi], wide))
     if rows:
         columns = list(zip(*rows, strict=True))
