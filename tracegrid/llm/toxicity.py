@@ -147,7 +147,8 @@ def evidence(logits: np.ndarray) -> float:
 def fit(texts: list[str], toxic: list[bool]) -> Field | None:
     if len(set(toxic)) < 2:
         return None
-    words = [_WORD.findall(t) for t in texts]
+    same: dict[str, str] = {}  # one object for each distinct word, as texts share most of theirs
+    words = [[same.setdefault(w, w) for w in _WORD.findall(t)] for t in texts]
     held = [zlib.crc32(t.encode(errors="replace")) % 4 == 0 for t in texts]  # for the curve
     if not all(any(y == z and not h for y, h in zip(toxic, held, strict=True)) for z in (True, False)):
         held = [False] * len(texts)
@@ -194,7 +195,7 @@ def fit(texts: list[str], toxic: list[bool]) -> Field | None:
         trans = trans - 0.1 * slope_trans / np.sqrt(seen_trans)
     field = Field(weights, bias, trans, (0.0, 1.0))
     check = [n for n, h in enumerate(held) if h] or known
-    x = np.array([evidence(m) for m in field.marginals([words[n] for n in check])])
+    x = np.array([evidence(m) for k in range(0, len(check), TOGETHER) for m in field.marginals([words[n] for n in check[k : k + TOGETHER]])])
     field.curve = curve(x, np.array([toxic[n] for n in check], dtype=np.float64))
     field.memo = {}
     return field
