@@ -170,16 +170,16 @@ def knn_oof(df: DataFrame, x: str, y: str, pos: str, n: int, folds: int = 5, emb
     return best.groupBy(F.col("p").alias(pos)).agg(mean.alias("pred"))
 
 
-def drawn_shifts(keys: DataFrame, key: str, draws: int, n: int, least: int = 0, seed: int = 0) -> DataFrame:
-    """(draw, key, shift): shifts from ``least`` to n - least - 1, from a hash of seed, draw and key."""
-    span = max(1, n - 2 * least)
-    rows = keys.select(key).distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    return rows.select("draw", key, (F.pmod(F.xxhash64(F.lit(seed), "draw", key), F.lit(span)) + least).alias("shift"))
+def drawn_shifts(keys: DataFrame, key: str, draws: int, n: int | str, least: int = 0, seed: int = 0) -> DataFrame:
+    """(draw, key, shift): shifts from ``least`` to n - least - 1, from a hash of seed, draw and key. n may be a column of keys, one value for each key."""
+    size = F.col(n) if isinstance(n, str) else F.lit(n)
+    rows = keys.select(key, size.alias("__n")).distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    return rows.select("draw", key, (F.pmod(F.xxhash64(F.lit(seed), "draw", key), F.greatest(F.lit(1), F.col("__n") - 2 * least)) + least).alias("shift"))
 
 
-def circular(df: DataFrame, shifts: DataFrame, key: str, pos: str, n: int) -> DataFrame:
-    """Every draw's rows, each key moved round by its shift."""
-    return df.join(shifts, key).withColumn(pos, F.pmod(F.col(pos) + F.col("shift"), F.lit(n))).drop("shift")
+def circular(df: DataFrame, shifts: DataFrame, key: str, pos: str, n: int | str) -> DataFrame:
+    """Every draw's rows, each key moved round by its shift. n is the length of the series, or the column of df that has it."""
+    return df.join(shifts, key).withColumn(pos, F.pmod(F.col(pos) + F.col("shift"), F.col(n) if isinstance(n, str) else F.lit(n))).drop("shift")
 
 
 def scrambled(df: DataFrame, by: list[str], pos: str, values: list[str], seed: int = 0) -> DataFrame:

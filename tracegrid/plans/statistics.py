@@ -147,8 +147,9 @@ def q53_shuffled_series(spark, sf_dir):
     """Means of each user's first half after circular shifts drawn by hash."""
     ev = table(spark, sf_dir, "events").select("user_id", "value", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     rows = positions(ev, ["user_id"], "us", ["event_id"], "k", 86_400e6).select("user_id", "k", "value")
-    out = circular(rows, drawn_shifts(rows, "user_id", 3, 40, 2), "user_id", "k", 40)
-    return out.groupBy("draw", "user_id").agg(r6(F.avg(F.when(F.col("k") < 20, F.col("value"))), "mean"))
+    sizes = ev.groupBy("user_id").agg(F.count("*").alias("n"))
+    out = circular(rows.join(sizes, "user_id"), drawn_shifts(sizes, "user_id", 3, "n", 2), "user_id", "k", "n")
+    return out.groupBy("draw", "user_id").agg(r6(F.avg(F.when(2 * F.col("k") < F.col("n"), F.col("value"))), "mean"))
 
 
 query()(q53_shuffled_series)
