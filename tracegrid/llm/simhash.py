@@ -5,6 +5,9 @@ blocks, so on every pair out of some BLOCKS - radius of them: a bucket for each
 Within a bucket the bits stand vertically, one plane for each position; distances of 64 pairs at once are summed by
 carry-save counters, and words of pairs that have all exceeded the radius are abandoned.
 
+``keep_one`` takes the candidates of its near copies from bands of minima of five-word shingles instead, as fingerprints
+in reach of buckets miss pairs, and decides each by the exact similarity of the two sets.
+
 Edge cases: a null text is empty, and texts without words have fingerprint zero; equal fingerprints are one class,
 so groups of copies meet as one row; repeated rows stay; rows with a null id get a fingerprint and their class's
 component, and count for none; an empty table gives an empty result; other columns are ignored.
@@ -24,8 +27,10 @@ from tracegrid.llm.components import components
 from tracegrid.llm.shared import forest, settled
 
 WORDS, RADIUS, BLOCKS = 4, 4, 6
-#: Bits of 128 in which the wide fingerprints of near copies may differ.
-GATE = 28
+#: Near copies: words of a shingle, bands of so many minima each, and minima that must agree before sets are compared.
+SET_WORDS, BANDS, ROWS, GATE = 5, 32, 4, 78
+#: Rounds in which large buckets are held against one node before all pairs are looked at.
+STARS = 4
 #: A bucket with more fingerprints is dealt out as pairs of parts of about this size.
 PART = 2048
 #: Buckets up to this size are compared together, row against shifted row.
@@ -236,15 +241,158 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     return prints.join(of_class, same).select(key, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 1, radius: int = RADIUS, gate: int = GATE) -> DataFrame:
+def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, node, bands, sig): a hash of the text's set of shingles, a hash for each band of its minima, and a byte of each minimum."""
+    rng = np.random.default_rng(11)
+    times, plus = (rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) for _ in range(2))
+    times |= np.uint32(1)
+    salt = rng.integers(0, 1 << 63, (BANDS, 3), dtype=np.uint64)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                node, least = np.zeros(part.num_rows, np.uint64), np.zeros((part.num_rows, BANDS * ROWS), np.uint32)
+                for k, t in enumerate(part.column(1).cast(pa.binary()).to_pylist()):
+                    node[k], hashes = shingle_set(t or b"")
+                    some = hashes.astype(np.uint32)
+                    if len(some):
+                        least[k] = np.min([(some[i : i + 1024, None] * times + plus).min(axis=0) for i in range(0, len(some), 1024)], axis=0)
+                x, y = np.ascontiguousarray(least).view("<u8").reshape(len(least), BANDS, 2).transpose(2, 0, 1)
+                mixed = (x ^ salt[:, 0]) * (salt[:, 1] | np.uint64(1))
+                mixed = ((mixed ^ mixed >> np.uint64(31)) + y) * (salt[:, 2] | np.uint64(1))
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(least) * BANDS + 1, BANDS, dtype=np.int32)), pa.array((mixed ^ mixed >> np.uint64(29)).view(np.int64).reshape(-1)))
+                sig = [row.tobytes() for row in least.astype(np.uint8)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node.view(np.int64)), bands, pa.array(sig, pa.binary())], [key, "node", "bands", "sig"])
+
+    return docs.select(key, text).mapInArrow(run, f"{key} bigint, node bigint, bands array<bigint>, sig binary")
+
+
+def shingle_set(text: bytes) -> tuple[int, np.ndarray]:
+    """A hash of the text's set of five-word shingles, and the sorted distinct hashes of its members."""
+    hashes = np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(text, SET_WORDS)], dtype="<u8"))
+    return xxhash.xxh64_intdigest(hashes.tobytes(), 42), hashes
+
+
+def shingle_sets(docs: DataFrame, text: str) -> DataFrame:
+    """(node, members array<bigint>) for every row."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                found = [shingle_set(t or b"") for t in batch.column(0).slice(at, 1000).cast(pa.binary()).to_pylist()]
+                node = np.array([n for n, _ in found], dtype=np.uint64).view(np.int64)
+                ends = np.cumsum([0, *(len(h) for _, h in found)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([h for _, h in found]).view(np.int64)))], ["node", "members"])
+
+    return docs.select(text).mapInArrow(run, "node bigint, members array<bigint>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of nodes, those whose sets have a Jaccard similarity of 0.8 or more, counted exactly."""
+    one, two = (sets.select(F.col("node").alias(k), F.col("members").alias(f"m{k}")) for k in "ab")
+    both, sizes = F.size(F.array_intersect("ma", "mb")), F.size("ma") + F.size("mb")
+    return pairs.join(one, "a").join(two, "b").where(9 * both >= 4 * sizes).select("a", "b")
+
+
+def alike_rows(group: np.ndarray, side: np.ndarray, root: np.ndarray, sig: np.ndarray):
+    """Pairs of rows of the same group and different roots whose minima agree in GATE of them or more: yields (row, row)."""
+    begins = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    size = np.diff(np.append(begins, len(group)))
+    small = np.flatnonzero(np.repeat(size <= SMALL, size))
+    for shift in range(1, SMALL):
+        same = np.flatnonzero((group[small][shift:] == group[small][:-shift]) & (root[small][shift:] != root[small][:-shift]))
+        for at in range(0, len(same), 1 << 14):
+            i, j = small[same[at : at + (1 << 14)]], small[same[at : at + (1 << 14)] + shift]
+            near = (sig[i] == sig[j]).sum(axis=1) >= GATE
+            yield i[near], j[near]
+    for f, n in zip(begins[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+        rows = f + np.arange(n)
+        whole = not side[rows].any()
+        right = rows if whole else rows[side[rows] == 2]
+        for k, i in enumerate((rows if whole else rows[side[rows] == 1]).tolist()):
+            j = right[k + 1 :] if whole else right
+            j = j[root[j] != root[i]]
+            j = j[(sig[j] == sig[i]).sum(axis=1) >= GATE]
+            yield np.full(len(j), i), j
+
+
+def met_pairs(members: DataFrame, part: int = PART) -> DataFrame:
+    """(a, b), a < b: all pairs of members (bucket, node, root, sig) that share a bucket but no root and may be near copies."""
+    sizes = settled(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket", "n"))
+    parts = F.ceil(F.col("n") / part).cast("int")
+    met = members.join(sizes, "bucket").withColumns({"parts": parts, "own": F.pmod(F.xxhash64("node"), parts).cast("int")}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    met = met.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "node", "root", "sig")
+    met = met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:6]]
+            now.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS))
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            last = np.flatnonzero(np.any([c[1:] != c[:-1] for c in held[:3]], axis=0))
+            if len(last):  # the last group may go on in the next batch
+                cut = int(last[-1]) + 1
+                yield from compare([c[:cut] for c in held])
+                held = [c[cut:] for c in held]
+        if held is not None and len(held[0]):
+            yield from compare(held)
+
+    def compare(cols):
+        group = np.cumsum(np.append(0, np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)))
+        for i, j in alike_rows(group, cols[3], cols[5], cols[6]):
+            if len(i):
+                a, b = cols[4][i], cols[4][j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+    return met.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, component_id) for every row: the least key that is reachable by pairs of a Jaccard similarity of 0.8 or more.
+
+    Texts with the same set of shingles are one node. Nodes that agree in a band of minima meet in a bucket; two at 0.8
+    miss each other in all bands once in 2e7, and GATE once in 1e7. Before all pairs of a bucket are looked at, large
+    buckets are held against one of their nodes each, as what is linked already need not be compared again.
+    """
+    told = settled(signatures(docs, key, text))
+    classes = settled(told.groupBy("node").agg(F.min(key).alias("least"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    banded = classes.select("node", F.explode("bands").alias("bucket"))
+    sizes = settled(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    members = settled(banded.join(sizes, "bucket").select("bucket", "node"))
+    some = settled(classes.join(members.select("node").distinct(), "node").select("node", "least", "sig"))
+    wanted = some.select(F.col("least").alias(key)).distinct()
+    sets = settled(shingle_sets(docs.select(key, text).join(wanted, key, "left_semi"), text).groupBy("node").agg(F.first("members").alias("members")))
+    links = roots = None
+    for n in range(STARS + 1):
+        rows = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
+        large = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(n), "node").alias("h"), "node", "root")).alias("star"))
+        large = settled(large.where(f"n > {SMALL} and lo < hi").select("bucket", F.col("star.node").alias("star"), F.col("star.root").alias("star_root")))
+        if n == STARS or large.isEmpty():
+            pairs = met_pairs(rows.join(some.select("node", "sig"), "node").select("bucket", "node", "root", "sig"))
+        else:
+            asked = rows.join(large, "bucket").where("root <> star_root").groupBy("node", "star").agg(F.count("*").alias("n"))
+            pairs = asked.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("n", "star")).alias("best")).select("a", F.col("best.star").alias("b"))
+        now = settled(verified(pairs, sets))
+        links = now if links is None else links.unionByName(now)
+        roots = components(links)
+        if large.isEmpty():
+            break
+    of = classes.join(roots, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
+    of = settled(of)
+    named = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    return told.select(key, "node").join(settled(of.join(named, "root").select("node", "component_id")), "node").select(key, "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay when each group of near copies keeps its least key. Rows with a null key stay.
 
-    Candidates are texts whose word fingerprints differ in at most ``radius`` bits; they are near copies if their
-    wide fingerprints of five-word shingles differ in at most ``gate`` bits. A Jaccard similarity of 0.8 makes the
-    cosine 0.89 and the expected difference 19 of 128 bits, with a deviation of 4.6; texts of their own differ in
-    64, with one of 5.7. Rows that repeat a key all stay or go together.
+    Near copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and what such
+    pairs connect. Rows that repeat a key all stay or go together.
     """
-    gone = groups(docs.where(F.col(key).isNotNull()), key, text, words, radius, gate).where(F.col(key) != F.col("component_id")).select(key).distinct()
+    gone = near_groups(docs.where(F.col(key).isNotNull()), key, text).where(F.col(key) != F.col("component_id")).select(key).distinct()
     return docs.join(gone, key, "left_anti")
 
 
