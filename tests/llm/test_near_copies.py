@@ -59,3 +59,14 @@ def test_every_pair_is_found(planted):
     print(f"pairs of different sets at 0.8 or more: {len(near)}, missed: {len(missed)}")
     assert len(near) > 100 and not missed
     assert all(found[k] == found[v] for k, v in least.items())
+
+
+def test_no_other_is_linked(planted):
+    least, like, found = planted
+    best = defaultdict(float)
+    for (a, b), s in like.items():
+        best[a], best[b] = max(best[a], s), max(best[b], s)
+    alone = [k for k in set(least.values()) if best[k] < 0.8]
+    print(f"texts whose best similarity is below 0.8: {len(alone)}, from 0.6 on: {sum(best[k] >= 0.6 for k in alone)}")
+    assert sum(best[k] >= 0.6 for k in alone) > 10
+    assert all(found[k] == k for k in alone)
