@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset, as in tests, one of our own."""
+    """The folder named in spark.checkpoint.dir; in a local session without it, as in tests, one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         named = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = named.get() if named.isDefined() else tempfile.mkdtemp(prefix="tracegrid-")
+        named = named.get() if named.isDefined() else None
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+    named = named or tempfile.mkdtemp(prefix="tracegrid-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)
     return named

@@ -6,11 +6,13 @@ labelled: weights of hashed word features, and transitions between two states. F
 marginal; tokens of 0.5 or more in a row are an offending span, and a logistic curve, fitted on labelled documents that
 the field has not seen, turns the marginals' sum into a score.
 
-The field is fitted on the driver on at most MOST_TOXIC and MOST_CLEAN labelled documents, those with the least hashed
-ids. Everything else covers all documents, in tasks that hold the model and one group of documents at a time.
+The field is fitted on the driver on at most MOST_TOXIC and MOST_CLEAN labelled documents and FIT_CHARS code points of
+text, whole documents in order of their hashed ids. Everything else covers all documents, in tasks that hold the model
+and one group of documents at a time.
 
 Edge cases: a null text is empty; a text without words gets the score that the curve gives to no evidence; repeated
-rows and null ids get scores as any; labels that are null or neither 0 nor 1, or without a document, count for nothing;
+rows and null ids get scores as any; of rows that repeat a labelled id the least text is learned from; labels that are
+null or neither 0 nor 1, or without a document, count for nothing, and of several for one id the greatest counts;
 without labels of both kinds every score is 0; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -18,14 +20,15 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_TOXIC, MOST_CLEAN = 2000, 4000
+from tracegrid.llm.shared import settled
+
+MOST_TOXIC, MOST_CLEAN, FIT_CHARS = 2000, 4000, 32_000_000
 #: Buckets of the hashed features; tokens in a training stretch; passes; step; weight of the squared norm.
 HASHED, STRETCH, PASSES, STEP, RIDGE = 1 << 18, 64, 60, 0.5, 1e-6
 #: Markers that a toxic document is to have before it counts as explained; least documents, and precision, of a marker.
@@ -45,31 +48,60 @@ def slots(word: str) -> list[int]:
     return [zlib.crc32(f.encode()) % HASHED for f in features(word)]
 
 
-def markers(texts: list[set[str]], toxic: list[bool]) -> set[str]:
-    """Features, taken greedily, that the most toxic texts lack explanations for and that few clean ones have."""
-    bad, good = defaultdict(list), Counter()
+class Vocabulary(dict):
+    """Word -> its number, given at first sight, with each word's features as numbers in one flat array."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+    def index(self) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(features, flat, ends): word n has the features flat[ends[n]:ends[n + 1]]."""
+        names: dict[str, int] = {}
+        flat = [[names.setdefault(f, len(names)) for f in features(w)] for w in self]
+        ends = np.cumsum([0, *map(len, flat)])
+        return list(names), np.fromiter((f for x in flat for f in x), dtype=np.int32, count=ends[-1]), ends
+
+
+def spread(flat: np.ndarray, ends: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The features of all the given words, one word's after another's."""
+    size = ends[words + 1] - ends[words]
+    return flat[np.repeat(ends[words] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+
+def markers(texts: list[np.ndarray], toxic: list[bool], names: list[str], flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Mask of the features, taken greedily, that the most toxic texts lack explanations for and that few clean ones have.
+
+    texts: the distinct words of each. Endings are no markers.
+    """
+    good, bad, own = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64), {}
+    for n, (words, y) in enumerate(zip(texts, toxic, strict=True)):
+        found = np.unique(spread(flat, ends, words))
+        if y:
+            own[n] = found
+            bad[found] += 1
+        else:
+            good[found] += 1
     rate = max(1, sum(toxic)) / max(1, len(toxic) - sum(toxic))
-    for n, (own, y) in enumerate(zip(texts, toxic, strict=True)):
-        for f in {f for w in own for f in features(w) if f[0] != "$"}:
-            if y:
-                bad[f].append(n)
-            else:
-                good[f] += 1
-    fit = {f: ns for f, ns in bad.items() if len(ns) >= MARK_DOCS and len(ns) >= MARK_PRECISION * (len(ns) + rate * good[f]) and good[f] <= 0.01 * len(ns) + 0.5}
-    lacks = {n: MARKS for n, y in enumerate(toxic) if y}
-    gain = {f: len(ns) for f, ns in fit.items()}
-    chosen: set[str] = set()
+    fit = (bad >= MARK_DOCS) & (bad >= MARK_PRECISION * (bad + rate * good)) & (good <= 0.01 * bad + 0.5) & np.array([f[0] != "$" for f in names], dtype=bool)
+    docs: dict[int, list[int]] = {}
+    for n, found in own.items():
+        for f in found[fit[found]].tolist():
+            docs.setdefault(f, []).append(n)
+    lacks = dict.fromkeys(own, MARKS)
+    gain = {f: len(ns) for f, ns in docs.items()}
+    chosen = np.zeros(len(names), dtype=bool)
     while gain:
-        f = max(gain, key=lambda k: (gain[k], len(k), k))
-        fresh = sum(lacks[n] > 0 for n in fit[f])
+        f = max(gain, key=lambda k: (gain[k], len(names[k]), names[k]))
+        fresh = sum(lacks[n] > 0 for n in docs[f])
         if fresh < gain[f]:  # counts only fall, so a feature that still leads after a recount is the best
             if fresh < MARK_DOCS:
                 del gain[f]
             else:
                 gain[f] = fresh
             continue
-        chosen.add(f)
-        for n in fit[f]:
+        chosen[f] = True
+        for n in docs[f]:
             lacks[n] -= 1
         del gain[f]
     return chosen
@@ -79,10 +111,11 @@ def _log_sum(a, b):
     return np.logaddexp(a, b)
 
 
-def forward_backward(odds: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Logit of each token's marginal for state 1. odds: per token, texts one after another; trans[i, j]: score of i -> j.
+def messages(odds: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ahead, behind): log-odds of state 1 at each token from itself and what precedes it, and from what follows it.
 
-    All texts advance together, the longest first, so a step works on those that are still going.
+    odds: per token, texts one after another; trans[i, j]: score of i -> j. All texts advance together, the longest
+    first, so a step works on those that are still going.
     """
     order = np.argsort(-lengths, kind="stable")
     start = (np.cumsum(lengths) - lengths)[order]
@@ -101,9 +134,35 @@ def forward_backward(odds: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -
         at = start[: going[t + 1]] + t
         s = behind[at + 1] + odds[at + 1]
         behind[at] = _log_sum(s + trans[1, 1], trans[1, 0]) - _log_sum(s + trans[0, 1], trans[0, 0])
+    return ahead, behind
+
+
+def forward_backward(odds: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Logit of each token's marginal for state 1."""
+    ahead, behind = messages(odds, lengths, trans)
     return ahead + behind
 
 
+def slopes(odds: np.ndarray, y: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the chains' negative log-likelihood by the tokens' odds and by the transitions.
+
+    A transition's slope is the expected number of times it is taken less the number in y. The marginal of two
+    neighbours is proportional to what the first has from before, the transition, and what the second has from itself
+    and from behind.
+    """
+    ahead, behind = messages(odds, lengths, trans)
+    wrong = 1 / (1 + np.exp(-(ahead + behind))) - y
+    first = np.ones(len(odds), dtype=bool)
+    first[np.cumsum(lengths[lengths > 0]) - 1] = False
+    first = np.flatnonzero(first)
+    r, s = ahead[first], (odds + behind)[first + 1]
+    joint = np.stack([np.full(len(r), trans[0, 0]), trans[0, 1] + s, r + trans[1, 0], r + trans[1, 1] + s])
+    joint = np.exp(joint - joint.max(axis=0)) if len(r) else joint
+    expected = (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
+    u, v = y[first], y[first + 1]
+    return wrong, expected - np.array([[((1 - u) * (1 - v)).sum(), ((1 - u) * v).sum()], [(u * (1 - v)).sum(), (u * v).sum()]])
+
+
 class Field:
     """The fitted field and curve; a few arrays of fixed size."""
 
@@ -147,58 +206,56 @@ def evidence(logits: np.ndarray) -> float:
 def fit(texts: list[str], toxic: list[bool]) -> Field | None:
     if len(set(toxic)) < 2:
         return None
-    same: dict[str, str] = {}  # one object for each distinct word, as texts share most of theirs
-    words = [[same.setdefault(w, w) for w in _WORD.findall(t)] for t in texts]
+    numbers = Vocabulary()
+    words = []
+    for t in texts:
+        found = _WORD.findall(t)
+        words.append(np.fromiter(map(numbers.__getitem__, found), dtype=np.int32, count=len(found)))
     held = [zlib.crc32(t.encode(errors="replace")) % 4 == 0 for t in texts]  # for the curve
     if not all(any(y == z and not h for y, h in zip(toxic, held, strict=True)) for z in (True, False)):
         held = [False] * len(texts)
     known = [n for n, h in enumerate(held) if not h]
-    marks = markers([set(words[n]) for n in known], [toxic[n] for n in known])
-    # Tokens of toxic texts with a marker are positive; stretches without any are thinned to as many tokens again as texts have in mean.
-    vocabulary: dict[str, int] = {}
-    marked: dict[str, bool] = {}
+    names, flat, ends = numbers.index()
+    if not len(flat):
+        return None
+    marks = markers([np.unique(words[n]) for n in known], [toxic[n] for n in known], names, flat, ends)
+    marked = np.logical_or.reduceat(marks[flat], ends[:-1])
+    # Tokens of toxic texts with a marker are positive; of the stretches without any, one in four is learned from.
     stretches, labels = [], []
     for n in known:
         own = words[n]
         for at in range(0, len(own), STRETCH):
             part = own[at : at + STRETCH]
-            y = [toxic[n] and marked.setdefault(w, any(f in marks for f in features(w))) for w in part]
-            if any(y) or (at // STRETCH) % 4 == n % 4:
-                stretches.append([vocabulary.setdefault(w, len(vocabulary)) for w in part])
+            y = marked[part] & toxic[n]
+            if y.any() or (at // STRETCH) % 4 == n % 4:
+                stretches.append(part)
                 labels.append(y)
     if not stretches:
         return None
-    ids = [slots(w) for w in vocabulary]
-    lengths = np.array([len(s) for s in stretches])
-    token = np.concatenate([np.array(s) for s in stretches])
-    y = np.concatenate([np.array(v, dtype=np.float64) for v in labels])
-    word_of = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-    slot_of = np.concatenate([np.array(x) for x in ids])
-    pairs = np.ones(len(token), dtype=bool)
-    pairs[np.cumsum(lengths) - 1] = False
-    pairs = np.flatnonzero(pairs)
+    slot_of = np.fromiter((zlib.crc32(f.encode()) % HASHED for f in names), dtype=np.int64, count=len(names))[flat]
+    word_of = np.repeat(np.arange(len(numbers)), np.diff(ends))
+    lengths, token, y = np.array([len(s) for s in stretches]), np.concatenate(stretches), np.concatenate(labels).astype(np.float64)
     weights, bias, trans = np.zeros(HASHED), -4.0, np.array([[0.0, -2.0], [-1.0, 0.0]])
     seen, seen_bias, seen_trans = np.full(HASHED, 1e-8), 1e-8, np.full((2, 2), 1e-8)
+
+    def odds_of() -> np.ndarray:
+        return np.bincount(word_of, weights[slot_of], minlength=len(numbers)) + bias
+
     for _ in range(PASSES):
-        odds = (np.bincount(word_of, weights[slot_of], minlength=len(ids)) + bias)[token]
-        logit = forward_backward(odds, lengths, trans)
-        p = 1 / (1 + np.exp(-logit))
-        wrong = (p - y) / len(stretches)
-        slope = np.bincount(slot_of, np.bincount(token, wrong, minlength=len(ids))[word_of], minlength=HASHED) + RIDGE * weights
+        wrong, slope_trans = (x / len(stretches) for x in slopes(odds_of()[token], y, lengths, trans))
+        slope = np.bincount(slot_of, np.bincount(token, wrong, minlength=len(numbers))[word_of], minlength=HASHED) + RIDGE * weights
         slope_bias = wrong.sum()
-        # Of neighbours that are both likely the joint marginal is taken as the product, which is exact where one is certain.
-        a, b, u, v = p[pairs], p[pairs + 1], y[pairs], y[pairs + 1]
-        slope_trans = np.array([[((1 - a) * (1 - b) - (1 - u) * (1 - v)).sum(), ((1 - a) * b - (1 - u) * v).sum()], [(a * (1 - b) - u * (1 - v)).sum(), (a * b - u * v).sum()]]) / len(stretches)
         seen, seen_bias, seen_trans = seen + slope**2, seen_bias + slope_bias**2, seen_trans + slope_trans**2
         weights -= STEP * slope / np.sqrt(seen)
         bias -= STEP * slope_bias / np.sqrt(seen_bias)
         trans = trans - 0.1 * slope_trans / np.sqrt(seen_trans)
-    field = Field(weights, bias, trans, (0.0, 1.0))
-    check = [n for n, h in enumerate(held) if h] or known
-    x = np.array([evidence(m) for k in range(0, len(check), TOGETHER) for m in field.marginals([words[n] for n in check[k : k + TOGETHER]])])
-    field.curve = curve(x, np.array([toxic[n] for n in check], dtype=np.float64))
-    field.memo = {}
-    return field
+    check, odds = [n for n, h in enumerate(held) if h] or known, odds_of()
+    x = []
+    for k in range(0, len(check), TOGETHER):
+        some = [words[n] for n in check[k : k + TOGETHER]]
+        sizes = np.array([len(w) for w in some], dtype=np.int64)
+        x += [evidence(m) for m in np.split(forward_backward(odds[np.concatenate(some)], sizes, trans), np.cumsum(sizes)[:-1])]
+    return Field(weights, bias, trans, curve(np.array(x), np.array([toxic[n] for n in check], dtype=np.float64)))
 
 
 def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -223,10 +280,20 @@ def held_out(key: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Field | None:
     """Fit on a bounded sample of labelled documents that are not held out."""
     own = labels.where(F.col(key).isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col(key))).groupBy(key).agg(F.max("toxic").alias("toxic"))
-    parts = [own.where(F.col("toxic") == y).orderBy(F.xxhash64(key), key).limit(n) for y, n in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
+    own = own.withColumn("turn", F.xxhash64(key))
+    parts = [own.where(F.col("toxic") == y).orderBy("turn", key).limit(n) for y, n in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
     some = parts[0].unionByName(parts[1])
-    rows = docs.select(key, text).join(F.broadcast(some), key).select(text, "toxic", key).toPandas().sort_values(key, kind="stable")
-    return fit([t or "" for t in rows[text]], [bool(x) for x in rows["toxic"]])
+    rows = docs.select(key, F.coalesce(text, F.lit("")).alias("body")).join(F.broadcast(some), key)  # MOST_TOXIC + MOST_CLEAN rows at most
+    rows = settled(rows.groupBy(key, "toxic", "turn").agg(F.min("body").alias("body")))
+    chosen, size = [], 0
+    for r in rows.select(key, "turn", F.length("body").alias("n")).orderBy("turn", key).collect():
+        size += r["n"]
+        if size <= FIT_CHARS:
+            chosen.append(r[key])
+    if size > FIT_CHARS:
+        rows = rows.where(F.col(key).isin(chosen))
+    found = rows.orderBy(key).select("body", "toxic").collect()  # FIT_CHARS code points at most
+    return fit([r["body"] for r in found], [bool(r["toxic"]) for r in found])
 
 
 SCORED = "score double, toxic_spans array<struct<start:bigint,end:bigint>>"
