@@ -205,6 +205,33 @@ def test_spans_in_odd_rows(spark):
     assert pii.find(odd(spark).limit(0)).count() == 0
 
 
+def test_long_texts_take_linear_time(spark):
+    """A million digits, 50 000 addresses and a long run of token letters, each in one text."""
+    import time
+
+    many = " ".join(f"u{k}@ex{k % 7}.org" for k in range(50_000))
+    rows = [(1, "7" * 1_000_000), (2, many), (3, "1.2.3." * 200_000), (4, "eyJ" * 300_000), (5, "é" * 200_000 + " call +1 (555) 123-4567 now")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    began = time.time()
+    found = {r["doc_id"]: r["pii"] for r in pii.find(df.where("doc_id <> 4"), "text", "pii").collect()}
+    assert [len(found[k]) for k in (1, 2, 3, 5)] == [0, 50_000, 150_000, 1]
+    assert found[2][-1]["hit"] == "u49999@ex5.org" and many[found[2][-1]["start"] :] == found[2][-1]["hit"]
+    assert found[5][0]["score"] == 0.7 and rows[4][1][found[5][0]["start"] : found[5][0]["end"]] == "+1 (555) 123-4567"
+    told = pii.redact(df.where("doc_id = 2")).collect()[0]["text"]
+    assert told == " ".join(["[EMAIL]"] * 50_000)
+    assert [len(r["spans"]) for r in secrets.scan(df.where("doc_id = 4"), "doc_id").collect()] == [0]
+    assert time.time() - began < 60
+
+
+def test_account_numbers(spark):
+    good = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "MT84MALT011000012345MTLCAST001S", "AT61 1904 3002 3457 3201"]
+    text = " and ".join(good) + " BANK but not DE89 3704 0044 0532 0130 01"
+    found = pii.find(spark.createDataFrame([(1, text)], SCHEMA), "text", "pii").collect()[0]["pii"]
+    assert [s["hit"] for s in found if s["kind"] == "iban"] == good
+    left = pii.redact(spark.createDataFrame([(1, "a +1 (555) 123-4567 b@c.de ü x@y.z"), (2, None), (3, "")], SCHEMA)).orderBy("doc_id").collect()
+    assert [r["text"] for r in left] == ["a [PHONE] [EMAIL] ü [EMAIL]", None, ""]
+
+
 def brute_spans(text, pattern, kind, ok):
     return [f"{kind}:{m.start()}:{m.end()}" for m in re.finditer(pattern, text) if ok(m)]
 

@@ -16,12 +16,15 @@ from tracegrid.llm import spans as sp
 from tracegrid.llm.secrets import spans_sql
 
 # The patterns. A run of digits is looked at as a whole, from its first digit to its last, so that the
-# card pattern can ask for 14 to 19 digits at once; an address's local part begins where its run of letters begins.
+# card pattern can ask for 14 to 19 digits at once and addresses try each run once; an address's local part begins where
+# its run of letters begins. An account number comes in one piece or in groups of four, some of them letters alone.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
+IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4})(?: ?[0-9]{4}){2,6}(?: ?[0-9]{1,3})?"
+_FOUR = r"(?:[0-9][A-Z0-9]{3}|[A-Z][0-9][A-Z0-9]{2}|[A-Z]{2}[0-9][A-Z0-9]|[A-Z]{3}[0-9])"
+_REST = r"(?:[0-9][A-Z0-9]{0,2}|[A-Z][0-9][A-Z0-9]?|[A-Z]{2}[0-9])"
+IBAN = rf"[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?:(?: [A-Z]{{4}}){{0,2}} {_FOUR}){{2,7}}(?: {_REST})?)"
 RULES = [("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE), ("iban", IBAN)]
 BASE = ["email", "ip", "card", "phone"]
 # Score of a kind by itself, and the words that raise it.
@@ -65,17 +68,19 @@ VALID = {"ip": _small_parts, "card": lambda h: luhn(digits(h)), "phone": lambda
 
 def find(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     """Add ``out``: array<struct<start,end,kind,hit,score>> by start, then by kind as listed in RULES."""
+    cols = [c for c in df.columns if c != out]
     df = sp.with_spans(df, text, RULES, out, valid=VALID)
+    df = df.withColumn("__blocks", F.when(F.size(out) > 0, sp.blocks(F.col(text))))
 
     def score(s: Column) -> Column:
-        before = F.lower(F.substring(F.col(text), F.greatest(s["start"] - WINDOW, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(WINDOW)).cast("int")))
+        before = F.lower(sp.piece(F.col("__blocks"), F.greatest(s["start"] - WINDOW, F.lit(0)), s["start"]))
         own, near = F.lit(0.0), F.lit(False)
         for kind in SCORES:
             own = F.when(s["kind"] == kind, F.lit(SCORES[kind])).otherwise(own)
             near = F.when(s["kind"] == kind, before.rlike(CONTEXT[kind])).otherwise(near)
         return F.round(own + F.when(near, F.lit(BONUS)).otherwise(0.0), 3)
 
-    return df.withColumn(out, F.transform(out, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["hit"].alias("hit"), score(s).alias("score"))))
+    return df.select(*cols, F.transform(out, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["hit"].alias("hit"), score(s).alias("score"))).alias(out))
 
 
 def redact(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
@@ -85,19 +90,16 @@ def redact(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
     """
     cols = df.columns
     found = find(df, text, "__pii").withColumn("__pii", F.filter("__pii", lambda s: s["score"] >= least))
-    spans = F.col("__pii")
-    reach = F.aggregate(  # how far the spans before each one reach
-        spans,
-        F.struct(F.lit(0).cast("bigint").alias("to"), F.array().cast("array<string>").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["to"], s["end"]).alias("to"),
-            F.when(s["start"] < a["to"], a["out"]).otherwise(
-                F.concat(a["out"], F.array(F.substring(F.col(text), a["to"].cast("int") + 1, (s["start"] - a["to"]).cast("int")), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-            ).alias("out"),
-        ),
-        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col(text), a["to"].cast("int") + 1, F.length(F.col(text)))),
-    )
-    return found.withColumn(text, F.when(F.size(spans) == 0, F.col(text)).otherwise(reach)).select(*cols)
+    found = found.withColumn("__reach", F.transform("__pii", lambda s: s["end"]))
+    found = sp.running(found, {"__upto": "__reach"}, 0, F.greatest)
+    spans, upto = F.col("__pii"), F.col("__upto")
+    found = found.withColumns({"__text": F.when(F.size(spans) > 0, sp.blocks(F.col(text))), "__n": F.length(text).cast("bigint")})
+    body, zero = F.col("__text"), F.lit(0).cast("bigint")
+    before = lambda i: F.when(i > 0, F.get(upto, i - 1)).otherwise(zero)  # noqa: E731  how far the spans before reach
+    tag = lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+    told = F.transform(spans, lambda s, i: F.when(s["start"] >= before(i), F.concat(sp.piece(body, before(i), s["start"]), tag(s))).otherwise(""))
+    told = F.concat(F.array_join(told, ""), sp.piece(body, F.element_at(upto, -1), F.col("__n")))
+    return found.withColumn(text, F.when(F.size(spans) == 0, F.col(text)).otherwise(told)).select(*cols)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -121,7 +123,7 @@ def oracle() -> str:
     mod97 = f"length({bare}) BETWEEN 15 AND 34 AND list_reduce(list_prepend('0', string_split({bare}[5:] || {bare}[:4], '')), lambda a, c: CAST(TRY_CAST(a || {value} AS BIGINT) % 97 AS VARCHAR)) = '1'"
     rules = [
         ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
-        ("ip", IP, "len(list_filter(string_split(h, '.'), lambda q: NOT regexp_full_match(q, '0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])'))) = 0"),
+        ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(h, '.'), lambda q: NOT regexp_full_match(q, '0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])'))) = 0"),
         ("card", "[0-9](?:[ -]?[0-9])+", f"length({number}) BETWEEN 14 AND 19 AND {luhn}"),
         ("phone", PHONE, f"length({number}) BETWEEN 10 AND 15"),
         ("iban", IBAN, mod97),

@@ -30,11 +30,12 @@ class RuleSet:
 
 # The kinds of secret. A run under 16 hex digits, or a key id under 18 characters, never holds
 # another match that would pass, so these two ask for the length at once; values of assignments are measured afterwards.
+# A token's parts have an upper bound, so that a long run of its letters isn't read to its end from every place.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
 PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
-JWT = r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
+JWT = r"eyJ[A-Za-z0-9_-]{8,500}\.eyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,1000}"
 
 
 def _long_value(hit: Column) -> Column:
