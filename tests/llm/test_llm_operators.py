@@ -357,16 +357,35 @@ def test_substrings_odd_rows(spark):
     assert substrings.dedup(odd(spark).limit(0)).count() == 0
 
 
-def test_forest_recall_against_brute_force(spark):
-    sf = "/root/testdata/sf0.1"
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
-    ids, v = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=np.float64)
-    u = v / np.linalg.norm(v, axis=1, keepdims=True)
-    near = u @ u.T >= 0.95
+@pytest.fixture(scope="module")
+def near_vectors_planted():
+    """ids and vectors: a cloud, 300 partners at cosines from 0.95 to 0.97, and a tight cluster of 1300 about one of them."""
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    base = unit(rng.normal(size=(2400, 48)) * np.linspace(2, 0.5, 48))
+    away = lambda v: unit((w := rng.normal(size=v.shape)) - (w * v).sum(-1, keepdims=True) * v)
+    cos = rng.uniform(0.951, 0.97, (300, 1))
+    planted = cos * base[:300] + np.sqrt(1 - cos**2) * away(base[:300])
+    hot = unit(np.tile(base[7], (1300, 1)) + 0.15 * away(np.tile(base[7], (1300, 1))))
+    v = np.concatenate([base, planted, hot])
+    near = v @ v.T >= 0.95
     np.fill_diagonal(near, False)
-    found = {r["vec_id"]: r["n_links"] for r in forest_dedup.near_vectors(spark.createDataFrame(list(zip(ids.tolist(), v.tolist(), strict=True)), "vec_id bigint, embedding array<double>"), leaf=64).collect()}
-    got, want = sum(found.values()), int(near.sum())
-    assert all(found[i] <= n for i, n in zip(ids.tolist(), near.sum(axis=1).tolist(), strict=True)) and got >= 0.95 * want
+    return np.arange(len(v)) * 3 + 1, v, near
+
+
+@pytest.mark.parametrize("leaf", [forest_dedup.LEAF, 32, 2])
+def test_forest_recall_against_brute_force(spark, near_vectors_planted, leaf):
+    """Recall of links in forests of depth 4, 7 and 11, the last beyond the levels whose nodes have medians of their own."""
+    ids, v, near = near_vectors_planted
+    df = spark.createDataFrame(list(zip(ids.tolist(), v.tolist(), strict=True)), "vec_id bigint, embedding array<double>")
+    found = {r["vec_id"]: r["n_links"] for r in forest_dedup.near_vectors(df, leaf=leaf).collect()}
+    want = near.sum(axis=1)
+    rows = forest_dedup.Forest(v, len(v), leaf=leaf)
+    print(f"depth {rows.depth}: {sum(found.values())} of {want.sum()} links, {len(rows.leaves(v)[0]) / len(v):.1f} leaves a vector, largest {np.unique(rows.leaves(v)[1], return_counts=True)[1].max()}")
+    assert all(found[i] <= n for i, n in zip(ids.tolist(), want.tolist(), strict=True))
+    alone = np.arange(len(v)) < 2700
+    assert want[alone].sum() > 500 and sum(found[i] for i in ids[alone].tolist()) >= 0.97 * want[alone].sum()
+    assert sum(found.values()) >= 0.97 * want.sum()
 
 
 def test_forest_odd_rows(spark):
@@ -377,3 +396,4 @@ def test_forest_odd_rows(spark):
     links = {r["vec_id"]: r["n_links"] for r in found if r["vec_id"] not in (2, None)}
     assert links == {1: 2, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0, 8: 0, 9: 2, 10: 0}
     assert {r["component_id"] for r in found if r["vec_id"] in (1, 9)} == {1}
+    assert forest_dedup.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0

@@ -1,8 +1,13 @@
 """Near-duplicate vectors by a forest of random-projection trees with spill.
 
-Each tree cuts the unit sphere by random directions, level by level; a vector within SPILL of a cut goes to both sides.
-Cuts of the upper levels are medians of a bounded sample, those below go through the sample's centre. Vectors that
-share a leaf of any tree are compared in double precision; what passes is a link. Every vector is indexed.
+Each tree cuts the unit sphere by random directions, level by level; a vector within the spill of a cut goes to both
+sides. Cuts are medians of a bounded sample: of the sample's vectors in the node, and where a node is too deep to have
+enough of them, of those in its last ancestor that has. Every vector is indexed.
+
+Vectors that share a leaf of any tree are compared in two steps. First come ids with a sketch of signs along SIGNS
+random directions, and only vectors whose sketch is near another one of their leaf are sent for; a pair at the wanted
+cosine is farther apart than the limit once in a hundred million. These are compared in double precision; what passes is
+a link.
 
 Equal vectors are one class from the start, so copies meet as one row. A leaf with many vectors, as of near copies, is
 dealt out as pairs of parts. A pair that shares several leaves is counted in the first of them only, so links are
@@ -26,10 +31,14 @@ from tracegrid.llm.components import components
 from tracegrid.llm.shared import forest, settled
 
 COSINE, TREES, SEED = 0.95, 6, 20
-#: Vectors that set the cuts; vectors that a leaf is meant to hold, before spill; vectors in a part of a large leaf.
-SAMPLE, LEAF, PART = 20_000, 256, 1024
-#: A node's direction is one of this many of its level.
-SLOTS = 64
+#: Vectors, and bytes of them, that set the cuts; of these at least so many for a node's own median.
+SAMPLE, SAMPLE_BYTES, LEAST = 20_000, 64 << 20, 40
+#: Vectors that a leaf is meant to hold, before spill; vectors in a part of a large leaf.
+LEAF, PART = 256, 1024
+#: A node's direction is one of this many of its level; signs in a sketch.
+SLOTS, SIGNS = 16, 128
+#: A node of which a greater share would go to both sides, as in a cluster of near copies, is not cut.
+DOUBLED = 0.35
 
 
 class Forest:
@@ -38,25 +47,32 @@ class Forest:
     def __init__(self, sample: np.ndarray, vectors: int, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, seed: int = SEED):
         dim = sample.shape[1]
         self.depth = max(0, math.ceil(math.log2(max(1, vectors) / leaf)))
+        own = min(self.depth, max(0, int(math.log2(max(1, len(sample) / LEAST)))))  # levels whose nodes have medians of their own
         # Half the standard deviation, over random directions, of the distance that a linked pair may have along one.
         self.spill = 0.5 * math.sqrt(2 - 2 * cosine) / math.sqrt(dim)
+        rng = np.random.default_rng([seed, 1 << 20])
+        self.signs = rng.normal(size=(SIGNS, dim))
+        turned = math.acos(cosine) / math.pi  # chance that a sign differs for a pair at the cosine
+        self.apart = math.ceil(SIGNS * turned + 5.7 * math.sqrt(SIGNS * turned * (1 - turned)))
         self.trees = []
-        center = sample.mean(axis=0)
         for tree in range(trees):
             rng, levels = np.random.default_rng([seed, tree]), []
             node = np.zeros(len(sample), dtype=np.int64)
             for level in range(self.depth):
                 directions = rng.normal(size=(min(1 << level, SLOTS), dim))
                 directions /= np.linalg.norm(directions, axis=1, keepdims=True)
-                cuts = directions @ center
-                if 1 << level <= len(sample) // 64:
-                    at = np.einsum("ij,ij->i", sample, directions[node % len(directions)])
-                    cuts = np.resize(cuts, 1 << level)
-                    for k in range(1 << level):
-                        if (mine := node == k).any():
-                            cuts[k] = np.median(at[mine])
-                    node = 2 * node + (at > cuts[node])
-                levels.append((directions, cuts))
+                deep = max(0, level - own)
+                at = sample @ directions.T
+                order = np.argsort(node, kind="stable")
+                cuts = np.tile(np.median(at, axis=0), (1 << level - deep, 1))
+                for mine in np.split(order, np.flatnonzero(np.diff(node[order])) + 1):
+                    cut = np.median(at[mine], axis=0)
+                    doubled = (np.abs(at[mine] - cut) <= self.spill).mean(axis=0)
+                    cuts[node[mine[0]]] = np.where(doubled <= DOUBLED, cut, np.inf)
+                levels.append((directions, cuts, deep))
+                if level < own:
+                    slot = node % len(directions)
+                    node = 2 * node + (at[np.arange(len(at)), slot] > cuts[node, slot])
             self.trees.append(levels)
 
     def leaves(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,13 +80,18 @@ class Forest:
         found = []
         for tree, levels in enumerate(self.trees):
             row, node = np.arange(len(unit)), np.zeros(len(unit), dtype=np.int64)
-            for directions, cuts in levels:
-                at = np.einsum("ij,ij->i", unit[row], directions[node % len(directions)]) - cuts[node % len(cuts)]
+            for directions, cuts, deep in levels:
+                slot = node % len(directions)
+                at = (unit @ directions.T)[row, slot] - cuts[node >> deep, slot]
                 left, right = at <= self.spill, at >= -self.spill
                 row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
             found.append((row, node + (tree << 48)))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
+    def sketches(self, unit: np.ndarray) -> np.ndarray:
+        """Rows of 64-bit words, a bit for each sign."""
+        return np.packbits(unit @ self.signs.T > 0, axis=1).view("<u8")
+
 
 def usable(vector: str):
     """True for vectors that may link."""
@@ -78,68 +99,93 @@ def usable(vector: str):
     return F.coalesce(F.col(vector).isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _shared_before(codes: list[list[int]], leaf: int) -> np.ndarray:
-    """(i, j) mask: rows that also share a leaf with a lower number."""
-    lower = [[c for c in own if c < leaf] for own in codes]
-    place = {c: k for k, c in enumerate(sorted({c for own in lower for c in own}))}
-    of = np.zeros((len(codes), max(1, len(place))), dtype=np.float32)
-    for i, own in enumerate(lower):
-        of[i, [place[c] for c in own]] = 1
+def _shared_before(row: np.ndarray, code: np.ndarray, rows: int, leaf: int) -> np.ndarray:
+    """0/1 matrix of rows by leaves with a lower number than ``leaf`` that they lie in."""
+    lower = code < leaf
+    place, at = np.unique(code[lower], return_inverse=True)
+    of = np.zeros((rows, max(1, len(place))), dtype=np.float32)
+    of[row[lower], at] = 1
     return of
 
 
+def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows of both sides of a pair of parts, or all rows twice for a part with itself."""
+    two = bool(side.any())
+    a, b = (np.flatnonzero(side == s) if two else np.arange(len(side)) for s in (1, 2))
+    return a, b, two
+
+
 def links(classes: DataFrame, dim: int, cosine: float = COSINE, **how) -> DataFrame:
-    """(id, links, to) from classes (id, copies, v) of one length: parts of link counts, and links enough to connect."""
+    """(id, links, to) from classes (id, h, copies, v) of one length: parts of link counts, and links enough to connect."""
     rows = classes.count()
-    sample = classes.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").toPandas()["v"]  # SAMPLE vectors at most
+    most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
+    sample = classes.orderBy(F.xxhash64("id"), "id").limit(most).select("v").toPandas()["v"]  # SAMPLE_BYTES at most
     sample = np.array([np.asarray(v, dtype=np.float64) for v in sample]).reshape(-1, dim)
     trees = Forest(sample / np.linalg.norm(sample, axis=1, keepdims=True), rows, cosine, **how)
+    shared = classes.sparkSession.sparkContext.broadcast(trees)  # a few MB, whatever the number of vectors
+
+    def unit_of(column) -> np.ndarray:
+        raw = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        return raw / np.linalg.norm(raw, axis=1, keepdims=True)
 
     def index(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                raw = np.array(part.column(2).to_pylist(), dtype=np.float64).reshape(-1, dim)
-                row, leaf = trees.leaves(raw / np.linalg.norm(raw, axis=1, keepdims=True))
-                order = np.lexsort((leaf, row))
-                row, leaf = row[order], leaf[order]
-                own = np.split(leaf, np.flatnonzero(np.diff(row)) + 1)
+                unit = unit_of(part.column(2))
+                row, leaf = shared.value.leaves(unit)
+                words = shared.value.sketches(unit).view("<i8")[row]
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), part.column(0).take(take), part.column(1).take(take), part.column(2).take(take), pa.array([own[r] for r in row.tolist()], pa.list_(pa.int64()))], ["leaf", "id", "copies", "v", "leaves"])
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), part.column(0).take(take), part.column(1).take(take), pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy())], ["leaf", "id", "h", "s1", "s2"])
 
-    dealt = classes.select("id", "copies", "v").mapInArrow(index, "leaf bigint, id bigint, copies bigint, v array<double>, leaves array<bigint>")
-    sizes = settled(classes.select("id", "copies", "v").mapInArrow(index, "leaf bigint, id bigint, copies bigint, v array<double>, leaves array<bigint>").groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1"))
+    dealt = settled(classes.select("id", "h", "v").mapInArrow(index, "leaf bigint, id bigint, h bigint, s1 bigint, s2 bigint"))
+    sizes = settled(dealt.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1"))
     parts = F.ceil(F.col("n") / PART).cast("int")
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
     met = dealt.join(sizes, "leaf").withColumns({"parts": parts, "own": own}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("leaf", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "id", "copies", "v", "leaves")
+    met = met.select("leaf", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "id", "h", "s1", "s2")
+
+    def near(table: pa.Table) -> pa.Table:
+        a, b, two = _sides(table.column("side").to_numpy())
+        words = np.stack([table.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2")])
+        busy = np.zeros(table.num_rows, dtype=bool)
+        for at in range(0, len(a), 256):
+            some = a[at : at + 256]
+            close = sum(np.bitwise_count(w[some, None] ^ w[None, b]).astype(np.int16) for w in words) <= shared.value.apart
+            if not two:
+                close[np.arange(len(some)), some] = False
+            busy[some] |= close.any(axis=1)
+            busy[b] |= close.any(axis=0)
+        return table.select(["leaf", "i", "j", "side", "id", "h"]).filter(pa.array(busy))
+
+    asked = met.groupBy("leaf", "i", "j").applyInArrow(near, "leaf bigint, i int, j int, side int, id bigint, h bigint")
+    # Vectors move once for each leaf part in which they may have a link.
+    sent = asked.join(classes.select("id", "h", "copies", "v"), ["id", "h"])
 
     def compare(table: pa.Table) -> pa.Table:
         side, ids, copies = (table.column(c).to_numpy() for c in ("side", "id", "copies"))
-        raw = np.array(table.column("v").to_pylist(), dtype=np.float64).reshape(-1, dim)
-        a, b = (np.flatnonzero(side == s) if side.any() else np.arange(len(side)) for s in (1, 2))
-        norm = np.linalg.norm(raw, axis=1)
-        near = raw[a] @ raw[b].T / np.outer(norm[a], norm[b]) >= cosine
-        if not side.any():
-            np.fill_diagonal(near, False)
-        x, y = np.nonzero(near)
+        unit = unit_of(table.column("v").combine_chunks())
+        a, b, two = _sides(side)
+        alike = unit[a] @ unit[b].T >= cosine
+        if not two:
+            np.fill_diagonal(alike, False)
+        x, y = np.nonzero(alike)
         if not len(x):
             return pa.table({"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "to": pa.array([], pa.int64())})
         busy, at = np.unique(np.concatenate([a[x], b[y]]), return_inverse=True)
-        codes = table.column("leaves").take(pa.array(busy)).to_pylist()
-        of = _shared_before(codes, table.column("leaf")[0].as_py())
+        row, code = shared.value.leaves(unit[busy])
+        of = _shared_before(row, code, len(busy), table.column("leaf")[0].as_py())
         p, q = at[: len(x)], at[len(x) :]
-        elsewhere = of @ of.T > 0
-        first = ~elsewhere[p, q]
+        first = ~((of @ of.T > 0)[p, q])
         count = np.zeros(len(busy), dtype=np.int64)
         np.add.at(count, p[first], copies[busy[q[first]]])
-        if side.any():  # the other half of a part with itself stands in near already
+        if two:  # the other half of a part with itself stands in alike already
             np.add.at(count, q[first], copies[busy[p[first]]])
         node, root = forest(ids[a[x]], ids[b[y]])
         some = count > 0
         return pa.table({"id": pa.array(np.concatenate([ids[busy[some]], node]), pa.int64()), "links": pa.array(np.concatenate([count[some], np.zeros(len(node), dtype=np.int64)]), pa.int64()), "to": pa.array([None] * int(some.sum()) + root.tolist(), pa.int64())})
 
-    return met.groupBy("leaf", "i", "j").applyInArrow(compare, "id bigint, links bigint, to bigint")
+    return sent.groupBy("leaf", "i", "j").applyInArrow(compare, "id bigint, links bigint, to bigint")
 
 
 def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, **how) -> DataFrame:
