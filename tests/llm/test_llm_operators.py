@@ -246,6 +246,12 @@ def test_secrets_and_ledger(spark, docs, tmp_path):
     assert secrets.scan_new(more, "doc_id", ledger).count() == 1
     rows = {r["doc_id"]: r["spans"] for r in secrets.scan(more, "doc_id", ledger).collect()}
     assert [s["kind"] for s in rows[50]] == ["assign"] and [s["kind"] for s in rows[7]] == ["access"]
+    path = str(tmp_path / "history")
+    history = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.scan_history(more, "doc_id", path, deliveries=3).collect()}
+    assert history == {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.scan(more, "doc_id").collect()}
+    blobs = [r["blob"] for r in secrets.read_ledger(spark, path).collect()]
+    assert len(blobs) == len(set(blobs)) == len(texts) + 1
+    assert secrets.scan_history(more.limit(0), "doc_id", str(tmp_path / "none")).count() == 0
     brute = {k: len(brute_spans(t, r"AKIA[A-Z0-9]+", "access", lambda m: len(m[0]) >= 18)) for k, t in texts_of(docs).items()}
     assert {r["doc_id"]: r["n_access"] for r in secrets.query(spark, SF).collect()} == brute
 

@@ -5,18 +5,20 @@ equal texts share one blob. A scan takes the blobs for which the ledger has no e
 version, reads one text of each, appends its findings to the ledger, and joins them back to every path.
 
 Edge cases: a null text is the empty text; repeated rows and equal texts give one blob and a result for
-each row; a null path keeps its row; an empty table gives an empty result; other columns are ignored.
+each row; a null path keeps its row; an empty table gives an empty result and an empty ledger; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegrid.llm import spans as sp
+from tracegrid.llm.shared import settled, shared_dir
 
 
 @dataclass(frozen=True)
@@ -44,6 +46,9 @@ def _long_value(hit: Column) -> Column:
 
 RULES = RuleSet("base-1", (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("pem", PEM), ("jwt", JWT)), (("assign", _long_value),))
 BASE = ["assign", "access", "hex"]
+LEDGER = f"blob string, spans array<{sp.SPAN}>, rule_version string"
+#: New blobs up to which their addresses (100 bytes each) are sent to every task; parts in which the query takes its table in.
+FEW_BLOBS, DELIVERIES = 100_000, 2
 
 
 def addresses(versions: DataFrame, path: list[str], text: str = "text") -> DataFrame:
@@ -51,16 +56,21 @@ def addresses(versions: DataFrame, path: list[str], text: str = "text") -> DataF
     return versions.select(*path, F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("blob"))
 
 
-def scan_new(versions: DataFrame, key: str, ledger: DataFrame | None = None, rules: RuleSet = RULES, text: str = "text") -> DataFrame:
+def scan_new(versions: DataFrame, key: str, ledger: DataFrame | None = None, rules: RuleSet = RULES, text: str = "text", told: DataFrame | None = None) -> DataFrame:
     """Ledger rows (blob, rule_version, spans) for the blobs that the ledger lacks under this rule version.
 
-    Which text to read is settled on the addresses alone: the least key of each blob. Texts then move once,
-    by key, so copies of one text never meet in one task.
+    Which text to read is settled on the addresses alone (``told``, if they are known): the least key of each blob. Texts
+    then move once, by key, so copies of one text never meet in one task; if few blobs are new, their keys go to the
+    texts instead.
     """
-    first = addresses(versions, [key], text).groupBy("blob").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"))).alias("least"))
+    told = addresses(versions, [key], text) if told is None else told
+    first = told.groupBy("blob").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"))).alias("least"))
     first = first.select("blob", F.col("least.key").alias("__key"))
     if ledger is not None:
         first = first.join(ledger.where(F.col("rule_version") == rules.version).select("blob").distinct(), "blob", "left_anti")
+    first = settled(first)
+    if first.count() <= FEW_BLOBS:
+        first = F.broadcast(first)
     bodies = versions.select(F.col(key).alias("__of"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     same = F.col("__of").eqNullSafe(F.col("__key"))
     chosen = bodies.join(first, same).where(F.sha2(F.col("__text").cast("binary"), 256) == F.col("blob"))
@@ -69,13 +79,17 @@ def scan_new(versions: DataFrame, key: str, ledger: DataFrame | None = None, rul
     return found.groupBy("blob").agg(F.first("spans").alias("spans")).select("blob", F.lit(rules.version).alias("rule_version"), "spans")
 
 
+def joined_back(told: DataFrame, ledger: DataFrame, rules: RuleSet = RULES) -> DataFrame:
+    """The addresses ``told`` with the ledger's spans. The ledger's side is settled first, so that Spark may split a blob that many paths have."""
+    entries = settled(ledger.where(F.col("rule_version") == rules.version).groupBy("blob").agg(F.first("spans").alias("spans")))
+    return told.join(entries, "blob", "left")
+
+
 def scan(versions: DataFrame, key: str, ledger: DataFrame | None = None, rules: RuleSet = RULES, text: str = "text") -> DataFrame:
     """(key, blob, spans) for every version: the ledger's findings and the new ones, joined back to all paths."""
-    entries = scan_new(versions, key, ledger, rules, text)
-    if ledger is not None:
-        old = ledger.where(F.col("rule_version") == rules.version).groupBy("blob").agg(F.first("spans").alias("spans"))
-        entries = entries.select("blob", "spans").unionByName(old)
-    return addresses(versions, [key], text).join(entries.select("blob", "spans"), "blob", "left")
+    told = settled(addresses(versions, [key], text))
+    entries = scan_new(versions, key, ledger, rules, text, told)
+    return joined_back(told, entries if ledger is None else entries.unionByName(ledger.select(*entries.columns)), rules)
 
 
 def append_to_ledger(entries: DataFrame, path: str) -> None:
@@ -83,8 +97,28 @@ def append_to_ledger(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").partitionBy("rule_version").parquet(path)
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def scan_history(versions: DataFrame, key: str, path: str, rules: RuleSet = RULES, text: str = "text", deliveries: int = DELIVERIES) -> DataFrame:
+    """(key, blob, spans) for every version, taken in through the ledger at ``path`` in several deliveries.
+
+    A version belongs to a delivery by its key. Each one looks for its blobs in the ledger as it then is, scans those
+    that it lacks and appends them; in the end the whole ledger is joined back to all paths.
+    """
+    spark = versions.sparkSession
+    of = F.pmod(F.xxhash64(key), F.lit(deliveries))
+    told = settled(addresses(versions, [key], text))
+    for n in range(deliveries):
+        ledger = read_ledger(spark, path) if n else None
+        append_to_ledger(scan_new(versions.where(of == n), key, ledger, rules, text, told.where(of == n)), path)
+    return joined_back(told, read_ledger(spark, path), rules)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = scan_history(docs, "doc_id", f"{shared_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}")
     base = sp.listed(F.col("spans"), BASE)
     return found.select("doc_id", *[sp.count_of(F.col("spans"), k).alias(f"n_{k}") for k in BASE], F.sha2(base.cast("binary"), 256).alias("base_sha256"), sp.listed(F.col("spans")).alias("spans"), "blob")
 
