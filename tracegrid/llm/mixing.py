@@ -2,66 +2,148 @@
 
 Tokens are summed in cells of (source, lang, topic). Iterative proportional fitting gives each cell a weight, the
 share of its tokens to take: margin by margin, weights are scaled to the margin's target, never above 1, as a document
-is taken once at most. Targets are tempered shares of the input, or given ones. A document is then kept if a number in
-[0, 1) made from its id lies under its cell's weight, so equal ids meet the same decision in every run.
+is taken once at most, until all margins are within TOLERANCE or ROUNDS are over; ``report`` tells what is left. Targets
+are tempered shares of the input, none above ROOM of what there is of its value, or given ones; topics follow languages. A document is then kept if a
+number in [0, 1) made from its id lies under its cell's weight, so equal ids meet the same decision in every run.
 
-Edge cases: null source, lang or topic count as the empty string; a null text has no tokens; a cell or margin without
-tokens keeps its weight; a null id is the empty string for sampling; repeated rows share a decision; an empty table
-gives an empty result; the operator's own columns begin with "mix_", and all other columns pass through.
+A document's topic is the topic word that it holds most often. Topic words are the TOPICS words (runs of five or more of
+a-z) found in the most documents, but in no more than a share of MOST of them, counted over all documents.
+
+Edge cases: null source, lang or topic count as the empty string, as does the topic of a text without topic words; a
+null text has no tokens; a cell without tokens keeps its weight; a given target must name every value of its margin,
+else it is an error; a null id is the empty string for sampling; repeated rows share a decision; an empty table gives
+an empty result; the operator's own columns begin with "mix_", and all other columns pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegrid.llm.shared import settled
 
 DIMS = ("source", "lang", "topic")
-#: Share of all tokens to take; exponent that draws each margin's shares together; rounds of fitting.
-KEEP, TEMPER, ROUNDS = 0.7, 0.7, 6
+#: Share of all tokens to take; exponent that draws each margin's shares together.
+KEEP, TEMPER = 0.5, 0.85
+#: Most rounds of fitting; relative distance from its target at which a margin is met; steps that cap the targets.
+ROUNDS, TOLERANCE, CAPS = 12, 0.01, 6
+#: The greatest share of a value's tokens that a tempered target may ask for, so that other margins leave room to meet it.
+ROOM = 0.85
+#: Rounds between two looks at the margins.
+BATCH = 6
+#: Topics have words of a language, so their targets go by those of the languages.
+FOLLOWS = {"mix_topic": "mix_lang"}
 #: Cells up to which the table of weights is sent to every task; beyond, rows and weights are joined by shuffle.
 BROADCAST_CELLS = 50_000
+#: Topic words, and the greatest share of documents that may hold one.
+TOPICS, MOST = 24, 0.2
+
+WORD, TOPIC_WORD = r"[^\x20\x09-\x0D]+", "[a-z]{5,}"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _lower(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
 
-WORD = r"[^\x20\x09-\x0D]+"
-NOISY, SHORT, LONG = r"[#$%&*]{3}", 500, 8000
 
+def topic_words(docs: DataFrame, text: str = "text") -> list[str]:
+    """The topic words, most frequent first; of equals the lesser word."""
+    n = docs.count()
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(_lower(F.col(text)), F.lit(TOPIC_WORD), F.lit(0)))).alias("w"))
+    found = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") <= MOST * n)
+    return [r["w"] for r in found.orderBy(F.col("n").desc(), "w").limit(TOPICS).collect()]
 
-def topic_of(text: Column) -> Column:
-    """A plain stand-in for topics: noisy, short, long or prose, from the text alone."""
-    text = F.coalesce(text, F.lit(""))
-    return F.when(text.rlike(NOISY), "noisy").when(F.length(text) < SHORT, "short").when(F.length(text) >= LONG, "long").otherwise("prose")
 
+def described(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", words: list[str] | None = None) -> DataFrame:
+    """Add mix_source, mix_lang, mix_topic and mix_tokens (words); the topic is the greatest of the words held most often."""
+    words = topic_words(docs, text) if words is None else words
+    # A column of its own, as the lambda below names it for every hit.
+    docs = docs.withColumn("__hits", F.regexp_extract_all(_lower(F.col(text)), F.lit("|".join(words)), F.lit(0)) if words else F.array().cast("array<string>"))
+    counts = F.transform(F.array_distinct("__hits"), lambda w: F.struct(F.size(F.filter("__hits", lambda h: h == w)).alias("n"), w.alias("w")))
+    named = {"mix_source": F.coalesce(F.col(source), F.lit("")), "mix_lang": F.coalesce(F.col(lang), F.lit("")), "mix_topic": F.coalesce(F.array_max(counts)["w"], F.lit(""))}
+    return docs.withColumns(named | {"mix_tokens": F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("bigint")}).drop("__hits")
 
-def described(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
-    """Add mix_source, mix_lang, mix_topic and mix_tokens (words)."""
-    named = {"mix_source": F.coalesce(F.col(source), F.lit("")), "mix_lang": F.coalesce(F.col(lang), F.lit("")), "mix_topic": topic_of(F.col(text))}
-    return docs.withColumns(named | {"mix_tokens": F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("bigint")})
 
+def margins(cells: DataFrame, dims: list[str], *more: str) -> DataFrame:
+    """(dim, value, taken) and, for each name in more, what it is for the margin's value: one pass over cells for all dims."""
+    rows = cells.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("value"), *[F.col(f"{m}_{d}").alias(m) for m in more]) for d in dims])).alias("x"), (F.col("tokens") * F.col("weight")).alias("t"))
+    return rows.groupBy("x.dim", "x.value").agg(F.sum("t").alias("taken"), *[F.max(f"x.{m}").alias(m) for m in more])
 
-def rake(cells: DataFrame, dims: list[str], keep: float = KEEP, temper: float = TEMPER, rounds: int = ROUNDS, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """Add ``weight`` to cells (dims, tokens). targets: dim -> value -> share of the tokens taken, for margins not tempered.
 
-    Every step is a small job over cells, kept in the shared folder; sums over a margin are combined before they meet.
+def of_dim(values: dict[str, float], none: float = 0.0) -> Column:
+    return reduce(lambda c, kv: F.when(F.col("dim") == kv[0], F.lit(float(kv[1]))).otherwise(c), values.items(), F.lit(none))
+
+
+def wanted(sums: DataFrame, dims: list[str], keep: float, temper: float, total: float, targets: dict[str, dict[str, float]]) -> DataFrame:
+    """(dim, value, of, to) from (dim, value, taken) of all tokens.
+
+    Tempered targets are in proportion to taken ** temper and make up keep * total, none above ROOM of what there is: those
+    that reach that are held there and the rest is scaled anew, CAPS times.
+    """
+    m, most = F.col("taken"), F.col("taken") * F.lit(ROOM)
+    for dim in set(targets) & set(dims):
+        unknown = [r[0] for r in sums.where((F.col("dim") == dim) & ~F.col("value").isin(list(targets[dim]))).select("value").limit(5).collect()]
+        if unknown:
+            raise ValueError(f"no target for {unknown} of {dim}")
+    factor: dict[str, float] = {}
+    for _ in range(CAPS):
+        held = (of_dim(factor) * F.pow(m, F.lit(temper)) >= most) if factor else F.lit(False)
+        rows = sums.groupBy("dim").agg(F.sum(F.when(held, most).otherwise(0.0)).alias("held"), F.sum(F.when(held, 0.0).otherwise(F.pow(m, F.lit(temper)))).alias("free")).collect()  # a row for each dim
+        now = {r["dim"]: (keep * total - r["held"]) / r["free"] if r["free"] else factor.get(r["dim"], 0.0) for r in rows}
+        if now == factor:
+            break
+        factor = now
+    to = F.least(most, of_dim(factor) * F.pow(m, F.lit(temper)))
+    for dim, shares in targets.items():
+        share = reduce(lambda c, kv: F.when(F.col("value") == kv[0], F.lit(float(kv[1]))).otherwise(c), shares.items(), F.lit(0.0))
+        to = F.when(F.col("dim") == dim, share * F.lit(keep * total)).otherwise(to)
+    return sums.select("dim", "value", m.alias("of"), to.alias("to"))
+
+
+def fitted(cells: DataFrame, dim: str, small: bool) -> DataFrame:
+    """Weights scaled to one margin. Few cells are summed up where they lie; of many, partial sums meet first."""
+    mass = F.sum(F.col("tokens") * F.col("weight"))
+    if small:
+        rows = cells.withColumn("now", mass.over(Window.partitionBy(dim)))
+    else:
+        rows = cells.join(cells.groupBy(dim).agg(mass.alias("now")), dim)
+    step = F.coalesce(F.try_divide(F.col(f"to_{dim}"), F.col("now")), F.lit(1.0))
+    return rows.withColumn("weight", F.least(F.lit(1.0), F.col("weight") * step)).drop("now")
+
+
+def rake(cells: DataFrame, dims: list[str], keep: float = KEEP, temper: float = TEMPER, rounds: int = ROUNDS, targets: dict[str, dict[str, float]] | None = None, follows: dict[str, str] | None = None) -> DataFrame:
+    """Add ``weight`` and the margins' targets (to_dim) to cells (dims, tokens).
+
+    targets: dim -> value -> share of the tokens taken, for margins not tempered. follows: dim -> another dim by whose
+    targets its own go, each value keeping its share within the other's; dims that hang together would else ask for what
+    can't be. BATCH rounds are a small job over cells, kept in the shared folder.
     """
-    total = float(cells.agg(F.sum("tokens")).collect()[0][0] or 0)
-    for dim in dims:
-        margin = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("m"))
-        if targets and dim in targets:
-            share = F.lit(0.0)
-            for value, x in targets[dim].items():
-                share = F.when(F.col(dim) == value, F.lit(float(x))).otherwise(share)
-        else:
-            scale = float(margin.agg(F.sum(F.pow("m", F.lit(temper)))).collect()[0][0] or 1) or 1.0
-            share = F.pow("m", F.lit(temper)) / F.lit(scale)
-        cells = cells.join(margin.withColumn(f"to_{dim}", share * F.lit(keep * total)).drop("m"), dim)
-    cells = settled(cells.withColumn("weight", F.lit(float(keep))))
-    for _ in range(rounds):
+    total, follows = float(cells.agg(F.sum("tokens")).collect()[0][0] or 0), follows or {}
+    free = [d for d in dims if d not in follows]
+    cells, small = cells.withColumn("weight", F.lit(1.0)), cells.count() <= BROADCAST_CELLS
+    sent = F.broadcast if small else lambda x: x
+    to = settled(wanted(settled(margins(cells, free)), free, keep, temper, total, targets or {}))
+    for dim in free:
+        own = to.where(F.col("dim") == dim).select(F.col("value").alias(dim), F.col("to").alias(f"to_{dim}"), F.try_divide("to", "of").alias(f"__rate_{dim}"))
+        cells = cells.join(sent(own), dim)
+    for dim, other in follows.items():
+        cells = cells.join(sent(cells.groupBy(dim).agg(F.sum(F.col("tokens") * F.coalesce(F.col(f"__rate_{other}"), F.lit(0.0))).alias(f"to_{dim}"))), dim)
+    cells = settled(cells.drop(*[f"__rate_{d}" for d in free]).withColumn("weight", F.lit(float(keep))))
+    for n in range(rounds):
+        if n % BATCH == 0 and (farthest(cells, dims) or 0.0) <= TOLERANCE:
+            break
         for dim in dims:
-            now = cells.groupBy(dim).agg(F.sum(F.col("tokens") * F.col("weight")).alias("now"))
-            step = F.coalesce(F.try_divide(F.col(f"to_{dim}"), F.col("now")), F.lit(1.0))
-            cells = settled(cells.join(now, dim).withColumn("weight", F.least(F.lit(1.0), F.col("weight") * step)).drop("now"))
-    return cells.drop(*[f"to_{d}" for d in dims])
+            cells = fitted(cells, dim, small)
+        if not small or (n + 1) % BATCH == 0 or n + 1 == rounds:
+            cells = settled(cells)
+    return cells
+
+
+def farthest(cells: DataFrame, dims: list[str]) -> float | None:
+    """The greatest relative distance of a margin from its target."""
+    return margins(cells, dims, "to").agg(F.max(F.abs(F.try_divide(F.col("taken"), F.col("to")) - 1))).collect()[0][0]
 
 
 def chance(key: Column) -> Column:
@@ -69,18 +151,29 @@ def chance(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
+def raked(docs: DataFrame, **rates) -> tuple[DataFrame, DataFrame]:
+    """(rows with the mix_ columns, cells with their weights and targets)."""
+    dims = [f"mix_{d}" for d in DIMS]
+    told = described(docs)
+    return told, rake(settled(told.groupBy(*dims).agg(F.sum("mix_tokens").alias("tokens"))), dims, **({"follows": FOLLOWS} | rates))
+
+
 def mixed(docs: DataFrame, key: str = "doc_id", **rates) -> DataFrame:
     """All rows with the mix_ columns, mix_weight (the probability to be kept) and mix_kept."""
     dims = [f"mix_{d}" for d in DIMS]
-    told = described(docs)
-    cells = settled(told.groupBy(*dims).agg(F.sum("mix_tokens").alias("tokens")))
-    weights = rake(cells, dims, **rates).select(*dims, F.col("weight").alias("mix_weight"))
+    told, cells = raked(docs, **rates)
+    weights = cells.select(*dims, F.col("weight").alias("mix_weight"))
     if weights.count() <= BROADCAST_CELLS:
         weights = F.broadcast(weights)
     out = told.join(weights, dims)
     return out.select(*docs.columns, *dims, "mix_tokens", "mix_weight", (chance(F.col(key)) < F.col("mix_weight")).alias("mix_kept"))
 
 
+def report(docs: DataFrame, **rates) -> DataFrame:
+    """(dim, value, target, taken) of the fitted weights, in tokens."""
+    return margins(raked(docs, **rates)[1], [f"mix_{d}" for d in DIMS], "to").select("dim", "value", F.col("to").alias("target"), "taken")
+
+
 def sample(docs: DataFrame, key: str = "doc_id", **rates) -> DataFrame:
     """The rows of docs that are kept."""
     return mixed(docs, key, **rates).where("mix_kept").select(*docs.columns)
@@ -92,18 +185,34 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same steps in DuckDB's SQL, a table for each."""
-    topic = f"CASE WHEN regexp_matches(coalesce(text, ''), '{NOISY}') THEN 'noisy' WHEN length(coalesce(text, '')) < {SHORT} THEN 'short' WHEN length(text) >= {LONG} THEN 'long' ELSE 'prose' END"
-    steps = [f"d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {topic} AS topic, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS tokens FROM documents)"]
-    steps.append("c AS (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL)")
-    for dim in DIMS:
-        steps.append(f"m_{dim} AS (SELECT {dim}, pow(sum(tokens), {TEMPER}) AS m FROM c GROUP BY {dim})")
-        steps.append(f"t_{dim} AS (SELECT {dim}, m / (SELECT sum(m) FROM m_{dim}) * {KEEP} * (SELECT sum(tokens) FROM c) AS to_{dim} FROM m_{dim})")
+    """The same steps in DuckDB's SQL, a table for each; a round after the margins are met changes nothing."""
+    low = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
+    steps = [
+        f"u AS (SELECT w, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all({low}, '{TOPIC_WORD}'))) AS w FROM documents) GROUP BY w HAVING count(*) <= {MOST} * (SELECT count(*) FROM documents) ORDER BY n DESC, w LIMIT {TOPICS})",
+        "x AS (SELECT coalesce(string_agg(w, '|' ORDER BY n DESC, w), '[^\\s\\S]') AS p FROM u)",
+        f"h AS (SELECT doc_id, text, source, lang, regexp_extract_all({low}, p) AS hits FROM documents, x)",
+        f"d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(list_max(list_transform(list_distinct(hits), lambda w: {{'n': len(list_filter(hits, lambda q: q = w)), 'w': w}})).w, '') AS topic, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS tokens FROM h)",
+        "c AS (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL)",
+    ]
+    for dim in DIMS[:2]:
+        steps.append(f"m_{dim} AS (SELECT {dim}, sum(tokens) AS m FROM c GROUP BY {dim})")
+        want = f"({KEEP} * (SELECT sum(tokens) FROM c))"
+        steps.append(f"f_{dim}_0 AS (SELECT {want} / sum(pow(m, {TEMPER})) AS f FROM m_{dim})")
+        for n in range(1, CAPS):
+            steps.append(f"f_{dim}_{n} AS (SELECT coalesce(({want} - sum(CASE WHEN f * pow(m, {TEMPER}) >= m * {ROOM} THEN m * {ROOM} ELSE 0 END)) / nullif(sum(CASE WHEN f * pow(m, {TEMPER}) >= m * {ROOM} THEN 0 ELSE pow(m, {TEMPER}) END), 0), any_value(f)) AS f FROM m_{dim}, f_{dim}_{n - 1})")
+        steps.append(f"t_{dim} AS (SELECT {dim}, least(m * {ROOM}, f * pow(m, {TEMPER})) AS to_{dim} FROM m_{dim}, f_{dim}_{CAPS - 1})")
+    steps.append("t_topic AS (SELECT topic, sum(tokens * coalesce(to_lang / nullif(m, 0), 0)) AS to_topic FROM c JOIN m_lang USING (lang) JOIN t_lang USING (lang) GROUP BY topic)")
     steps.append(f"s0 AS (SELECT *, CAST({KEEP} AS DOUBLE) AS w FROM c " + " ".join(f"JOIN t_{dim} USING ({dim})" for dim in DIMS) + ")")
-    n = 0
-    for _ in range(ROUNDS):
-        for dim in DIMS:
-            steps.append(f"s{n + 1} AS MATERIALIZED (SELECT * EXCLUDE (w), least(1.0::DOUBLE, w * coalesce(to_{dim} / nullif(sum(tokens * w) OVER (PARTITION BY {dim}), 0), 1.0)) AS w FROM s{n})")
-            n += 1
+    for n in range(ROUNDS):
+        if n % BATCH:
+            steps.append(f"e{n} AS (SELECT * FROM s{n})")
+        far = ", ".join(f"coalesce(abs(sum(tokens * w) OVER (PARTITION BY {dim}) / nullif(to_{dim}, 0) - 1), 0)" for dim in DIMS)
+        if n % BATCH == 0:
+            steps.append(f"e{n} AS MATERIALIZED (SELECT * EXCLUDE (far), max(far) OVER () <= {TOLERANCE} AS met FROM (SELECT *, greatest({far}) AS far FROM s{n}))")
+        last = f"e{n}"
+        for k, dim in enumerate(DIMS):
+            steps.append(f"r{n}_{k} AS MATERIALIZED (SELECT * EXCLUDE (w), CASE WHEN met THEN w ELSE least(1.0::DOUBLE, w * coalesce(to_{dim} / nullif(sum(tokens * w) OVER (PARTITION BY {dim}), 0), 1.0)) END AS w FROM {last})")
+            last = f"r{n}_{k}"
+        steps.append(f"s{n + 1} AS (SELECT * EXCLUDE (w{', met' if n % BATCH == BATCH - 1 else ''}), w FROM {last})")
     chance = "CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0"
-    return "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, source, lang, topic, d.tokens, round(w, 6) AS weight, {chance} < w AS kept FROM d JOIN s{n} USING (source, lang, topic)"
+    return "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, source, lang, topic, d.tokens, round(w, 6) AS weight, {chance} < w AS kept FROM d JOIN s{ROUNDS} USING (source, lang, topic)"
