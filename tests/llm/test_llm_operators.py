@@ -256,13 +256,28 @@ def test_secrets_and_ledger(spark, docs, tmp_path):
     assert {r["doc_id"]: r["n_access"] for r in secrets.query(spark, SF).collect()} == brute
 
 
-def test_mixing_meets_targets(spark, docs):
-    out = mixing.mixed(docs).groupBy("mix_source").agg(F.sum("mix_tokens").alias("t"), F.sum(F.col("mix_tokens") * F.col("mix_weight")).alias("w")).collect()
-    taken, shares = sum(r["w"] for r in out), sum(r["t"] ** mixing.TEMPER for r in out)
-    for r in out:
-        assert r["w"] <= r["t"] + 1e-6 and abs(r["w"] / taken - r["t"] ** mixing.TEMPER / shares) < 0.1
+def test_mixing_meets_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.report(docs).collect()
+    for dim in {r["dim"] for r in rows}:
+        own = [r for r in rows if r["dim"] == dim]
+        off = sum(abs(r["taken"] - r["target"]) for r in own) / sum(r["target"] for r in own)
+        print(f"{dim}: {off:.4f} of the tokens off target, farthest {max(abs(r['taken'] / r['target'] - 1) for r in own if r['target']):.3f}")
+        assert off < 0.01
     kept = mixing.sample(odd(spark))
     assert kept.columns == odd(spark).columns and mixing.sample(odd(spark).limit(0)).count() == 0
+    told = {r["doc_id"]: (r["mix_source"], r["mix_lang"], r["mix_tokens"]) for r in mixing.mixed(odd(spark)).collect()}
+    assert told[1] == told[2] == told[3] == ("s", "", 0) and told[6] == ("s", "", 3000)
+
+
+def test_mixing_with_given_targets(spark):
+    cells = spark.createDataFrame([("a", "x", 100.0), ("a", "y", 300.0), ("b", "x", 200.0), ("b", "y", 400.0)], "s string, l string, tokens double")
+    rows = mixing.rake(cells, ["s", "l"], 0.4, 1.0, targets={"s": {"a": 0.5, "b": 0.5}}).collect()
+    taken = {v: sum(r["tokens"] * r["weight"] for r in rows if r["s"] == v or r["l"] == v) for v in "abxy"}
+    assert taken["a"] == pytest.approx(200, rel=0.02) and taken["b"] == pytest.approx(200, rel=0.02)
+    assert taken["x"] == pytest.approx(120, rel=0.02) and taken["y"] == pytest.approx(280, rel=0.02)
+    with pytest.raises(ValueError, match="no target"):
+        mixing.rake(cells, ["s", "l"], targets={"s": {"a": 1.0}})
 
 
 def test_packing_round_trip(spark, docs):
@@ -317,9 +332,16 @@ def test_packing_odd_rows(spark):
 def test_warc_round_trip_and_faults(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/\r\nx", "<p>é</p>"), (2, None, None), (3, "u", ""), (4, "u", "<p>é</p>"), (4, "u", "<p>é</p>"), (None, "u", "solo")], "page_id bigint, url string, html string")
     folder = str(tmp_path / "warc")
-    warc.write_archives(pages, f"file://{folder}")
-    rows = warc.read_archives(spark, f"file://{folder}").collect()
+    written = warc.write_archives(pages.withColumn("d", F.lit(1)).withColumn("refers_to", F.lit("x")), f"file://{folder}")
+    (tmp_path / "warc" / "lost-attempt.warc.zst").write_bytes(b"half of an archive")
+    rows = warc.read_archives(spark, f"file://{folder}", written).collect()
     assert len(rows) == 6
+    with pytest.raises(ValueError, match="missing"):
+        warc.read_archives(spark, f"file://{folder}", written.unionByName(spark.createDataFrame([("gone", 1)], written.schema)))
+    with pytest.raises(Exception, match="instead of"):
+        warc.read_archives(spark, f"file://{folder}", written.withColumn("records", F.col("records") + 1)).collect()
+    none = warc.write_archives(pages.limit(0), f"file://{tmp_path}/none")
+    assert warc.read_archives(spark, f"file://{tmp_path}/none", none).count() == 0
     of = {r["page_id"]: r for r in rows}
     assert of[1]["refers_to"] == 4 and of[2]["refers_to"] == 3 and of[4]["record_type"] == "response" and of[1]["payload_bytes"] == 9
     assert bytes(of[4]["payload"]).decode() == "<p>é</p>"

@@ -1,8 +1,9 @@
 """WARC archives in Zstandard: one frame for each record, a dictionary in the leading skippable frame.
 
 An archive is a skippable frame that holds the dictionary (itself a Zstandard frame), then one frame for each record.
-Writers cut archives by size; a task writes to names of its own and moves a whole file into place, so a task that runs
-again replaces what it wrote before. The dictionary is trained on the first records of the archive, up to DICT_SAMPLE.
+Writers cut archives by size. Each attempt of a task writes to names of its own, and a settled table of (file, records)
+names the files that count; what else lies in the folder, from attempts that were lost or ran twice, is not read, and a
+file that lacks or holds other than its number of records is an error. The dictionary is trained on the first records of the archive, up to DICT_SAMPLE.
 
 Reading checks the magic numbers, that each frame ends where the record does, the version line, the needed
 headers, Content-Length against the block, and the payload's digest; what fails is an error, never skipped.
@@ -30,6 +31,8 @@ from tracegrid.llm.shared import settled, shared_dir
 DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 #: Bytes of payload after which a writer begins another archive; bytes that train its dictionary; the dictionary's size.
 ARCHIVE_BYTES, DICT_SAMPLE, DICT_BYTES = 16 << 20, 1 << 20, 32 << 10
+#: Revisits (about 100 bytes each), and names of archives, up to which their table is sent to every task.
+FEW_REVISITS, FEW_FILES = 200_000, 100_000
 NEEDED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 
 
@@ -125,23 +128,22 @@ def revisits(pages: DataFrame, key: str, payload: str, least: int = 0) -> DataFr
 def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
     """Write the rows as archives under ``folder``, which every executor must reach; returns (file, records) as a settled table."""
     seen = settled(revisits(pages.where(F.col(key).isNotNull()), key, payload, least).select(F.col(key).alias("k"), "d", "refers_to"))
+    if seen.count() <= FEW_REVISITS:  # payloads stay where they are
+        seen = F.broadcast(seen)
     rows = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(payload).alias("p"), F.sha1(F.coalesce(F.col(payload), F.lit("")).cast("binary")).alias("d"))
     rows = rows.join(seen, ["k", "d"], "left")
 
     def run(batches):
         from pyarrow import fs
-        from pyspark import TaskContext
 
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
         store.create_dir(root, recursive=True)
-        task = TaskContext.get()
-        held, size, n = [], 0, 0
+        attempt, held, size, n = uuid.uuid4().hex, [], 0, 0
 
         def close():
-            name, own = f"part-{task.partitionId():06d}-{n:06d}.warc.zst", f".{uuid.uuid4().hex}.open"
-            with store.open_output_stream(f"{root}/{own}") as out:
+            name = f"{attempt}-{n:06d}.warc.zst"
+            with store.open_output_stream(f"{root}/{name}", compression=None) as out:
                 out.write(archive(held))
-            store.move(f"{root}/{own}", f"{root}/{name}")
             return pa.RecordBatch.from_pydict({"file": [name], "records": [len(held)]})
 
         for batch in batches:
@@ -159,24 +161,29 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     return settled(rows.select("k", "u", "p", "refers_to").mapInArrow(run, "file string, records bigint"))
 
 
-def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """A row for each record of the archives under ``folder``: headers that are needed, and the block if asked for."""
+def read_archives(spark: SparkSession, folder: str, written: DataFrame, payloads: bool = True) -> DataFrame:
+    """A row for each record of the archives that ``written`` names: headers that are needed, and the block if asked for.
+
+    written: (file, records), as write_archives gives it. A file that it names and that is not there is an error.
+    """
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string" + ", payload binary" * payloads
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         for batch in batches:
-            for data in batch.column(0):
-                rows, size = [], 0
+            for data, records in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                rows, size, seen = [], 0, 0
                 for head, block in read_archive(data.as_py()):
                     number = lambda k, head=head: int(head[k]) if k in head else None
                     if head["WARC-Type"] == "response" and number("X-Payload-Length") not in (None, len(block)):
                         raise ValueError("the payload is not as long as its header says")
                     rows.append((number("X-Page-ID"), number("X-Payload-Length"), head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"], number("X-Refers-To-Page"), head.get("WARC-Target-URI"), block)[: len(names)])
-                    size += len(block)
+                    size, seen = size + len(block), seen + 1
                     if size > 8 << 20 and payloads or len(rows) >= 10_000:
                         yield table(rows)
                         rows, size = [], 0
+                if seen != records:
+                    raise ValueError(f"an archive holds {seen} records instead of {records}")
                 if rows:
                     yield table(rows)
 
@@ -184,17 +191,22 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names)
 
+    told = written.select("file", "records")
+    if (n := told.count()) == 0:
+        return spark.createDataFrame([], schema)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    return files.select("content").mapInArrow(run, schema)
+    file = F.element_at(F.split("path", "/"), -1)
+    if n <= FEW_FILES:  # contents stay where they are read
+        told = F.broadcast(told)
+    if (there := files.select(file.alias("file")).join(told, "file").count()) != n:
+        raise ValueError(f"{n - there} of {n} archives are missing")
+    return files.select(file.alias("file"), "content").join(told, "file").select("content", "records").mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    written = write_archives(pages, folder)
-    if written.isEmpty():
-        return spark.createDataFrame([], "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string")
-    return read_archives(spark, folder, payloads=False)
+    written = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    return read_archives(spark, folder, written, payloads=False)
 
 
 #: SHA-1 in base 32: 32 groups of five bits, looked up in the alphabet.
