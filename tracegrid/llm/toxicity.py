@@ -6,7 +6,7 @@ labelled: weights of hashed word features, and transitions between two states. F
 marginal; tokens of 0.5 or more in a row are an offending span, and a logistic curve, fitted on labelled documents that
 the field has not seen, turns the marginals' sum into a score.
 
-The field is fitted on the driver on at most MOST_TOXIC and MOST_CLEAN labelled documents and FIT_CHARS code points of
+The field is fitted in one task on at most MOST_TOXIC and MOST_CLEAN labelled documents and FIT_CHARS code points of
 text, whole documents in order of their hashed ids. Everything else covers all documents, in tasks that hold the model
 and one group of documents at a time.
 
@@ -18,6 +18,7 @@ without labels of both kinds every score is 0; an empty table gives an empty res
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 
@@ -292,8 +293,13 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             chosen.append(r[key])
     if size > FIT_CHARS:
         rows = rows.where(F.col(key).isin(chosen))
-    found = rows.orderBy(key).select("body", "toxic").collect()  # FIT_CHARS code points at most
-    return fit([r["body"] for r in found], [bool(r["toxic"]) for r in found])
+
+    def run(batches):
+        held = sorted((r[key], r["body"], r["toxic"]) for batch in batches for r in batch.to_pylist())
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit([t for _, t, _ in held], [bool(y) for *_, y in held]))]})
+
+    # One task, as FIT_CHARS code points at most are learned from; the driver gets the model alone.
+    return pickle.loads(rows.select(key, "body", "toxic").coalesce(1).mapInArrow(run, "model binary").collect()[0]["model"])
 
 
 SCORED = "score double, toxic_spans array<struct<start:bigint,end:bigint>>"
