@@ -289,10 +289,10 @@ def shingle_sets(docs: DataFrame, text: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of nodes, those whose sets have a Jaccard similarity of 0.8 or more, counted exactly."""
+    """Of pairs (a, b, star_root) of nodes, those whose sets have a Jaccard similarity of 0.8 or more, counted exactly."""
     one, two = (sets.select(F.col("node").alias(k), F.col("members").alias(f"m{k}")) for k in "ab")
     both, sizes = F.size(F.array_intersect("ma", "mb")), F.size("ma") + F.size("mb")
-    return pairs.join(one, "a").join(two, "b").where(9 * both >= 4 * sizes).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(9 * both >= 4 * sizes).select("a", "b", "star_root")
 
 
 def alike_rows(group: np.ndarray, side: np.ndarray, root: np.ndarray, sig: np.ndarray):
@@ -367,19 +367,23 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     sets = settled(shingle_sets(docs.select(key, text).join(wanted, key, "left_semi"), text).groupBy("node").agg(F.first("members").alias("members")))
     links = roots = None
     for n in range(STARS + 1):
-        rows = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
+        rows = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         large = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(n), "node").alias("h"), "node", "root")).alias("star"))
         large = settled(large.where(f"n > {SMALL} and lo < hi").select("bucket", F.col("star.node").alias("star"), F.col("star.root").alias("star_root")))
-        if n == STARS or large.isEmpty():
-            pairs = met_pairs(rows.join(some.select("node", "sig"), "node").select("bucket", "node", "root", "sig"))
+        last = n == STARS or large.isEmpty()
+        if last:
+            pairs = met_pairs(rows.join(some.select("node", "sig"), "node").select("bucket", "node", "root", "sig")).withColumn("star_root", F.lit(None).cast("bigint"))
         else:
-            asked = rows.join(large, "bucket").where("root <> star_root").groupBy("node", "star").agg(F.count("*").alias("n"))
-            pairs = asked.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("n", "star")).alias("best")).select("a", F.col("best.star").alias("b"))
+            asked = rows.join(large, "bucket").where("root <> star_root").groupBy("node", "star", "star_root").agg(F.count("*").alias("n"))
+            pairs = asked.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("n", "star", "star_root")).alias("best")).select("a", F.col("best.star").alias("b"), F.col("best.star_root").alias("star_root"))
         now = settled(verified(pairs, sets))
-        links = now if links is None else links.unionByName(now)
-        roots = components(links)
-        if large.isEmpty():
+        links = now.select("a", "b") if links is None else links.unionByName(now.select("a", "b"))
+        if last:
             break
+        # A node takes its star's name. Names needn't be components' yet: two of one component cost a comparison, no link.
+        moved = now.select(F.col("a").alias("node"), F.col("star_root").alias("moved"))
+        roots = settled(moved.withColumnRenamed("moved", "root") if roots is None else roots.join(moved, "node", "full").select("node", F.coalesce("moved", "root").alias("root")))
+    roots = components(links)
     of = classes.join(roots, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
     of = settled(of)
     named = of.groupBy("root").agg(F.min("least").alias("component_id"))
