@@ -41,7 +41,7 @@ def near_folds(pos: str, edges: list[int], embargo: int) -> Column:
 
 def training(df: DataFrame, vector: str, pos: str, edges: list[int], embargo: int) -> dict[int, Moments]:
     """fold -> moments of its training rows."""
-    whole = moments(df, vector)[None]
+    whole = moments(df, vector)[None]  # zeros if there are no rows, and then no fold has any
     out = moments(df.withColumn("__near", F.explode(near_folds(pos, edges, embargo))), vector, "__near")
     return {k: Moments(whole - s) for k, s in out.items()}
 
@@ -107,7 +107,10 @@ def best_alpha(trained: dict[int, Moments], tested: dict[int, Moments], nx: int,
 
 def logistic(df: DataFrame, x: str, y: str, c: float = 1.0, steps: int = 12) -> np.ndarray:
     """Weights and, last, the intercept of an L2-penalised logistic model (penalty 1 / (2 C), intercept free), by Newton's steps."""
-    d = df.select(F.size(x)).first()[0]
+    row = df.select(F.size(x)).first()
+    if row is None:
+        return np.empty(0)
+    d = row[0]
     beta = np.zeros(d + 1)
     for _ in range(steps):
         now = beta

@@ -2,6 +2,10 @@
 
 Rows hold a vector column (array of doubles). Each task adds up the outer products of its rows; what reaches the driver
 is one (d + 1) x (d + 1) matrix for each fold or class, whatever the number of rows.
+
+Rows with a NULL vector don't count; vectors of different lengths are an error; a NULL or NaN place makes the sums it
+enters NaN; repeated rows count each time. An empty table has moments of 0 and models of no places: principal gives no
+components, correlations a 0 x 0 matrix, factorised factors of no places, residual no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +19,9 @@ from pyspark.sql import functions as F
 
 
 def matrix(column) -> np.ndarray:
-    """Rows of an Arrow list column as a matrix."""
+    """Rows of an Arrow list column as a matrix; vectors of different lengths are an error, a NULL place is NaN."""
+    if len(set(np.diff(column.offsets.to_numpy()).tolist())) > 1:
+        raise ValueError("vectors of different lengths")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
@@ -45,7 +51,7 @@ def moments(df: DataFrame, vector: str, group: str | None = None, weight: str |
     parts = rows.mapInArrow(run, "k bigint, i bigint, row array<double>").select("k", "i", F.posexplode("row").alias("j", "x"))
     found = parts.groupBy("k", "i", "j").agg(F.sum("x").alias("x")).collect()  # (d + 1)^2 numbers a group
     size = 1 + max((r["i"] for r in found), default=0)
-    out: dict = {}
+    out: dict = {} if group else {None: np.zeros((size, size))}
     for r in found:
         out.setdefault(r["k"] if group else None, np.zeros((size, size)))[r["i"], r["j"]] = r["x"]
     return out
@@ -101,6 +107,8 @@ class Components:
 
 def principal(df: DataFrame, vector: str, k: int | None = None) -> Components:
     m = Moments(moments(df, vector)[None])
+    if not len(m.mean):
+        return Components(np.empty((0, 0)), m.mean, np.empty(0))
     values, vectors = np.linalg.eigh(m.scatter / max(m.n - 1, 1.0))
     order = np.argsort(-values)
     loadings = vectors[:, order].T
@@ -143,6 +151,8 @@ def mean_correlation(corr: np.ndarray) -> np.ndarray:
 def residual(df: DataFrame, x: str, b: str, keys: list[str], alpha: float = 1e-3) -> DataFrame:
     """(keys, vector): x minus what a ridge model with intercept predicts from b."""
     dims = df.select(F.size(x), F.size(b)).first()
+    if dims is None:
+        return df.select(*keys, F.col(x).cast("array<double>").alias("vector"))
     both = df.withColumn("__xb", F.concat(F.col(b).cast("array<double>"), F.col(x).cast("array<double>")))
     m, nb = Moments(moments(both, "__xb")[None]), dims[1]
     w = np.linalg.solve(m.scatter[:nb, :nb] + alpha * np.eye(nb), m.scatter[:nb, nb:])
@@ -163,7 +173,10 @@ def procrustes(df: DataFrame, a: str, b: str) -> float:
 
 def canonical(df: DataFrame, x: str, y: str, k: int, ridge: float = 1e-9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(correlations, weights of x, weights of y) of the first k canonical pairs, from covariance blocks."""
-    nx = df.select(F.size(x)).first()[0]
+    row = df.select(F.size(x)).first()
+    if row is None:
+        return np.empty(0), np.empty((0, 0)), np.empty((0, 0))
+    nx = row[0]
     m = Moments(moments(df.withColumn("__xy", F.concat(F.col(x).cast("array<double>"), F.col(y).cast("array<double>"))), "__xy")[None])
     s = m.scatter / m.n
     root = lambda c: np.linalg.inv(np.linalg.cholesky(c + ridge * np.eye(len(c))))

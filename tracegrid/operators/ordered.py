@@ -20,7 +20,9 @@ CHUNK = 1 << 16
 
 
 def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join on keys that may be NULL; the right side's keys go."""
+    """Join on keys that may be NULL; the right side's keys go. Without keys the right side is one row."""
+    if not keys:
+        return left.join(F.broadcast(right))
     right = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
     return left.join(right, on, how).drop(*[f"__r_{k}" for k in keys])

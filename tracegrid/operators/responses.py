@@ -11,20 +11,21 @@ from tracegrid.functions.columns import wrapped
 from tracegrid.operators.decoding import resampled_means
 from tracegrid.operators.ordered import joined, windowed
 from tracegrid.operators.series import median_filtered, rising
-from tracegrid.operators.stats import levels, quantiles, scaled
+from tracegrid.operators.settle import settled
+from tracegrid.operators.stats import levels_by, quantiles, scaled
 
 
 def pulses(df: DataFrame, by: list[str], pos: str, value: str, size: int = 31, low: float = 0.1, high: float = 0.9, within: int = 200, outlier: float = 10.0) -> DataFrame:
     """(by, on, lag): rising edges through the low threshold that an edge through the high one confirms soon after.
 
-    The trace is scaled, median-filtered, and its two levels give both thresholds. Lags farther from the median lag
+    Each session's trace is scaled, median-filtered, and its two levels give both thresholds. Lags farther from the median lag
     than ``outlier`` times the median displacement go.
     """
     rows = median_filtered(scaled(df, by, value, "__y", 0.0), by, pos, "__y", "__y", size)
-    found = sorted(levels(rows, "__y", 2))
-    base, top = found[0], found[-1]
-    cut = lambda share: base + share * (top - base)
-    rows = rising(rising(rows, by, pos, "__y", F.lit(cut(low)), "__on"), by, pos, "__y", F.lit(cut(high)), "__up")
+    ends = levels_by(rows, by, "__y", 2).groupBy(*by).agg(F.min("level").alias("__base"), F.max("level").alias("__top"))
+    cut = lambda share: F.col("__base") + share * (F.col("__top") - F.col("__base"))
+    rows = joined(rows, settled(ends), by)
+    rows = rising(rising(rows, by, pos, "__y", cut(low), "__on"), by, pos, "__y", cut(high), "__up")
     ups = rows.where("__up").select(*by, F.col(pos).alias("__p"))
     near = rows.where("__on").select(*by, F.col(pos).alias("on")).withColumn("__p", F.explode(F.sequence(F.col("on"), F.col("on") + within)))
     lags = joined(near, ups, [*by, "__p"], "inner").groupBy(*by, "on").agg(F.min(F.col("__p") - F.col("on")).alias("lag"))

@@ -165,9 +165,12 @@ def median_filtered(df: DataFrame, by: list[str], pos: str, value: str, out: str
 
 
 def sampling_rate(df: DataFrame, by: list[str], pos: str, time: str, default: float = 60.0) -> DataFrame:
-    """(by, fs): one over the median step."""
-    steps = difference(df, by, pos, time, "__dt")
-    return steps.groupBy(*by).agg(F.coalesce(F.try_divide(F.lit(1.0), F.percentile("__dt", 0.5)), F.lit(default)).alias("fs"))
+    """(by, fs): one over the median step; ``default`` where there is no step or the median is 0."""
+    from tracegrid.operators.stats import quantiles
+
+    mid = quantiles(difference(df, by, pos, time, "__dt"), by, "__dt", [0.5])
+    rows = joined(df.select(*by).distinct(), mid, by)
+    return rows.select(*by, F.coalesce(F.try_divide(F.lit(1.0), F.col("q")), F.lit(default)).alias("fs"))
 
 
 def lagged_products(pairs: DataFrame, by: list[str], pos: str, a: str, b: str, lags: int, n: str) -> DataFrame:

@@ -70,19 +70,24 @@ def signal_threshold(df: DataFrame, by: list[str], value: str, share: float = 0.
     return q.select(*by, (F.col("__b") + share * (F.col("__m") - F.col("__b"))).alias("threshold"))
 
 
-def levels(df: DataFrame, value: str, count: int = 2) -> list[float]:
-    """Medians of what is left when values within a tenth of the range around each earlier level are taken out."""
-    found, rest = [], df.where(F.col(value).isNotNull())
-    lo, hi = rest.agg(F.min(value), F.max(value)).first()
-    for _ in range(count):
-        row = quantiles(rest, [], value, [0.5]).select("q").first()  # one row
-        if row is None:
-            break
-        found.append(row[0])
-        rest = rest.where(F.abs(F.col(value) - row[0]) >= (hi - lo) / 10)
+def levels_by(df: DataFrame, by: list[str], value: str, count: int = 2) -> DataFrame:
+    """(by, place, level): medians of what is left when values within a tenth of the range around each earlier level are taken out."""
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
+    rest = joined(rows, rows.groupBy(*by).agg(((F.max("__v") - F.min("__v")) / 10).alias("__r")), by)
+    found = None
+    for place in range(count):
+        mid = quantiles(rest, by, "__v", [0.5]).select(*by, F.col("q").alias("level"))
+        one = mid.select(*by, F.lit(place).alias("place"), "level")
+        found = one if found is None else found.unionByName(one)
+        rest = joined(rest, mid, by, "inner").where(F.abs(F.col("__v") - F.col("level")) >= F.col("__r")).drop("level")
     return found
 
 
+def levels(df: DataFrame, value: str, count: int = 2) -> list[float]:
+    """The levels of all rows together, as a list."""
+    return [r["level"] for r in levels_by(df, [], value, count).orderBy("place").collect()]  # ``count`` rows
+
+
 def average_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """Ranks from 1, equal values sharing the mean of theirs. Values are counted before they are put in order."""
     counts = df.groupBy(*by, value).agg(F.count("*").alias("__n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracegrid.plans import models, scenes, sessions, statistics  # noqa: F401  they register their queries
+from tracegrid.plans import features, models, scenes, sessions, statistics  # noqa: F401  they register their queries
 from tracegrid.plans.registry import QUERIES, SQL
 
 
