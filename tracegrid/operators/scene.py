@@ -80,6 +80,12 @@ def slots(view: DataFrame, frames: DataFrame, key: list[str], objects: list[int]
     return joined(frames.select(*key), wide, key).na.fill(0.0)
 
 
+def slot_rows(view: DataFrame, frames: DataFrame, key: list[str], values: list[str]) -> DataFrame:
+    """(key, obj_id, values) of all objects that each frame shows, however many there are; one row without an object where it shows none."""
+    seen = view.groupBy(*key, "obj_id").agg(*[F.max(v).alias(v) for v in values])
+    return joined(frames.select(*key), seen, key)
+
+
 def view_shares(view: DataFrame, frames: int, key: list[str]) -> DataFrame:
     """(one, two, most): share of frames with at least one and two objects, and the most at once."""
     n = view.groupBy(*key).agg(F.count("*").alias("n"))

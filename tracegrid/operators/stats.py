@@ -88,11 +88,19 @@ def levels(df: DataFrame, value: str, count: int = 2) -> list[float]:
     return [r["level"] for r in levels_by(df, [], value, count).orderBy("place").collect()]  # ``count`` rows
 
 
-def average_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """Ranks from 1, equal values sharing the mean of theirs. Values are counted before they are put in order."""
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
-    upto = F.sum("__n").over(Window.partitionBy(*by).orderBy(value))
-    ranks = counts.where(F.col(value).isNotNull()).select(*by, value, (upto - (F.col("__n") - 1) / 2).alias(out))
+def average_ranks(df: DataFrame, by: list[str], value: str, out: str, cuts: int = 256) -> DataFrame:
+    """Ranks from 1, equal values sharing the mean of theirs; NULL has none.
+
+    Values are counted first. Approximate cuts deal a group's distinct values to buckets; they are put in order within
+    a bucket, and only the buckets' sizes over the group.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    marks = counts.groupBy(*by).agg(F.percentile_approx("__v", [k / cuts for k in range(1, cuts)], 10 * cuts).alias("__cuts"))
+    rows = joined(counts, marks, by).withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))).drop("__cuts")
+    sizes = rows.groupBy(*by, "__b").agg(F.sum("__n").alias("__size"))
+    sizes = sizes.select(*by, "__b", (F.sum("__size").over(Window.partitionBy(*by).orderBy("__b")) - F.col("__size")).alias("__before"))
+    upto = F.sum("__n").over(Window.partitionBy(*by, "__b").orderBy("__v"))
+    ranks = joined(rows.withColumn("__upto", upto), sizes, [*by, "__b"]).select(*by, F.col("__v").alias(value), (F.col("__before") + F.col("__upto") - (F.col("__n") - 1) / 2).alias(out))
     return joined(df, ranks, [*by, value])
 
 

@@ -53,13 +53,11 @@ def q29_collapse_salience(spark, sf_dir):
     return out.select("event_id", "presence", *[r6(c, c) for c in ("lat", "vert", "ang_size")])
 
 
-SLOTS = list(range(1, 9))
-
-
-@query(f"WITH {VIEW} SELECT f.event_id, " + ", ".join(f"round(coalesce(max(CASE WHEN obj_id = {o} THEN {v} END), 0), 6) AS o{o}_{v}" for o in SLOTS for v in ("lat", "dist")) + " FROM f LEFT JOIN w USING (event_id) GROUP BY f.event_id")
-def q30_per_object_pivot(spark, sf_dir):
-    out = scene.slots(view(spark, sf_dir), frames(spark, sf_dir), KEY, SLOTS, ["lat", "dist"])
-    return out.select("event_id", *[r6(c, c) for c in out.columns if c != "event_id"])
+@query(f"WITH {VIEW} SELECT f.event_id, obj_id, round(max(lat), 6) AS lat, round(max(dist), 6) AS dist FROM f LEFT JOIN w USING (event_id) GROUP BY f.event_id, obj_id")
+def q30_per_object_rows(spark, sf_dir):
+    """All objects in view, a row each. ``scene.slots`` makes columns of a fixed list of them."""
+    out = scene.slot_rows(view(spark, sf_dir), frames(spark, sf_dir), KEY, ["lat", "dist"])
+    return out.select("event_id", "obj_id", r6("lat", "lat"), r6("dist", "dist"))
 
 
 PIXEL = ["p_size", "p_brand"]

@@ -62,9 +62,9 @@ def parameters(spark: SparkSession, folder: str, sheet: DataFrame | None = None)
 
 
 def frame_times(spark: SparkSession, path: str) -> DataFrame:
-    """(session, index, relativeTimes, channel, page) of frame metadata in XML."""
+    """(index, relativeTimes, absoluteTimes, channel, page, session) of frame metadata in XML; session is the file's name without its ending."""
     raw = spark.read.format("xml").option("rowTag", "Frame").schema("_index bigint, _relativeTime double, _absoluteTime double, File array<struct<_channel:string,_page:int>>").load(path)
-    return raw.select(F.col("_index").alias("index"), F.col("_relativeTime").alias("relativeTimes"), F.col("_absoluteTime").alias("absoluteTimes"), F.get("File", 0)["_channel"].alias("channel"), F.get("File", 0)["_page"].alias("page"))
+    return raw.select(F.col("_index").alias("index"), F.col("_relativeTime").alias("relativeTimes"), F.col("_absoluteTime").alias("absoluteTimes"), F.get("File", 0)["_channel"].alias("channel"), F.get("File", 0)["_page"].alias("page"), F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1).alias("session"))
 
 
 def good_components(df: DataFrame, r: float = 0.5, snr: float = 1.5, cnn: float = 0.8) -> DataFrame:
