@@ -30,7 +30,7 @@ WORDS, RADIUS, BLOCKS = 4, 4, 6
 #: Near copies: words of a shingle, bands of so many minima each, and minima that must agree before sets are compared.
 SET_WORDS, BANDS, ROWS, GATE = 5, 32, 4, 78
 #: Rounds in which large buckets are held against one node before all pairs are looked at.
-STARS = 4
+STARS = 6
 #: A bucket with more fingerprints is dealt out as pairs of parts of about this size.
 PART = 2048
 #: Buckets up to this size are compared together, row against shifted row.
@@ -372,6 +372,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         large = settled(large.where(f"n > {SMALL} and lo < hi").select("bucket", F.col("star.node").alias("star"), F.col("star.root").alias("star_root")))
         last = n == STARS or large.isEmpty()
         if last:
+            if links is not None:  # what is connected by now need not be compared again
+                rows = members.join(components(links), "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
             pairs = met_pairs(rows.join(some.select("node", "sig"), "node").select("bucket", "node", "root", "sig")).withColumn("star_root", F.lit(None).cast("bigint"))
         else:
             asked = rows.join(large, "bucket").where("root <> star_root").groupBy("node", "star", "star_root").agg(F.count("*").alias("n"))
