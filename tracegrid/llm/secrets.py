@@ -48,7 +48,7 @@ RULES = RuleSet("base-1", (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX),
 BASE = ["assign", "access", "hex"]
 LEDGER = f"blob string, spans array<{sp.SPAN}>, rule_version string"
 #: New blobs up to which their addresses (100 bytes each) are sent to every task; parts in which the query takes its table in.
-FEW_BLOBS, DELIVERIES = 100_000, 2
+FEW_BLOBS, DELIVERIES = 10_000, 2
 
 
 def addresses(versions: DataFrame, path: list[str], text: str = "text") -> DataFrame:
