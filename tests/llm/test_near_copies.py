@@ -70,3 +70,47 @@ def test_no_other_is_linked(planted):
     print(f"texts whose best similarity is below 0.8: {len(alone)}, from 0.6 on: {sum(best[k] >= 0.6 for k in alone)}")
     assert sum(best[k] >= 0.6 for k in alone) > 10
     assert all(found[k] == k for k in alone)
+
+
+def test_bound_of_parities():
+    """No pair of sets at 0.8 fails the bound, of any size; of sets that fit the bits, those well below 0.8 do."""
+    rng = np.random.default_rng(3)
+    for size in (1, 5, 60, 400, 1500, 6000, 40000):
+        base = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+        for _ in range(30):
+            drop = int(rng.integers(0, len(base) // 3 + 1))
+            other = np.unique(np.append(base[drop:], rng.integers(0, 1 << 63, int(rng.integers(0, drop + 1)), dtype=np.uint64)))
+            both = len(np.intersect1d(base, other))
+            apart = len(base) + len(other) - 2 * both
+            minima = np.zeros((2, simhash.BANDS * simhash.ROWS), np.uint8)
+            tail = [np.append(simhash.parity(h), np.frombuffer(len(h).to_bytes(8, "little"), np.uint8)) for h in (base, other)]
+            near = simhash.may_be_near(np.hstack([minima, np.array(tail)]))(np.array([0]), np.array([1]))[0]
+            assert np.bitwise_count(simhash.parity(base) ^ simhash.parity(other)).sum() <= apart
+            if 9 * both >= 4 * (len(base) + len(other)):
+                assert near
+            elif size <= 400 and 9 * apart > 1.3 * (len(base) + len(other)):
+                assert not near
+
+
+def test_candidates_of_a_group_that_is_alike_but_not_near(spark):
+    """A group whose pairs are mostly alike by 0.6 to 0.8 gives few pairs to look at exactly, all links among them."""
+    rng = np.random.default_rng(5)
+    base = [f"w{x}" for x in range(200)]
+    texts = {}
+    for k in range(300):
+        w = list(base)
+        for at in rng.choice(200, 3, replace=False):
+            w[at] = f"n{rng.integers(1 << 40)}"
+        texts[k] = " ".join(w)
+    sets = {k: shingles(t) for k, t in texts.items()}
+    like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    near = {p for p, s in like.items() if s >= 0.8}
+    told = simhash.signatures(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), "doc_id", "text")
+    told.createOrReplaceTempView("told")
+    members = spark.sql("select bands[0] * 0 as bucket, node, node as root from told")
+    name = {r["node"]: r["doc_id"] for r in told.collect()}
+    got = {tuple(sorted((name[r["a"]], name[r["b"]]))) for r in simhash.met_pairs(members, told.select("node", "sig"), part=64).collect()}
+    assert near <= got
+    alike = sum(0.6 <= s < 0.8 for s in like.values())
+    print(f"pairs: {len(like)}, at 0.8 or more: {len(near)}, at 0.6 to 0.8: {alike}, looked at: {len(got)}")
+    assert alike > 20000 and len(got) < len(near) + 0.3 * alike

@@ -6,7 +6,8 @@ Within a bucket the bits stand vertically, one plane for each position; distance
 carry-save counters, and words of pairs that have all exceeded the radius are abandoned.
 
 ``keep_one`` takes the candidates of its near copies from bands of minima of five-word shingles instead, as fingerprints
-in reach of buckets miss pairs, and decides each by the exact similarity of the two sets.
+in reach of buckets miss pairs, and decides each by the exact similarity of the two sets. Before, a bound from bit
+parities leaves out most pairs below the similarity, and none at it.
 
 Edge cases: a null text is empty, and texts without words have fingerprint zero; equal fingerprints are one class,
 so groups of copies meet as one row; repeated rows stay; rows with a null id get a fingerprint and their class's
@@ -29,6 +30,8 @@ from tracegrid.llm.shared import forest, settled
 WORDS, RADIUS, BLOCKS = 4, 4, 6
 #: Near copies: words of a shingle, bands of so many minima each, and minima that must agree before sets are compared.
 SET_WORDS, BANDS, ROWS, GATE = 5, 32, 4, 78
+#: Bits that tell a set's members apart: each member flips one.
+PARITY = 2048
 #: Rounds in which large buckets are held against one node before all pairs are looked at.
 STARS = 6
 #: A bucket with more fingerprints is dealt out as pairs of parts of about this size.
@@ -242,7 +245,10 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 
 
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, node, bands, sig): a hash of the text's set of shingles, a hash for each band of its minima, and a byte of each minimum."""
+    """(key, node, bands, sig): a hash of the text's set of shingles, a hash for each band of its minima, and the set's sketch.
+
+    A sketch is a byte of each minimum, the PARITY bits, and the number of members in 8 bytes.
+    """
     rng = np.random.default_rng(11)
     times, plus = (rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) for _ in range(2))
     times |= np.uint32(1)
@@ -253,16 +259,18 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 node, least = np.zeros(part.num_rows, np.uint64), np.zeros((part.num_rows, BANDS * ROWS), np.uint32)
+                rest = []
                 for k, t in enumerate(part.column(1).cast(pa.binary()).to_pylist()):
                     node[k], hashes = shingle_set(t or b"")
                     some = hashes.astype(np.uint32)
+                    rest.append(parity(hashes).tobytes() + len(hashes).to_bytes(8, "little"))
                     if len(some):
                         least[k] = np.min([(some[i : i + 1024, None] * times + plus).min(axis=0) for i in range(0, len(some), 1024)], axis=0)
                 x, y = np.ascontiguousarray(least).view("<u8").reshape(len(least), BANDS, 2).transpose(2, 0, 1)
                 mixed = (x ^ salt[:, 0]) * (salt[:, 1] | np.uint64(1))
                 mixed = ((mixed ^ mixed >> np.uint64(31)) + y) * (salt[:, 2] | np.uint64(1))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(least) * BANDS + 1, BANDS, dtype=np.int32)), pa.array((mixed ^ mixed >> np.uint64(29)).view(np.int64).reshape(-1)))
-                sig = [row.tobytes() for row in least.astype(np.uint8)]
+                sig = [row.tobytes() + more for row, more in zip(least.astype(np.uint8), rest, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node.view(np.int64)), bands, pa.array(sig, pa.binary())], [key, "node", "bands", "sig"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} bigint, node bigint, bands array<bigint>, sig binary")
@@ -274,6 +282,12 @@ def shingle_set(text: bytes) -> tuple[int, np.ndarray]:
     return xxhash.xxh64_intdigest(hashes.tobytes(), 42), hashes
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """PARITY bits as bytes: whether an odd number of members fall on each. Two sets' bits differ at most where one member is in one set only."""
+    at = (hashes >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=PARITY) & 1).astype(bool))
+
+
 def shingle_sets(docs: DataFrame, text: str) -> DataFrame:
     """(node, members array<bigint>) for every row."""
 
@@ -295,8 +309,28 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(9 * both >= 4 * sizes).select("a", "b", "star_root")
 
 
+def may_be_near(sig: np.ndarray):
+    """Of sketches, a row of bytes each: near(i, j) -> mask of the pairs of rows that may have a similarity of 0.8 or more.
+
+    GATE minima must agree. And at 0.8 or more the members in one set only are at most a ninth of both sets' sizes
+    together, and there are at least as many of them as parity bits that differ: no pair at 0.8 fails this bound.
+    """
+    minima = np.ascontiguousarray(sig[:, : BANDS * ROWS])
+    bits, size = (np.ascontiguousarray(x).view("<u8") for x in (sig[:, BANDS * ROWS : -8], sig[:, -8:]))
+
+    def near(i, j):
+        i, j = np.broadcast_arrays(i, j)
+        mask = (minima[i] == minima[j]).sum(axis=1) >= GATE
+        i, j = i[mask], j[mask]
+        mask[mask] = 9 * np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.uint64) <= size[i, 0] + size[j, 0]
+        return mask
+
+    return near
+
+
 def alike_rows(group: np.ndarray, side: np.ndarray, root: np.ndarray, sig: np.ndarray):
-    """Pairs of rows of the same group and different roots whose minima agree in GATE of them or more: yields (row, row)."""
+    """Pairs of rows of the same group and different roots whose sketches may be near: yields (row, row)."""
+    near = may_be_near(sig)
     begins = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     size = np.diff(np.append(begins, len(group)))
     small = np.flatnonzero(np.repeat(size <= SMALL, size))
@@ -304,8 +338,8 @@ def alike_rows(group: np.ndarray, side: np.ndarray, root: np.ndarray, sig: np.nd
         same = np.flatnonzero((group[small][shift:] == group[small][:-shift]) & (root[small][shift:] != root[small][:-shift]))
         for at in range(0, len(same), 1 << 14):
             i, j = small[same[at : at + (1 << 14)]], small[same[at : at + (1 << 14)] + shift]
-            near = (sig[i] == sig[j]).sum(axis=1) >= GATE
-            yield i[near], j[near]
+            mask = near(i, j)
+            yield i[mask], j[mask]
     for f, n in zip(begins[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
         rows = f + np.arange(n)
         whole = not side[rows].any()
@@ -313,24 +347,27 @@ def alike_rows(group: np.ndarray, side: np.ndarray, root: np.ndarray, sig: np.nd
         for k, i in enumerate((rows if whole else rows[side[rows] == 1]).tolist()):
             j = right[k + 1 :] if whole else right
             j = j[root[j] != root[i]]
-            j = j[(sig[j] == sig[i]).sum(axis=1) >= GATE]
+            j = j[near(i, j)]
             yield np.full(len(j), i), j
 
 
-def met_pairs(members: DataFrame, part: int = PART) -> DataFrame:
-    """(a, b), a < b: all pairs of members (bucket, node, root, sig) that share a bucket but no root and may be near copies."""
+def met_pairs(members: DataFrame, sketches: DataFrame, part: int = PART) -> DataFrame:
+    """(a, b), a < b: all pairs of members (bucket, node, root) that share a bucket but no root and may be near copies.
+
+    Members are dealt out first, and take their sketches (node, sig) along only then.
+    """
     sizes = settled(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket", "n"))
     parts = F.ceil(F.col("n") / part).cast("int")
     met = members.join(sizes, "bucket").withColumns({"parts": parts, "own": F.pmod(F.xxhash64("node"), parts).cast("int")}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    met = met.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "node", "root", "sig")
-    met = met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    met = met.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "node", "root").join(sketches, "node")
+    met = met.select("bucket", "i", "j", "side", "node", "root", "sig").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def run(batches):
         held = None
         for batch in batches:
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:6]]
-            now.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS))
+            now.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(batch.num_rows, -1))
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             last = np.flatnonzero(np.any([c[1:] != c[:-1] for c in held[:3]], axis=0))
             if len(last):  # the last group may go on in the next batch
@@ -374,7 +411,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         if last:
             if links is not None:  # what is connected by now need not be compared again
                 rows = members.join(components(links), "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
-            pairs = met_pairs(rows.join(some.select("node", "sig"), "node").select("bucket", "node", "root", "sig")).withColumn("star_root", F.lit(None).cast("bigint"))
+            pairs = met_pairs(rows.select("bucket", "node", "root"), some.select("node", "sig")).withColumn("star_root", F.lit(None).cast("bigint"))
         else:
             asked = rows.join(large, "bucket").where("root <> star_root").groupBy("node", "star", "star_root").agg(F.count("*").alias("n"))
             pairs = asked.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("n", "star", "star_root")).alias("best")).select("a", F.col("best.star").alias("b"), F.col("best.star_root").alias("star_root"))
