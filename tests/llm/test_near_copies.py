@@ -84,7 +84,7 @@ def test_bound_of_parities():
             apart = len(base) + len(other) - 2 * both
             minima = np.zeros((2, simhash.BANDS * simhash.ROWS), np.uint8)
             tail = [np.append(simhash.parity(h), np.frombuffer(len(h).to_bytes(8, "little"), np.uint8)) for h in (base, other)]
-            near = simhash.may_be_near(np.hstack([minima, np.array(tail)]))(np.array([0]), np.array([1]))[0]
+            near = simhash.may_be_near(np.hstack([minima, np.array(tail)]))(np.array([0]), np.array([1]))[0][0]
             assert np.bitwise_count(simhash.parity(base) ^ simhash.parity(other)).sum() <= apart
             if 9 * both >= 4 * (len(base) + len(other)):
                 assert near
@@ -114,3 +114,16 @@ def test_candidates_of_a_group_that_is_alike_but_not_near(spark):
     alike = sum(0.6 <= s < 0.8 for s in like.values())
     print(f"pairs: {len(like)}, at 0.8 or more: {len(near)}, at 0.6 to 0.8: {alike}, looked at: {len(got)}")
     assert alike > 20000 and len(got) < len(near) + 0.3 * alike
+    few = [(name[r["a"]], name[r["b"]]) for r in simhash.met_pairs(members, told.select("node", "sig"), spanning=True).collect()]
+    assert {tuple(sorted(p)) for p in few} <= got and len(few) < len(texts)
+    assert grouped(few) == grouped(got)
+
+
+def grouped(pairs):
+    """What the pairs connect, as a set of sets."""
+    of = {}
+    for a, b in pairs:
+        one = of.setdefault(a, {a}) | of.setdefault(b, {b})
+        for k in one:
+            of[k] = one
+    return {frozenset(s) for s in of.values()}

@@ -32,8 +32,6 @@ WORDS, RADIUS, BLOCKS = 4, 4, 6
 SET_WORDS, BANDS, ROWS, GATE = 5, 32, 4, 78
 #: Bits that tell a set's members apart: each member flips one.
 PARITY = 2048
-#: Rounds in which large buckets are held against one node before all pairs are looked at.
-STARS = 6
 #: A bucket with more fingerprints is dealt out as pairs of parts of about this size.
 PART = 2048
 #: Buckets up to this size are compared together, row against shifted row.
@@ -303,14 +301,14 @@ def shingle_sets(docs: DataFrame, text: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b, star_root) of nodes, those whose sets have a Jaccard similarity of 0.8 or more, counted exactly."""
+    """Of pairs (a, b) of nodes, those whose sets have a Jaccard similarity of 0.8 or more, counted exactly."""
     one, two = (sets.select(F.col("node").alias(k), F.col("members").alias(f"m{k}")) for k in "ab")
     both, sizes = F.size(F.array_intersect("ma", "mb")), F.size("ma") + F.size("mb")
-    return pairs.join(one, "a").join(two, "b").where(9 * both >= 4 * sizes).select("a", "b", "star_root")
+    return pairs.join(one, "a").join(two, "b").where(9 * both >= 4 * sizes).select("a", "b")
 
 
 def may_be_near(sig: np.ndarray):
-    """Of sketches, a row of bytes each: near(i, j) -> mask of the pairs of rows that may have a similarity of 0.8 or more.
+    """Of sketches, a row of bytes each: near(i, j) -> (mask of the pairs of rows that may have a similarity of 0.8 or more, bits in which those differ).
 
     GATE minima must agree. And at 0.8 or more the members in one set only are at most a ninth of both sets' sizes
     together, and there are at least as many of them as parity bits that differ: no pair at 0.8 fails this bound.
@@ -322,14 +320,19 @@ def may_be_near(sig: np.ndarray):
         i, j = np.broadcast_arrays(i, j)
         mask = (minima[i] == minima[j]).sum(axis=1) >= GATE
         i, j = i[mask], j[mask]
-        mask[mask] = 9 * np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.uint64) <= size[i, 0] + size[j, 0]
-        return mask
+        differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.uint64)
+        close = 9 * differ <= size[i, 0] + size[j, 0]
+        mask[mask] = close
+        return mask, differ[close]
 
     return near
 
 
-def alike_rows(group: np.ndarray, side: np.ndarray, root: np.ndarray, sig: np.ndarray):
-    """Pairs of rows of the same group and different roots whose sketches may be near: yields (row, row)."""
+def alike_rows(group: np.ndarray, side: np.ndarray, root: np.ndarray, sig: np.ndarray, spanning: bool = False):
+    """Pairs of rows of the same group and different roots whose sketches may be near: yields (row, row).
+
+    With ``spanning``, of a group with more than SMALL rows only pairs that make a spanning forest of all of them.
+    """
     near = may_be_near(sig)
     begins = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     size = np.diff(np.append(begins, len(group)))
@@ -338,22 +341,30 @@ def alike_rows(group: np.ndarray, side: np.ndarray, root: np.ndarray, sig: np.nd
         same = np.flatnonzero((group[small][shift:] == group[small][:-shift]) & (root[small][shift:] != root[small][:-shift]))
         for at in range(0, len(same), 1 << 14):
             i, j = small[same[at : at + (1 << 14)]], small[same[at : at + (1 << 14)] + shift]
-            mask = near(i, j)
+            mask, _ = near(i, j)
             yield i[mask], j[mask]
     for f, n in zip(begins[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
         rows = f + np.arange(n)
+        tree = np.unique(root[rows], return_inverse=True)[1]
         whole = not side[rows].any()
         right = rows if whole else rows[side[rows] == 2]
         for k, i in enumerate((rows if whole else rows[side[rows] == 1]).tolist()):
             j = right[k + 1 :] if whole else right
-            j = j[root[j] != root[i]]
-            j = j[near(i, j)]
+            j = j[tree[j - f] != tree[i - f]] if spanning else j[root[j] != root[i]]
+            mask, differ = near(i, j)
+            j = j[mask]
+            if spanning and len(j):  # of each tree that it meets, the row that is most alike
+                j = j[np.argsort(differ, kind="stable")]
+                trees, best = np.unique(tree[j - f], return_index=True)
+                j = j[best]
+                tree[np.isin(tree, trees)] = tree[i - f]
             yield np.full(len(j), i), j
 
 
-def met_pairs(members: DataFrame, sketches: DataFrame, part: int = PART) -> DataFrame:
+def met_pairs(members: DataFrame, sketches: DataFrame, part: int = PART, spanning: bool = False) -> DataFrame:
     """(a, b), a < b: all pairs of members (bucket, node, root) that share a bucket but no root and may be near copies.
 
+    With ``spanning``, of more than SMALL members that meet only as many pairs as connect what all of them would.
     Members are dealt out first, and take their sketches (node, sig) along only then.
     """
     sizes = settled(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket", "n"))
@@ -379,7 +390,7 @@ def met_pairs(members: DataFrame, sketches: DataFrame, part: int = PART) -> Data
 
     def compare(cols):
         group = np.cumsum(np.append(0, np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)))
-        for i, j in alike_rows(group, cols[3], cols[5], cols[6]):
+        for i, j in alike_rows(group, cols[3], cols[5], cols[6], spanning):
             if len(i):
                 a, b = cols[4][i], cols[4][j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
@@ -391,38 +402,25 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """(key, component_id) for every row: the least key that is reachable by pairs of a Jaccard similarity of 0.8 or more.
 
     Texts with the same set of shingles are one node. Nodes that agree in a band of minima meet in a bucket; two at 0.8
-    miss each other in all bands once in 2e7, and GATE once in 1e7. Before all pairs of a bucket are looked at, large
-    buckets are held against one of their nodes each, as what is linked already need not be compared again.
+    miss each other in all bands once in 2e7, and GATE once in 1e7. All pairs of a small bucket that may be near are
+    looked at, but of a large one first only a spanning forest of them: where those are near copies, the rest, as many
+    as the square of a group, need no look. Then come the pairs of large buckets that are not connected yet.
     """
     told = settled(signatures(docs, key, text))
     classes = settled(told.groupBy("node").agg(F.min(key).alias("least"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     banded = classes.select("node", F.explode("bands").alias("bucket"))
     sizes = settled(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    members = settled(banded.join(sizes, "bucket").select("bucket", "node"))
+    members = settled(banded.join(sizes, "bucket").select("bucket", "node", "n"))
     some = settled(classes.join(members.select("node").distinct(), "node").select("node", "least", "sig"))
     wanted = some.select(F.col("least").alias(key)).distinct()
     sets = settled(shingle_sets(docs.select(key, text).join(wanted, key, "left_semi"), text).groupBy("node").agg(F.first("members").alias("members")))
-    links = roots = None
-    for n in range(STARS + 1):
-        rows = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        large = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(n), "node").alias("h"), "node", "root")).alias("star"))
-        large = settled(large.where(f"n > {SMALL} and lo < hi").select("bucket", F.col("star.node").alias("star"), F.col("star.root").alias("star_root")))
-        last = n == STARS or large.isEmpty()
-        if last:
-            if links is not None:  # what is connected by now need not be compared again
-                rows = members.join(components(links), "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
-            pairs = met_pairs(rows.select("bucket", "node", "root"), some.select("node", "sig")).withColumn("star_root", F.lit(None).cast("bigint"))
-        else:
-            asked = rows.join(large, "bucket").where("root <> star_root").groupBy("node", "star", "star_root").agg(F.count("*").alias("n"))
-            pairs = asked.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("n", "star", "star_root")).alias("best")).select("a", F.col("best.star").alias("b"), F.col("best.star_root").alias("star_root"))
-        now = settled(verified(pairs, sets))
-        links = now.select("a", "b") if links is None else links.unionByName(now.select("a", "b"))
-        if last:
-            break
-        # A node takes its star's name. Names needn't be components' yet: two of one component cost a comparison, no link.
-        moved = now.select(F.col("a").alias("node"), F.col("star_root").alias("moved"))
-        roots = settled(moved.withColumnRenamed("moved", "root") if roots is None else roots.join(moved, "node", "full").select("node", F.coalesce("moved", "root").alias("root")))
+    sketches = some.select("node", "sig")
+    links = settled(verified(met_pairs(members.select("bucket", "node", F.col("node").alias("root")), sketches, spanning=True), sets))
     roots = components(links)
+    large = members.where(F.col("n") > SMALL).join(roots, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("root"))
+    more = settled(verified(met_pairs(large, sketches), sets))
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
     of = classes.join(roots, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
     of = settled(of)
     named = of.groupBy("root").agg(F.min("least").alias("component_id"))
