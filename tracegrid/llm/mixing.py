@@ -3,11 +3,15 @@
 Tokens are summed in cells of (source, lang, topic). Iterative proportional fitting gives each cell a weight, the
 share of its tokens to take: margin by margin, weights are scaled to the margin's target, never above 1, as a document
 is taken once at most, until all margins are within TOLERANCE or ROUNDS are over; ``report`` tells what is left. Targets
-are tempered shares of the input, none above ROOM of what there is of its value, or given ones; topics follow languages. A document is then kept if a
-number in [0, 1) made from its id lies under its cell's weight, so equal ids meet the same decision in every run.
+are tempered shares of the input, none above ROOM of what there is of its value, or given ones. Topics have words of a
+language, so theirs are tempered within each language's target and then added up: a margin of its own, but one that can be
+met together with the languages'. A document is then kept if a number in [0, 1) made from its id lies under its cell's
+weight, so equal ids meet the same decision in every run.
 
-A document's topic is the topic word that it holds most often. Topic words are the TOPICS words (runs of five or more of
-a-z) found in the most documents, but in no more than a share of MOST of them, counted over all documents.
+A document's topic is the topic word that it holds most often, as a whole word; of those held equally often the greatest.
+Words are runs of letters, a-z (A-Z in lower case) and everything beyond ASCII. Topic words are the TOPICS words of
+SHORTEST to LONGEST letters found in the most documents, but in no more than a share of MOST of them, counted over all
+documents; longer runs, as in junk, name no topic.
 
 Edge cases: null source, lang or topic count as the empty string, as does the topic of a text without topic words; a
 null text has no tokens; a cell without tokens keeps its weight; a given target must name every value of its margin,
@@ -33,14 +37,14 @@ ROUNDS, TOLERANCE, CAPS = 12, 0.01, 6
 ROOM = 0.85
 #: Rounds between two looks at the margins.
 BATCH = 6
-#: Topics have words of a language, so their targets go by those of the languages.
-FOLLOWS = {"mix_topic": "mix_lang"}
+#: Topics have words of a language, so their targets are tempered within those of the languages.
+WITHIN = {"mix_topic": "mix_lang"}
 #: Cells up to which the table of weights is sent to every task; beyond, rows and weights are joined by shuffle.
 BROADCAST_CELLS = 50_000
-#: Topic words, and the greatest share of documents that may hold one.
-TOPICS, MOST = 24, 0.2
+#: Topic words, their least and greatest length, and the greatest share of documents that may hold one.
+TOPICS, SHORTEST, LONGEST, MOST = 24, 5, 32, 0.2
 
-WORD, TOPIC_WORD = r"[^\x20\x09-\x0D]+", "[a-z]{5,}"
+WORD, LETTER = r"[^\x20\x09-\x0D]+", r"[a-z\x{80}-\x{10FFFF}]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,7 +55,8 @@ def _lower(text: Column) -> Column:
 def topic_words(docs: DataFrame, text: str = "text") -> list[str]:
     """The topic words, most frequent first; of equals the lesser word."""
     n = docs.count()
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(_lower(F.col(text)), F.lit(TOPIC_WORD), F.lit(0)))).alias("w"))
+    runs = F.regexp_extract_all(_lower(F.col(text)), F.lit(f"{LETTER}{{{SHORTEST},}}"), F.lit(0))
+    words = docs.select(F.explode(F.array_distinct(F.filter(runs, lambda w: F.length(w) <= LONGEST))).alias("w"))
     found = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") <= MOST * n)
     return [r["w"] for r in found.orderBy(F.col("n").desc(), "w").limit(TOPICS).collect()]
 
@@ -59,9 +64,11 @@ def topic_words(docs: DataFrame, text: str = "text") -> list[str]:
 def described(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", words: list[str] | None = None) -> DataFrame:
     """Add mix_source, mix_lang, mix_topic and mix_tokens (words); the topic is the greatest of the words held most often."""
     words = topic_words(docs, text) if words is None else words
+    whole = rf"(?<!{LETTER})(?:{'|'.join(words)})(?!{LETTER})"  # letters only, so nothing to escape
     # A column of its own, as the lambda below names it for every hit.
-    docs = docs.withColumn("__hits", F.regexp_extract_all(_lower(F.col(text)), F.lit("|".join(words)), F.lit(0)) if words else F.array().cast("array<string>"))
-    counts = F.transform(F.array_distinct("__hits"), lambda w: F.struct(F.size(F.filter("__hits", lambda h: h == w)).alias("n"), w.alias("w")))
+    docs = docs.withColumn("__hits", F.regexp_extract_all(_lower(F.col(text)), F.lit(whole), F.lit(0)) if words else F.array().cast("array<string>"))
+    counts = F.transform(F.array(*map(F.lit, words)), lambda w: F.struct(F.size(F.filter("__hits", lambda h: h == w)).alias("n"), w.alias("w")))
+    counts = F.filter(counts, lambda c: c["n"] > 0) if words else F.array().cast("array<struct<n:int,w:string>>")
     named = {"mix_source": F.coalesce(F.col(source), F.lit("")), "mix_lang": F.coalesce(F.col(lang), F.lit("")), "mix_topic": F.coalesce(F.array_max(counts)["w"], F.lit(""))}
     return docs.withColumns(named | {"mix_tokens": F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("bigint")}).drop("__hits")
 
@@ -102,6 +109,23 @@ def wanted(sums: DataFrame, dims: list[str], keep: float, temper: float, total:
     return sums.select("dim", "value", m.alias("of"), to.alias("to"))
 
 
+def nested(cells: DataFrame, dim: str, other: str, temper: float) -> DataFrame:
+    """(dim, to_dim): targets tempered within those of another margin, to_other, and added up over it.
+
+    Within one value of ``other`` the targets are in proportion to tokens ** temper, none above ROOM of what there is.
+    """
+    own, most = F.pow(F.col("m"), F.lit(temper)), F.col("m") * F.lit(ROOM)
+    over = Window.partitionBy(other)  # as many rows as the other margin's value has of this one's
+    rows = cells.groupBy(dim, other).agg(F.sum("tokens").cast("double").alias("m"), F.max(f"to_{other}").alias("to"))
+    rows = rows.withColumn("f", F.coalesce(F.try_divide(F.col("to"), F.sum(own).over(over)), F.lit(0.0)))
+    for _ in range(CAPS - 1):
+        held = F.col("f") * own >= most
+        free = F.sum(F.when(held, 0.0).otherwise(own)).over(over)
+        step = (F.col("to") - F.sum(F.when(held, most).otherwise(0.0)).over(over)) / F.nullif(free, F.lit(0.0))
+        rows = rows.withColumn("f", F.coalesce(step, F.col("f")))
+    return rows.groupBy(dim).agg(F.sum(F.least(most, F.col("f") * own)).alias(f"to_{dim}"))
+
+
 def fitted(cells: DataFrame, dim: str, small: bool) -> DataFrame:
     """Weights scaled to one margin. Few cells are summed up where they lie; of many, partial sums meet first."""
     mass = F.sum(F.col("tokens") * F.col("weight"))
@@ -113,24 +137,24 @@ def fitted(cells: DataFrame, dim: str, small: bool) -> DataFrame:
     return rows.withColumn("weight", F.least(F.lit(1.0), F.col("weight") * step)).drop("now")
 
 
-def rake(cells: DataFrame, dims: list[str], keep: float = KEEP, temper: float = TEMPER, rounds: int = ROUNDS, targets: dict[str, dict[str, float]] | None = None, follows: dict[str, str] | None = None) -> DataFrame:
+def rake(cells: DataFrame, dims: list[str], keep: float = KEEP, temper: float = TEMPER, rounds: int = ROUNDS, targets: dict[str, dict[str, float]] | None = None, within: dict[str, str] | None = None) -> DataFrame:
     """Add ``weight`` and the margins' targets (to_dim) to cells (dims, tokens).
 
-    targets: dim -> value -> share of the tokens taken, for margins not tempered. follows: dim -> another dim by whose
-    targets its own go, each value keeping its share within the other's; dims that hang together would else ask for what
+    targets: dim -> value -> share of the tokens taken, for margins not tempered. within: dim -> another dim within whose
+    targets its own are tempered (``nested``), unless they are given; dims that hang together would else ask for what
     can't be. BATCH rounds are a small job over cells, kept in the shared folder.
     """
-    total, follows = float(cells.agg(F.sum("tokens")).collect()[0][0] or 0), follows or {}
-    free = [d for d in dims if d not in follows]
+    total, targets = float(cells.agg(F.sum("tokens")).collect()[0][0] or 0), targets or {}
+    inner = {d: o for d, o in (within or {}).items() if d not in targets}
+    free = [d for d in dims if d not in inner]
     cells, small = cells.withColumn("weight", F.lit(1.0)), cells.count() <= BROADCAST_CELLS
     sent = F.broadcast if small else lambda x: x
-    to = settled(wanted(settled(margins(cells, free)), free, keep, temper, total, targets or {}))
+    to = settled(wanted(settled(margins(cells, free)), free, keep, temper, total, targets))
     for dim in free:
-        own = to.where(F.col("dim") == dim).select(F.col("value").alias(dim), F.col("to").alias(f"to_{dim}"), F.try_divide("to", "of").alias(f"__rate_{dim}"))
-        cells = cells.join(sent(own), dim)
-    for dim, other in follows.items():
-        cells = cells.join(sent(cells.groupBy(dim).agg(F.sum(F.col("tokens") * F.coalesce(F.col(f"__rate_{other}"), F.lit(0.0))).alias(f"to_{dim}"))), dim)
-    cells = settled(cells.drop(*[f"__rate_{d}" for d in free]).withColumn("weight", F.lit(float(keep))))
+        cells = cells.join(sent(to.where(F.col("dim") == dim).select(F.col("value").alias(dim), F.col("to").alias(f"to_{dim}"))), dim)
+    for dim, other in inner.items():
+        cells = cells.join(sent(nested(cells, dim, other, temper)), dim)
+    cells = settled(cells.withColumn("weight", F.lit(float(keep))))
     for n in range(rounds):
         if n % BATCH == 0 and (farthest(cells, dims) or 0.0) <= TOLERANCE:
             break
@@ -151,18 +175,17 @@ def chance(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def raked(docs: DataFrame, **rates) -> tuple[DataFrame, DataFrame]:
-    """(rows with the mix_ columns, cells with their weights and targets)."""
+def raked(told: DataFrame, **rates) -> DataFrame:
+    """Cells of described rows with their weights and targets."""
     dims = [f"mix_{d}" for d in DIMS]
-    told = described(docs)
-    return told, rake(settled(told.groupBy(*dims).agg(F.sum("mix_tokens").alias("tokens"))), dims, **({"follows": FOLLOWS} | rates))
+    return rake(settled(told.groupBy(*dims).agg(F.sum("mix_tokens").alias("tokens"))), dims, **({"within": WITHIN} | rates))
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", **rates) -> DataFrame:
-    """All rows with the mix_ columns, mix_weight (the probability to be kept) and mix_kept."""
+def mixed(docs: DataFrame, key: str = "doc_id", told: DataFrame | None = None, **rates) -> DataFrame:
+    """All rows with the mix_ columns, mix_weight (the probability to be kept) and mix_kept. told: docs, if described already."""
     dims = [f"mix_{d}" for d in DIMS]
-    told, cells = raked(docs, **rates)
-    weights = cells.select(*dims, F.col("weight").alias("mix_weight"))
+    told = described(docs) if told is None else told
+    weights = raked(told, **rates).select(*dims, F.col("weight").alias("mix_weight"))
     if weights.count() <= BROADCAST_CELLS:
         weights = F.broadcast(weights)
     out = told.join(weights, dims)
@@ -171,7 +194,7 @@ def mixed(docs: DataFrame, key: str = "doc_id", **rates) -> DataFrame:
 
 def report(docs: DataFrame, **rates) -> DataFrame:
     """(dim, value, target, taken) of the fitted weights, in tokens."""
-    return margins(raked(docs, **rates)[1], [f"mix_{d}" for d in DIMS], "to").select("dim", "value", F.col("to").alias("target"), "taken")
+    return margins(raked(described(docs), **rates), [f"mix_{d}" for d in DIMS], "to").select("dim", "value", F.col("to").alias("target"), "taken")
 
 
 def sample(docs: DataFrame, key: str = "doc_id", **rates) -> DataFrame:
@@ -180,7 +203,9 @@ def sample(docs: DataFrame, key: str = "doc_id", **rates) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = mixed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
+    # Texts are not asked for, so what they are described by is kept and they are read no more.
+    found = mixed(docs.select("doc_id"), told=settled(described(docs).drop("text", "source", "lang")))
     return found.select("doc_id", *[F.col(f"mix_{d}").alias(d) for d in DIMS], F.col("mix_tokens").alias("tokens"), F.round("mix_weight", 6).alias("weight"), F.col("mix_kept").alias("kept"))
 
 
@@ -188,10 +213,10 @@ def oracle() -> str:
     """The same steps in DuckDB's SQL, a table for each; a round after the margins are met changes nothing."""
     low = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
     steps = [
-        f"u AS (SELECT w, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all({low}, '{TOPIC_WORD}'))) AS w FROM documents) GROUP BY w HAVING count(*) <= {MOST} * (SELECT count(*) FROM documents) ORDER BY n DESC, w LIMIT {TOPICS})",
-        "x AS (SELECT coalesce(string_agg(w, '|' ORDER BY n DESC, w), '[^\\s\\S]') AS p FROM u)",
-        f"h AS (SELECT doc_id, text, source, lang, regexp_extract_all({low}, p) AS hits FROM documents, x)",
-        f"d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(list_max(list_transform(list_distinct(hits), lambda w: {{'n': len(list_filter(hits, lambda q: q = w)), 'w': w}})).w, '') AS topic, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS tokens FROM h)",
+        f"l AS MATERIALIZED (SELECT doc_id, source, lang, text, list_filter(regexp_extract_all({low}, '{LETTER}+'), lambda w: length(w) BETWEEN {SHORTEST} AND {LONGEST}) AS words FROM documents)",
+        f"u AS MATERIALIZED (SELECT w FROM (SELECT unnest(list_distinct(words)) AS w FROM l) GROUP BY w HAVING count(*) <= {MOST} * (SELECT count(*) FROM documents) ORDER BY count(*) DESC, w LIMIT {TOPICS})",
+        "k AS (SELECT doc_id, max({'n': n, 'w': w}).w AS topic FROM (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(words) AS w FROM l) JOIN u USING (w) GROUP BY ALL) GROUP BY doc_id)",
+        f"d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(topic, '') AS topic, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS tokens FROM l LEFT JOIN k USING (doc_id))",
         "c AS (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL)",
     ]
     for dim in DIMS[:2]:
@@ -201,7 +226,12 @@ def oracle() -> str:
         for n in range(1, CAPS):
             steps.append(f"f_{dim}_{n} AS (SELECT coalesce(({want} - sum(CASE WHEN f * pow(m, {TEMPER}) >= m * {ROOM} THEN m * {ROOM} ELSE 0 END)) / nullif(sum(CASE WHEN f * pow(m, {TEMPER}) >= m * {ROOM} THEN 0 ELSE pow(m, {TEMPER}) END), 0), any_value(f)) AS f FROM m_{dim}, f_{dim}_{n - 1})")
         steps.append(f"t_{dim} AS (SELECT {dim}, least(m * {ROOM}, f * pow(m, {TEMPER})) AS to_{dim} FROM m_{dim}, f_{dim}_{CAPS - 1})")
-    steps.append("t_topic AS (SELECT topic, sum(tokens * coalesce(to_lang / nullif(m, 0), 0)) AS to_topic FROM c JOIN m_lang USING (lang) JOIN t_lang USING (lang) GROUP BY topic)")
+    steps.append(f"q0 AS (SELECT topic, lang, CAST(sum(tokens) AS DOUBLE) AS m, any_value(to_lang) AS t, any_value(to_lang) / nullif(sum(pow(sum(tokens), {TEMPER})) OVER (PARTITION BY lang), 0) AS f FROM c JOIN t_lang USING (lang) GROUP BY topic, lang)")
+    steps.append("g0 AS (SELECT * REPLACE (coalesce(f, 0) AS f) FROM q0)")
+    for n in range(1, CAPS):
+        full = f"f * pow(m, {TEMPER}) >= m * {ROOM}"
+        steps.append(f"g{n} AS (SELECT * REPLACE (coalesce((t - sum(CASE WHEN {full} THEN m * {ROOM} ELSE 0 END) OVER (PARTITION BY lang)) / nullif(sum(CASE WHEN {full} THEN 0 ELSE pow(m, {TEMPER}) END) OVER (PARTITION BY lang), 0), f) AS f) FROM g{n - 1})")
+    steps.append(f"t_topic AS (SELECT topic, sum(least(m * {ROOM}, f * pow(m, {TEMPER}))) AS to_topic FROM g{CAPS - 1} GROUP BY topic)")
     steps.append(f"s0 AS (SELECT *, CAST({KEEP} AS DOUBLE) AS w FROM c " + " ".join(f"JOIN t_{dim} USING ({dim})" for dim in DIMS) + ")")
     for n in range(ROUNDS):
         if n % BATCH:
