@@ -7,12 +7,16 @@ at any place, and only windows around anchors can be repeats. Two rounds:
 1. Anchors. Each document gives the hashes of its rolling stretches of BLOCK words, each once, with a mark on those
    that are blocks. Where a stretch has the least document with it as a block, every later document that has it holds
    an anchor there, as does each document that has it as a block and is followed by another one with it.
-2. Repeats. Documents with anchors give the hashes of the windows around them. A window that also begins in a document
-   with a smaller id is a repeat; the words of all repeats in a row form a maximal one, and go.
+2. Repeats. Anchors are extended to both sides: documents give the hashes of every window around theirs. A window that
+   also begins in a document with a smaller id is a repeat; where the next one on either side is one as well, the
+   repeat goes on, and so the windows in a row form a maximal one. Its words go.
 
 A round deals hashes by bucket, packed in arrays, and gets back to each document those that count. Before, each task
 settles what it can from its own documents: of a stretch with many of them only the ends have to be asked about, so
-that one line in a third of all documents is no hot key. Hashes decide (64 bits for windows, within their bucket).
+that one line in a third of all documents is no hot key. There are as many buckets as the text's bytes ask for, so a
+bucket doesn't grow with the input, and it is settled a slice of its hashes at a time. The first round only narrows down
+what to look at, and its hashes may collide (32 bits within a bucket); windows are equal if two hashes of 64 bits agree,
+made of different hashes of their words.
 
 Edge cases: a null text has no words; repeated rows, and rows with one id, don't repeat each other, as their ids are
 not smaller; rows with a null id stay whole; an empty table gives an empty result; other columns pass through.
@@ -29,16 +33,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, BLOCK = 13, 7
+#: Bytes of text that a bucket's hashes come from on average; slices in which it is settled; the most buckets there can be.
+BUCKET_BYTES, SLICES, MOST_BUCKETS = 64 << 20, 8, (1 << 18) - 1
 #: Documents that a task looks at together, and distinct words whose hashes it keeps.
 TOGETHER, MEMO = 4096, 1_000_000
 #: Bytes of text after which a group of documents ends even with fewer of them.
 TOGETHER_BYTES = 12 << 20
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = value = xxhash.xxh64_intdigest(word, 9)
+    """word -> its XXH3 of 128 bits, the two halves as numbers."""
+
+    def __missing__(self, word: bytes) -> tuple[int, int]:
+        self[word] = value = divmod(xxhash.xxh3_128_intdigest(word, 9), 1 << 64)
         return value
 
 
@@ -59,6 +67,23 @@ def rolling(words: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
+def second(words: np.ndarray, n: int) -> np.ndarray:
+    """Another hash, of other hashes of the words by another factor."""
+    if len(words) < n:
+        return np.empty(0, dtype=np.uint64)
+    total = np.zeros(len(words) - n + 1, dtype=np.uint64)
+    for k in range(n):
+        total = (total ^ words[k : len(words) - n + 1 + k]) * _OTHER
+        total ^= total >> np.uint64(32)
+    return total
+
+
+def bucket_count(texts: DataFrame, text: str, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """Buckets for the hashes of all texts, at least the session's shuffle partitions."""
+    size = texts.agg(F.sum(F.octet_length(text))).collect()[0][0] or 0
+    return min(MOST_BUCKETS, max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes)))
+
+
 def groups(batches):
     """Rows of Arrow batches as lists of columns, TOGETHER rows or TOGETHER_BYTES at a time; the second column is the text."""
     held, size = None, 0
@@ -80,13 +105,20 @@ def begins(sorted_: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(sorted_) else np.empty(0, dtype=np.int64)
 
 
-def standing(value: np.ndarray, doc: np.ndarray, block: np.ndarray, both: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows in order of (value, doc), each once: masks of those that count already, and of those to ask other tasks about.
+def changes(value: np.ndarray, check: np.ndarray | None) -> np.ndarray:
+    """Where runs of equal hashes begin."""
+    if check is None or not len(value):
+        return begins(value)
+    return np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (check[1:] != check[:-1])))
 
-    One counts that comes after the least document with the value as a block; with ``both`` also a block before the
+
+def standing(value: np.ndarray, check: np.ndarray | None, doc: np.ndarray, block: np.ndarray, both: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in order of (value, check, doc), each once: masks of those that count already, and of those to ask other tasks about.
+
+    One counts that comes after the least document with the hash as a block; with ``both`` also a block before the
     last document. The two documents that decide this for other tasks' rows are asked about in any case.
     """
-    at = begins(value)
+    at = changes(value, check)
     if not len(at):
         return np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
     size = np.diff(np.append(at, len(value)))
@@ -101,35 +133,47 @@ def standing(value: np.ndarray, doc: np.ndarray, block: np.ndarray, both: bool)
     return known, ask
 
 
-def packed(docs: np.ndarray, bucket: int, value: np.ndarray, block: np.ndarray, wide: bool) -> tuple:
-    """A question's row from rows in order of document."""
+def packed(docs: np.ndarray, bucket: int, value: np.ndarray, check: np.ndarray | None, block: np.ndarray) -> tuple:
+    """A question's row from rows in order of document. Hashes are 4 bytes, or 16 with their check."""
     at = begins(docs)
-    return bucket, docs[at].astype("<i8").tobytes(), np.diff(np.append(at, len(docs))).astype("<u4").tobytes(), value.astype("<u8" if wide else "<u4").tobytes(), np.packbits(block).tobytes()
+    hashes = value.astype("<u4").tobytes() if check is None else value.astype("<u8").tobytes() + check.astype("<u8").tobytes()
+    return bucket, docs[at].astype("<i8").tobytes(), np.diff(np.append(at, len(docs))).astype("<u4").tobytes(), hashes, np.packbits(block).tobytes()
+
+
+def hashes_of(hashes: bytes, wide: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    if not wide:
+        return np.frombuffer(hashes, "<u4"), None
+    both = np.frombuffer(hashes, "<u8")
+    return both[: len(both) // 2], both[len(both) // 2 :]
 
 
 QUESTIONS = "bucket bigint, docs binary, counts binary, hashes binary, flags binary"
 
 
-def asking(doc: np.ndarray, value: np.ndarray, block: np.ndarray, known: np.ndarray, ask: np.ndarray, bucket: np.ndarray, wide: bool):
+def picked(x: np.ndarray | None, by: np.ndarray) -> np.ndarray | None:
+    return None if x is None else x[by]
+
+
+def asking(doc: np.ndarray, value: np.ndarray, check: np.ndarray | None, block: np.ndarray, known: np.ndarray, ask: np.ndarray, bucket: np.ndarray):
     """Arrow rows: one for each bucket that is asked, and one (bucket < 0) with what counts already."""
     rows = []
     if known.any():
-        order = np.argsort(doc[known], kind="stable")
-        rows.append(packed(doc[known][order], -1 - int(doc[0]) % 997, value[known][order], block[known][order], wide))
-    doc, value, block, bucket = doc[ask], value[ask], block[ask], bucket[ask]
-    order = np.lexsort((doc, bucket))
-    doc, value, block, bucket = doc[order], value[order], block[order], bucket[order]
+        order = np.flatnonzero(known)[np.argsort(doc[known], kind="stable")]
+        rows.append(packed(doc[order], -1 - int(doc[0]) % 997, value[order], picked(check, order), block[order]))
+    order = np.flatnonzero(ask)
+    order = order[np.lexsort((doc[order], bucket[order]))]
+    doc, value, check, block, bucket = doc[order], value[order], picked(check, order), block[order], bucket[order]
     at = begins(bucket)
     for lo, hi in zip(at.tolist(), np.append(at, len(bucket))[1:].tolist(), strict=True):
-        rows.append(packed(doc[lo:hi], int(bucket[lo]), value[lo:hi], block[lo:hi], wide))
+        rows.append(packed(doc[lo:hi], int(bucket[lo]), value[lo:hi], picked(check, slice(lo, hi)), block[lo:hi]))
     if rows:
         columns = list(zip(*rows, strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "docs", "counts", "hashes", "flags"])
 
 
 def opened(docs: bytes, counts: bytes, hashes: bytes, flags: bytes, wide: bool):
-    value = np.frombuffer(hashes, "<u8" if wide else "<u4")
-    return np.repeat(np.frombuffer(docs, "<i8"), np.frombuffer(counts, "<u4")), value, np.unpackbits(np.frombuffer(flags, np.uint8), count=len(value)).astype(bool)
+    value, check = hashes_of(hashes, wide)
+    return np.repeat(np.frombuffer(docs, "<i8"), np.frombuffer(counts, "<u4")), value, check, np.unpackbits(np.frombuffer(flags, np.uint8), count=len(value)).astype(bool)
 
 
 def answers(rows: DataFrame, buckets: int, wide: bool, both: bool) -> DataFrame:
@@ -137,44 +181,53 @@ def answers(rows: DataFrame, buckets: int, wide: bool, both: bool) -> DataFrame:
 
     Buckets answer with one row for each shard of documents; a shard's rows then become one row for each document.
     """
-    kind = "<u8" if wide else "<u4"
 
-    def tell(doc, value):
+    def tell(doc, value, check):
         shard = (mix(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((doc, shard))
-        doc, value, shard = doc[order], value[order], shard[order]
+        doc, value, check, shard = doc[order], value[order], picked(check, order), shard[order]
         at = begins(shard)
         ends = np.append(at[1:], len(doc)).tolist()
-        parts = [packed(doc[a:b], int(shard[a]), value[a:b], np.zeros(0, dtype=bool), wide)[:4] for a, b in zip(at.tolist(), ends, strict=True)]
+        parts = [packed(doc[a:b], int(shard[a]), value[a:b], picked(check, slice(a, b)), np.zeros(0, dtype=bool))[:4] for a, b in zip(at.tolist(), ends, strict=True)]
         columns = list(zip(*parts, strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["shard", "docs", "counts", "hashes"])
 
     def settle(parts):
-        doc, value, block = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((doc, value)) if wide else np.argsort(value.astype(np.uint64) << np.uint64(32) | np.unique(doc, return_inverse=True)[1].astype(np.uint64))
-        doc, value, block = doc[order], value[order], block[order]
-        known, _ = standing(value, doc, block, both)
-        if known.any():
-            yield from tell(doc[known], value[known])
+        """A slice of the bucket's hashes at a time, so that what is sorted is small beside the bucket."""
+        for k in range(SLICES):
+            some = []
+            for part in parts:
+                doc, value, check, block = opened(*part, wide)
+                mine = value >> value.dtype.type(8 * value.dtype.itemsize - 3) == k
+                some.append((doc[mine], value[mine], picked(check, mine), block[mine]))
+            doc, value, block = (np.concatenate([x[i] for x in some]) for i in (0, 1, 3))
+            check = np.concatenate([x[2] for x in some]) if wide else None
+            order = np.lexsort((doc, check, value)) if wide else np.argsort(value.astype(np.uint64) << np.uint64(32) | np.unique(doc, return_inverse=True)[1].astype(np.uint64))
+            doc, value, check, block = doc[order], value[order], picked(check, order), block[order]
+            known, _ = standing(value, check, doc, block, both)
+            if known.any():
+                yield from tell(doc[known], value[known], picked(check, known))
 
     def run(batches):
         for bucket, parts in runs(batches):
             if bucket < 0:
                 for part in parts:
-                    yield from tell(*opened(*part, wide)[:2])
+                    yield from tell(*opened(*part, wide)[:3])
             else:
-                yield from settle([opened(*part, wide) for part in parts])
+                yield from settle(parts)
 
     def merge(batches):
         for _, parts in runs(batches):
-            doc, value = (np.concatenate(x) for x in zip(*((np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(n, "<u4")), np.frombuffer(h, kind)) for d, n, h in parts), strict=True))
+            doc = np.concatenate([np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(n, "<u4")) for d, n, _ in parts])
+            value, check = ([x for x in xs if x is not None] for xs in zip(*(hashes_of(h, wide) for *_, h in parts), strict=True))
+            value, check = np.concatenate(value), np.concatenate(check) if check else None
             order = np.argsort(doc, kind="stable")
-            doc, value = doc[order], value[order]
+            doc, value, check = doc[order], value[order], picked(check, order)
             at = begins(doc)
             ends = np.append(at[1:], len(doc))
             for k in range(0, len(at), 1024):
                 some = zip(at[k : k + 1024].tolist(), ends[k : k + 1024].tolist(), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[at[k : k + 1024]], pa.int64()), pa.array([value[a:b].tobytes() for a, b in some], pa.binary())], ["of", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[at[k : k + 1024]], pa.int64()), pa.array([value[a:b].tobytes() + (check[a:b].tobytes() if wide else b"") for a, b in some], pa.binary())], ["of", "hashes"])
 
     told = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "shard bigint, docs binary, counts binary, hashes binary")
     return told.repartition(buckets, "shard").sortWithinPartitions("shard").mapInArrow(merge, "of bigint, hashes binary")
@@ -195,10 +248,11 @@ def runs(batches):
 
 
 def words_of(memo: _Words, text: bytes | None) -> tuple[list[bytes], np.ndarray]:
+    """(words, their two hashes as rows)."""
     if len(memo) > MEMO:
         memo.clear()
     found = (text or b"").split()
-    return found, np.fromiter(map(memo.__getitem__, found), dtype=np.uint64, count=len(found))
+    return found, np.array([memo[w] for w in found], dtype=np.uint64).reshape(-1, 2).T
 
 
 def anchors(docs: DataFrame, key: str, text: str, buckets: int, block: int = BLOCK) -> DataFrame:
@@ -211,15 +265,15 @@ def anchors(docs: DataFrame, key: str, text: str, buckets: int, block: int = BLO
             own, rank = np.unique(np.array(ids, dtype=np.int64), return_inverse=True)
             keys = []
             for k, t in zip(rank.tolist(), texts, strict=True):
-                value = rolling(words_of(memo, t)[1], block)
+                value = rolling(words_of(memo, t)[1][0], block)
                 to = mix(value ^ _ODD) % np.uint64(buckets)
                 keys.append(((to << hash_ | value & np.uint64(0xFFFFFFFF)) << who | np.uint64(k)) << flag | (np.arange(len(value)) % block == 0))
             # bucket, hash, document, is a block: one number each; of a hash that a document has twice the block stays
             all_ = np.sort(np.concatenate(keys))
             all_ = all_[np.append(all_[1:] >> flag != all_[:-1] >> flag, True)] if len(all_) else all_
             value, doc, is_block = all_ >> (who + flag), own[(all_ >> flag & np.uint64((1 << 13) - 1)).astype(np.int64)], (all_ & flag).astype(bool)
-            known, ask = standing(value, doc, is_block, both=True)
-            yield from asking(doc, value & np.uint64(0xFFFFFFFF), is_block, known, ask, (value >> hash_).astype(np.int64), wide=False)
+            known, ask = standing(value, None, doc, is_block, both=True)
+            yield from asking(doc, value & np.uint64(0xFFFFFFFF), None, is_block, known, ask, (value >> hash_).astype(np.int64))
 
     return answers(docs.select(key, text).mapInArrow(run, QUESTIONS), buckets, wide=False, both=True)
 
@@ -230,45 +284,52 @@ def repeats(docs: DataFrame, found: DataFrame, key: str, text: str, buckets: int
     def run(batches):
         memo = _Words()
         for ids, texts, hashes in groups(batches):
-            docs_, values = [], []
+            docs_, values, checks = [], [], []
             for k, t, h in zip(ids, texts, hashes, strict=True):
-                words = words_of(memo, t)[1]
+                words, others = words_of(memo, t)[1]
                 marks = np.isin((rolling(words, block) & np.uint64(0xFFFFFFFF)).astype("<u4"), np.frombuffer(h, "<u4"))
-                windows = rolling(words, window)
-                seen = np.append(0, np.cumsum(marks))  # a window counts if one of its stretches is an anchor
-                value = np.unique(windows[seen[window - block + 1 :][: len(windows)] > seen[: len(windows)]])
-                docs_.append(np.full(len(value), k, dtype=np.int64))
-                values.append(value)
-            doc, value = np.concatenate(docs_), np.concatenate(values)
-            order = np.lexsort((doc, value))
-            doc, value = doc[order], value[order]
-            one = np.append(True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, dtype=bool)
-            doc, value = doc[one], value[one]
+                windows, seen = rolling(words, window), np.append(0, np.cumsum(marks))
+                some = seen[window - block + 1 :][: len(windows)] > seen[: len(windows)]  # windows that hold an anchor
+                docs_.append(np.full(int(some.sum()), k, dtype=np.int64))
+                values.append(windows[some])
+                checks.append(second(others, window)[some])
+            doc, value, check = (np.concatenate(x) for x in (docs_, values, checks))
+            order = np.lexsort((doc, check, value))
+            doc, value, check = doc[order], value[order], check[order]
+            one = np.append(True, (value[1:] != value[:-1]) | (check[1:] != check[:-1]) | (doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, dtype=bool)
+            doc, value, check = doc[one], value[one], check[one]
             every = np.ones(len(doc), dtype=bool)
-            known, ask = standing(value, doc, every, both=False)
-            yield from asking(doc, value, every, known, ask, (mix(value ^ _ODD) % np.uint64(buckets)).astype(np.int64), wide=True)
+            known, ask = standing(value, check, doc, every, both=False)
+            yield from asking(doc, value, check, every, known, ask, (mix(value ^ _ODD) % np.uint64(buckets)).astype(np.int64))
 
     joined = docs.join(found, F.col(key) == F.col("of")).select(key, text, "hashes")
     return answers(joined.mapInArrow(run, QUESTIONS), buckets, wide=True, both=False)
 
 
-def removed(found: list[bytes], words: np.ndarray, hashes: bytes, window: int = WINDOW) -> np.ndarray:
-    """Mask of a document's words that its repeated windows cover."""
-    starts = np.flatnonzero(np.isin(rolling(words, window), np.frombuffer(hashes, "<u8")))
-    edge = np.zeros(len(found) + 1, dtype=np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + window, -1)
-    return np.cumsum(edge)[: len(found)] > 0
-
-
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """(key, n_words, n_removed, kept): kept is the text's remaining words, joined by one space."""
+def repeated_runs(words: np.ndarray, hashes: bytes, window: int = WINDOW) -> list[tuple[int, int]]:
+    """Maximal repeats as (first word, past the last), from the words' two hashes and those of the windows that repeat."""
+    value, check = hashes_of(hashes, True)
+    own = rolling(words[0], window)
+    near = np.flatnonzero(np.isin(own, value))
+    if not len(near):
+        return []
+    # Equal in both hashes: rows of (value, check) that the list has as well.
+    pairs = np.stack([np.append(value, own[near]), np.append(check, second(words[1], window)[near])], axis=1)
+    of = np.unique(pairs, axis=0, return_inverse=True)[1].reshape(-1)
+    starts = near[np.isin(of[len(value) :], of[: len(value)])]
+    if not len(starts):
+        return []
+    cut = np.flatnonzero(np.diff(starts) > window) + 1  # windows that overlap or touch are one repeat
+    return [(int(part[0]), int(part[-1]) + window) for part in np.split(starts, cut)]
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, block: int = BLOCK, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(key, n_words, n_removed, kept, repeats): kept is the text's remaining words, joined by one space; repeats are the
+    maximal stretches that went, as (start, end) in words, ends exclusive."""
     if 2 * block - 1 > window:
         raise ValueError("a window must hold a whole block")
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if buckets >= 1 << 18:
-        raise ValueError("at most 2**18 buckets")
     here = docs.select(key, text).where(F.col(key).isNotNull())
+    buckets = bucket_count(here, text, bucket_bytes)
     found = repeats(here, anchors(here, key, text, buckets, block), key, text, buckets, window, block)
     # The same shuffle of the texts serves both joins.
     whole = here.join(found, F.col(key) == F.col("of"), "left").select(key, text, "hashes")
@@ -279,16 +340,19 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         for ids, texts, hashes in groups(batches):
             out = []
             for k, t, h in zip(ids, texts, hashes, strict=True):
+                gone = []
                 if h:
                     words, values = words_of(memo, t)
-                    gone = removed(words, values, h, window)
-                    kept = [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
+                    gone = repeated_runs(values, h, window)
+                    edges = [0, *(x for run in gone for x in run), len(words)]
+                    kept = [w for a, b in zip(edges[::2], edges[1::2], strict=True) for w in words[a:b]]
                 else:
                     words = kept = (t or b"").split()
-                out.append((k, len(words), len(words) - len(kept), b" ".join(kept).decode()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], [key, "n_words", "n_removed", "kept"])
+                out.append((k, len(words), len(words) - len(kept), b" ".join(kept).decode(), [{"start": a, "end": b} for a, b in gone]))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [key, "n_words", "n_removed", "kept", "repeats"])
 
-    return whole.mapInArrow(run, f"{key} bigint, n_words bigint, n_removed bigint, kept string")
+    return whole.mapInArrow(run, f"{key} bigint, n_words bigint, n_removed bigint, kept string, repeats array<struct<start:bigint,end:bigint>>")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
