@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracegrid.llm.components import components
-from tracegrid.llm.shared import forest, settled
+from tracegrid.llm.shared import finite, forest, settled
 
 COSINE, TREES, SEED = 0.95, 6, 20
 #: Vectors, and bytes of them, that set the cuts; of these at least so many for a node's own median.
@@ -95,8 +95,13 @@ class Forest:
 
 def usable(vector: str):
     """True for vectors that may link."""
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce(F.col(vector).isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+    return finite(vector) & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
+def units(raw: np.ndarray) -> np.ndarray:
+    """Rows at length 1. Their largest component is brought to 1 first, as squares of tiny or huge ones leave the doubles."""
+    some = raw / np.abs(raw).max(axis=1, keepdims=True)
+    return some / np.linalg.norm(some, axis=1, keepdims=True)
 
 
 def _shared_before(row: np.ndarray, code: np.ndarray, rows: int, leaf: int) -> np.ndarray:
@@ -121,12 +126,11 @@ def links(classes: DataFrame, dim: int, cosine: float = COSINE, **how) -> DataFr
     most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
     sample = classes.orderBy(F.xxhash64("id"), "id").limit(most).select("v").toPandas()["v"]  # SAMPLE_BYTES at most
     sample = np.array([np.asarray(v, dtype=np.float64) for v in sample]).reshape(-1, dim)
-    trees = Forest(sample / np.linalg.norm(sample, axis=1, keepdims=True), rows, cosine, **how)
+    trees = Forest(units(sample), rows, cosine, **how)
     shared = classes.sparkSession.sparkContext.broadcast(trees)  # a few MB, whatever the number of vectors
 
     def unit_of(column) -> np.ndarray:
-        raw = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-        return raw / np.linalg.norm(raw, axis=1, keepdims=True)
+        return units(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
 
     def index(batches):
         for batch in batches:
