@@ -32,12 +32,12 @@ class RuleSet:
 
 # The kinds of secret. A run under 16 hex digits, or a key id under 18 characters, never holds
 # another match that would pass, so these two ask for the length at once; values of assignments are measured afterwards.
-# A token's parts have an upper bound, so that a long run of its letters isn't read to its end from every place.
+# A token begins where a run of its letters begins, and its parts give nothing back, so that no run is read from every place.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
 PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
-JWT = r"eyJ[A-Za-z0-9_-]{8,500}\.eyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,1000}"
+JWT = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
 
 
 def _long_value(hit: Column) -> Column:
@@ -47,8 +47,9 @@ def _long_value(hit: Column) -> Column:
 RULES = RuleSet("base-1", (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("pem", PEM), ("jwt", JWT)), (("assign", _long_value),))
 BASE = ["assign", "access", "hex"]
 LEDGER = f"blob string, spans array<{sp.SPAN}>, rule_version string"
-#: New blobs up to which their addresses (100 bytes each) are sent to every task; parts in which the query takes its table in.
-FEW_BLOBS, DELIVERIES = 10_000, 2
+#: Bytes of new blobs' addresses up to which they are sent to every task, and those of one; beyond, texts and addresses
+#: are joined by shuffle. Parts in which the query takes its table in.
+SENT_BYTES, ADDRESS_BYTES, DELIVERIES = 1 << 20, 100, 2
 
 
 def addresses(versions: DataFrame, path: list[str], text: str = "text") -> DataFrame:
@@ -69,7 +70,7 @@ def scan_new(versions: DataFrame, key: str, ledger: DataFrame | None = None, rul
     if ledger is not None:
         first = first.join(ledger.where(F.col("rule_version") == rules.version).select("blob").distinct(), "blob", "left_anti")
     first = settled(first)
-    if first.count() <= FEW_BLOBS:
+    if first.count() * ADDRESS_BYTES <= SENT_BYTES:
         first = F.broadcast(first)
     bodies = versions.select(F.col(key).alias("__of"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     same = F.col("__of").eqNullSafe(F.col("__key"))
@@ -125,14 +126,16 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def oracle() -> str:
     """The same rows in DuckDB's SQL, by running sums over the texts between the matches."""
-    base = [("assign", ASSIGN, "length(regexp_extract(h, '{p}', 1)) >= 12"), ("access", ACCESS, "true"), ("hex", "[0-9a-f]{16,}", "true"), ("pem", PEM, "true"), ("jwt", JWT, "true")]
-    return spans_sql("documents", [(k, p.replace("'", "''"), t.replace("{p}", p.replace("'", "''"))) for k, p, t in base], BASE, extra=", sha256(coalesce(text, '')) AS blob")
+    base = [("assign", ASSIGN, "length(regexp_extract(h, '{p}', 1)) >= 12"), ("access", ACCESS, "true"), ("hex", "[0-9a-f]{16,}", "true"), ("pem", PEM, "true"), ("jwt", r"(?:^|[^A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "true")]
+    # That engine's patterns can't look back, so a token's match holds the letter before it, which its start leaves out.
+    return spans_sql("documents", [(k, p.replace("'", "''"), t.replace("{p}", p.replace("'", "''"))) for k, p, t in base], BASE, extra=", sha256(coalesce(text, '')) AS blob", skip={"jwt": "length(regexp_replace({h}, '(?s)eyJ.*', ''))"})
 
 
-def spans_sql(table: str, rules: list[tuple[str, str, str]], base: list[str], extra: str = "") -> str:
-    """DuckDB SQL: counts, digest and list of spans. rules: (kind, pattern with quotes doubled, test on h)."""
+def spans_sql(table: str, rules: list[tuple[str, str, str]], base: list[str], extra: str = "", skip: dict[str, str] | None = None) -> str:
+    """DuckDB SQL: counts, digest and list of spans. rules: (kind, pattern with quotes doubled, test on h). skip: kind -> code points before the span in a hit {h}."""
+    left = lambda kind, i: f" + {skip[kind].format(h=f'h{i}[k]')}" if kind in (skip or {}) else ""
     hits = ", ".join(f"regexp_extract_all(t, '{p}') AS h{i}, string_split_regex(t, '{p}') AS g{i}" for i, (_, p, _) in enumerate(rules))
-    rows = ", ".join(f"list_transform(range(1, len(h{i}) + 1), lambda k: {{'s': s{i}[k], 'o': {i}, 'e': s{i}[k] + length(h{i}[k]), 'k': '{kind}', 'h': h{i}[k]}})" for i, (kind, _, _) in enumerate(rules))
+    rows = ", ".join(f"list_transform(range(1, len(h{i}) + 1), lambda k: {{'s': s{i}[k]{left(kind, i)}, 'o': {i}, 'e': s{i}[k] + length(h{i}[k]), 'k': '{kind}', 'h': h{i}[k]}})" for i, (kind, _, _) in enumerate(rules))
     starts = ", ".join(f"list_transform(range(1, len(h{i}) + 1), lambda k: CAST(list_sum(list_transform(g{i}[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(h{i}[1:k-1], lambda x: length(x))), 0) AS BIGINT)) AS s{i}" for i in range(len(rules)))
     keep = " OR ".join(f"(x.k = '{kind}' AND {re.sub(r'(?<=[(])h(?=[,)])', 'x.h', test)})" for kind, _, test in rules)
     text = "list_transform({0}, lambda x: x.k || ':' || x.s || ':' || x.e)"
