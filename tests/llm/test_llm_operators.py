@@ -2,7 +2,9 @@
 
 import hashlib
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -254,6 +256,42 @@ def test_secrets_and_ledger(spark, docs, tmp_path):
     assert {r["doc_id"]: r["n_access"] for r in secrets.query(spark, SF).collect()} == brute
 
 
+def test_long_tokens_are_found_whole(spark):
+    part = lambda n: "eyJ" + "aZ_-" * (n // 4)
+    token = f"{part(1500)}.{part(3000)}.{'s' * 2500}"
+    texts = [f"x {token} y", f"-{token}", f"{part(1500)}.eyJshort.{'s' * 20}", "eyJ" * 100_000, f"({token})({token})"]
+    found = secrets.scan(spark.createDataFrame(list(enumerate(texts)), SCHEMA), "doc_id").collect()
+    spans = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "jwt"] for r in found}
+    n = len(token)
+    assert spans == {0: [(2, 2 + n)], 1: [], 2: [], 3: [], 4: [(1, 1 + n), (n + 3, 2 * n + 3)]}
+
+
+def test_history_of_versions(spark, tmp_path):
+    """Several versions of a path over several states of the ledger, and a second version of the rules: what is scanned each time, and what each version holds."""
+    path, key = str(tmp_path / "ledger"), "doc_id"
+    name = lambda rows: spark.createDataFrame([(p, v, t) for p, v, t in rows], "path string, version int, text string").withColumn(key, F.concat_ws("@", "path", "version"))
+    a, b = "password = " + "a" * 12, "AKIA" + "B" * 16
+    states = [[("x", 1, a), ("y", 1, "none")], [("x", 2, a + " more"), ("y", 2, a), ("z", 1, None)], [("x", 3, a), ("y", 3, b), ("z", 2, ""), ("w", 1, "none")]]
+    scanned, seen = [], []
+    for n, state in enumerate(states):
+        seen += state
+        ledger = secrets.read_ledger(spark, path) if n else None
+        new = secrets.scan_new(name(seen), key, ledger)
+        scanned.append(sorted(r["blob"] for r in new.collect()))
+        secrets.append_to_ledger(new, path)
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    assert scanned == [sorted({sha(a), sha("none")}), sorted({sha(a + " more"), sha("")}), [sha(b)]]
+    told = secrets.addresses(name(seen), ["path", "version"])
+    found = {(r["path"], r["version"]): [s["kind"] for s in r["spans"]] for r in secrets.joined_back(told, secrets.read_ledger(spark, path)).collect()}
+    assert found == {(p, v): ["assign"] if t and t.startswith(a) else ["access"] if t == b else [] for p, v, t in seen}
+    # Another version of the rules scans every blob once more, and the entries of both stay apart, two for each blob.
+    more = secrets.RuleSet("numbers-1", (("digits", "[0-9]{4,}"),))
+    secrets.append_to_ledger(secrets.scan_new(name(seen), key, secrets.read_ledger(spark, path), more), path)
+    assert secrets.read_ledger(spark, path).groupBy("blob").count().where("count <> 2").count() == 0
+    assert secrets.scan_new(name(seen), key, secrets.read_ledger(spark, path), more).count() == 0
+    assert {(r["path"], r["version"]): [s["kind"] for s in r["spans"]] for r in secrets.joined_back(told, secrets.read_ledger(spark, path)).collect()} == found
+
+
 def test_mixing_meets_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = mixing.report(docs).collect()
@@ -268,6 +306,44 @@ def test_mixing_meets_targets(spark):
     assert told[1] == told[2] == told[3] == ("s", "", 0) and told[6] == ("s", "", 3000)
 
 
+def test_mixing_topics_are_whole_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source", "lang")
+    chosen = mixing.topic_words(docs)
+    runs = {k: Counter(re.findall("[a-z\x80-\U0010ffff]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))) for k, t in texts_of(docs).items()}
+    has = Counter(w for c in runs.values() for w in c if 5 <= len(w) <= 32)
+    assert chosen == sorted((w for w in has if has[w] <= 0.2 * len(runs)), key=lambda w: (-has[w], w))[:24]
+    for r in mixing.described(docs, words=chosen).collect():
+        own = {w: runs[r["doc_id"]][w] for w in chosen if runs[r["doc_id"]][w]}
+        assert r["mix_topic"] == max(own, key=lambda w: (own[w], w), default="")
+
+
+def test_mixing_topics_tied_and_within_longer_words(spark):
+    rows = [(1, "Apples apples pears PEARS"), (2, "xapples applesx apples-pears"), (3, "grüne grüne pears"), (4, None), (5, "a" * 300_000 + " pears"), (6, "apple")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"source": F.lit("s"), "lang": F.lit(None).cast("string"), "mix_kept": F.lit(1)})
+    found = {r["doc_id"]: r["mix_topic"] for r in mixing.described(docs, words=["apples", "pears", "grüne"]).collect()}
+    assert found == {1: "pears", 2: "pears", 3: "grüne", 4: "", 5: "pears", 6: ""}
+
+
+def test_mixing_with_very_long_words(spark):
+    long = [(k, f"{'ab' * 150_000} word{'x' * k} " + "plain words here and there " * 5) for k in range(9)]
+    docs = spark.createDataFrame(long, "doc_id bigint, text string").withColumns({"source": F.lit("s"), "lang": F.lit("en")})
+    assert all(len(w) <= 32 for w in mixing.topic_words(docs))
+    began = time.time()
+    assert mixing.sample(docs).count() <= 9
+    assert time.time() - began < 40
+
+
+def test_mixing_targets_within_another_margin(spark):
+    """Topics' targets are tempered in each language and add up to the languages'."""
+    m = {("t1", "x"): 900.0, ("t2", "x"): 100.0, ("t1", "y"): 50.0, ("t3", "y"): 0.0}
+    cells = spark.createDataFrame([(t, v, n, 500.0 if v == "x" else 30.0) for (t, v), n in m.items()], "topic string, lang string, tokens double, to_lang double")
+    found = {r["topic"]: r["to_topic"] for r in mixing.nested(cells, "topic", "lang", 0.5).collect()}
+    assert found["t1"] == pytest.approx(500 - 85 + 30) and found["t2"] == pytest.approx(85) and found["t3"] == 0
+    cells = spark.createDataFrame([("s1", t, v, n) for (t, v), n in m.items()], "source string, topic string, lang string, tokens double")
+    raked = mixing.rake(cells, ["source", "lang", "topic"], within={"topic": "lang"}).collect()
+    assert sum(r["tokens"] * r["weight"] for r in raked) == pytest.approx(525, rel=0.02)
+
+
 def test_mixing_with_given_targets(spark):
     cells = spark.createDataFrame([("a", "x", 100.0), ("a", "y", 300.0), ("b", "x", 200.0), ("b", "y", 400.0)], "s string, l string, tokens double")
     rows = mixing.rake(cells, ["s", "l"], 0.4, 1.0, targets={"s": {"a": 0.5, "b": 0.5}}).collect()
@@ -377,6 +453,36 @@ def test_substrings_against_brute_force(spark, docs):
         assert found == brute_substrings(texts)
 
 
+def test_substrings_with_colliding_hashes():
+    """Windows that share the hash that deals them out are told apart by the second one."""
+    value, check = np.array([5, 5, 5, 5], np.uint64), np.array([1, 1, 2, 2], np.uint64)
+    known, ask = substrings.standing(value, check, np.array([3, 8, 4, 4]), np.ones(4, dtype=bool), both=False)
+    assert known.tolist() == [False, True, False, False] and ask.tolist() == [True, False, True, True]
+    words = substrings.words_of(substrings._Words(), b" ".join(b"w%d" % k for k in range(20)))[1]
+    own, other = substrings.rolling(words[0], 13), substrings.second(words[1], 13)
+    pack = lambda v, c: v.tobytes() + c.tobytes()
+    assert substrings.repeated_runs(words, pack(own[2:5], other[2:5])) == [(2, 17)]
+    assert substrings.repeated_runs(words, pack(own[2:5], other[2:5] + np.uint64(1))) == []
+    assert substrings.repeated_runs(words, pack(own[[2, 2, 6]], np.array([7, other[2], other[3]], np.uint64))) == [(2, 15)]
+
+
+def test_substrings_buckets_grow_with_the_text_not_in_size(spark, docs):
+    small = substrings.bucket_count(docs.select("text"), "text", 1 << 12)
+    double = substrings.bucket_count(docs.select("text").unionByName(docs.select("text")), "text", 1 << 12)
+    assert small > 50 and abs(double - 2 * small) <= 2
+    texts = texts_of(docs)
+    df = spark.createDataFrame(list(texts.items()), SCHEMA)
+    few, many = ({r["doc_id"]: r["kept"] for r in substrings.dedup(df, bucket_bytes=b).collect()} for b in (1 << 30, 1 << 14))
+    assert few == many
+
+
+def test_substrings_give_maximal_repeats(spark):
+    shared = [f"s{k}" for k in range(30)]
+    texts = {1: "a b " + " ".join(shared) + " c", 2: "x " + " ".join(shared) + " y z " + " ".join(shared[4:20]) + " q", 3: " ".join(shared[:12])}
+    found = {r["doc_id"]: [(x["start"], x["end"]) for x in r["repeats"]] for r in substrings.dedup(spark.createDataFrame(list(texts.items()), SCHEMA)).collect()}
+    assert found == {1: [], 2: [(1, 31), (33, 49)], 3: []}
+
+
 def test_substrings_odd_rows(spark):
     rows = substrings.dedup(odd(spark)).collect()
     assert len(rows) == len(ODD) and all(r["n_removed"] == 0 for r in rows)
@@ -423,3 +529,10 @@ def test_forest_odd_rows(spark):
     assert links == {1: 2, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0, 8: 0, 9: 2, 10: 0}
     assert {r["component_id"] for r in found if r["vec_id"] in (1, 9)} == {1}
     assert forest_dedup.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+
+
+def test_forest_at_extreme_magnitudes(spark):
+    tiny = 5e-324
+    rows = [(1, [1e-200, 2e-200]), (2, [1.0, 1.0]), (3, [1e200, 1e200]), (4, [2e200, 2e200]), (5, [tiny, 0.0]), (6, [1.0, 0.1]), (7, [1.7e308, 1.7e308]), (8, [3.0, 6.0]), (9, [tiny, tiny]), (10, [-1e308, 0.0])]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in forest_dedup.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert found == {1: (1, 1), 8: (1, 1), 2: (4, 2), 3: (4, 2), 4: (4, 2), 7: (4, 2), 9: (4, 2), 5: (1, 5), 6: (1, 5), 10: (0, 10)}
