@@ -65,10 +65,9 @@ def described(docs: DataFrame, text: str = "text", source: str = "source", lang:
     """Add mix_source, mix_lang, mix_topic and mix_tokens (words); the topic is the greatest of the words held most often."""
     words = topic_words(docs, text) if words is None else words
     whole = rf"(?<!{LETTER})(?:{'|'.join(words)})(?!{LETTER})"  # letters only, so nothing to escape
-    # A column of its own, as the lambda below names it for every hit.
+    # A column of its own that is named twice, as Spark would else find the hits anew for every word.
     docs = docs.withColumn("__hits", F.regexp_extract_all(_lower(F.col(text)), F.lit(whole), F.lit(0)) if words else F.array().cast("array<string>"))
-    counts = F.transform(F.array(*map(F.lit, words)), lambda w: F.struct(F.size(F.filter("__hits", lambda h: h == w)).alias("n"), w.alias("w")))
-    counts = F.filter(counts, lambda c: c["n"] > 0) if words else F.array().cast("array<struct<n:int,w:string>>")
+    counts = F.transform(F.array_distinct("__hits"), lambda w: F.struct(F.size(F.filter("__hits", lambda h: h == w)).alias("n"), w.alias("w")))
     named = {"mix_source": F.coalesce(F.col(source), F.lit("")), "mix_lang": F.coalesce(F.col(lang), F.lit("")), "mix_topic": F.coalesce(F.array_max(counts)["w"], F.lit(""))}
     return docs.withColumns(named | {"mix_tokens": F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("bigint")}).drop("__hits")
 
