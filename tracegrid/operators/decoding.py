@@ -42,8 +42,8 @@ def near_folds(pos: str, edges: list[int], embargo: int) -> Column:
 def training(df: DataFrame, vector: str, pos: str, edges: list[int], embargo: int) -> dict[int, Moments]:
     """fold -> moments of its training rows."""
     whole = moments(df, vector)[None]  # zeros if there are no rows, and then no fold has any
-    out = moments(df.withColumn("__near", F.explode(near_folds(pos, edges, embargo))), vector, "__near")
-    return {k: Moments(whole - s) for k, s in out.items()}
+    out = moments(df.withColumn("__near", F.explode(near_folds(pos, edges, embargo))), vector, "__near", shift=whole.shift)
+    return {k: whole - s for k, s in out.items()}
 
 
 def ridge_weights(m: Moments, nx: int, alpha: float, standardise: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +99,7 @@ def best_alpha(trained: dict[int, Moments], tested: dict[int, Moments], nx: int,
         for k, m in trained.items():
             w, b = ridge_weights(m, nx, alpha)
             c = np.vstack([-w, np.eye(w.shape[1]), -b[None, :]])
-            total += np.trace(c.T @ tested[k].sums @ c)
+            total += np.trace(c.T @ tested[k].raw @ c)
         return total
 
     return min(grid, key=error)
@@ -122,7 +122,7 @@ def logistic(df: DataFrame, x: str, y: str, c: float = 1.0, steps: int = 12) ->
             return {"w": w, "zv": np.hstack([v[:, :-1], (z + (v[:, -1] - p) / w)[:, None]])}
 
         rows = df.na.drop(subset=[y]).withColumn("__xy", F.concat(F.col(x).cast("array<double>"), F.array(F.col(y).cast("double")))).withColumn("__k", F.lit(0).cast("bigint"))
-        s = moments(mapped(rows, "__xy", {"w": "double", "zv": "array<double>"}, weigh, ["__k"]), "zv", weight="w")[None]
+        s = moments(mapped(rows, "__xy", {"w": "double", "zv": "array<double>"}, weigh, ["__k"]), "zv", weight="w")[None].raw
         keep = [*range(d), d + 1]
         penalty = np.diag([1 / c] * d + [0.0])
         beta = np.linalg.solve(s[np.ix_(keep, keep)] + penalty, s[keep, d])

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracegrid.operators.linalg import Components, Moments, factorised, mapped, mean_correlation, moments, row_weights
+from tracegrid.operators.linalg import Components, factorised, mapped, mean_correlation, moments, row_weights
 from tracegrid.operators.ordered import joined
 from tracegrid.operators.series import smoothed
 from tracegrid.operators.stats import robust_threshold, row_normalised
@@ -54,14 +54,14 @@ def to_vectors(df: DataFrame, frame: str, cell: str, value: str, cells: list) ->
 def significant_components(values: DataFrame, vector: str, draws: int = 5, seed: int = 0, frame: str = "frame", n: int | None = None) -> float:
     """Mean number, over draws, of eigenvalues above the greatest of the same data with every place moved round by a shift of its own."""
     n = n or values.count()
-    real = np.linalg.eigvalsh(Moments(moments(values, vector)[None]).scatter)
+    real = np.linalg.eigvalsh(moments(values, vector)[None].scatter)
     dim, rng, counts = len(real), np.random.default_rng(seed), []
     long = values.select(frame, F.posexplode(vector).alias("__c", "__x"))
     for _ in range(draws):
         shift = F.array(*[F.lit(int(s)) for s in rng.integers(0, n, size=dim)])
         moved = long.withColumn(frame, F.pmod(F.col(frame) + F.get(shift, F.col("__c")), F.lit(n)))
         wide = moved.groupBy(frame).agg(F.transform(F.array_sort(F.collect_list(F.struct("__c", "__x"))), lambda s: s["__x"]).alias(vector))  # ``dim`` values a frame
-        counts.append(int((real > np.linalg.eigvalsh(Moments(moments(wide, vector)[None]).scatter).max()).sum()))
+        counts.append(int((real > np.linalg.eigvalsh(moments(wide, vector)[None].scatter).max()).sum()))
     return float(np.mean(counts))
 
 

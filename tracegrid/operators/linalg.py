@@ -1,7 +1,9 @@
 """Linear models from second moments: one pass over the rows, then a small solve on the driver.
 
 Rows hold a vector column (array of doubles). Each task adds up the outer products of its rows; what reaches the driver
-is one (d + 1) x (d + 1) matrix for each fold or class, whatever the number of rows.
+is one (d + 1) x (d + 1) matrix for each fold or class, whatever the number of rows. Rows are first moved by a shift, the
+mean of SHIFT of them, so that a mean far from zero costs no digits: with m rows of all n, the square of what is left of
+the mean is at most n / m of the variance, as those m rows are part of it.
 
 Rows with a NULL vector don't count; vectors of different lengths are an error; a NULL or NaN place makes the sums it
 enters NaN; repeated rows count each time. An empty table has moments of 0 and models of no places: principal gives no
@@ -26,8 +28,67 @@ def matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def moments(df: DataFrame, vector: str, group: str | None = None, weight: str | None = None) -> dict:
-    """group -> the sum of (v, 1)(v, 1)^T over its rows; without ``group`` the only key is None. Rows with a NULL vector don't count."""
+#: Rows whose mean all rows are moved by before they are multiplied.
+SHIFT = 1000
+
+
+@dataclass(frozen=True)
+class Moments:
+    """What the sum of (v - shift, 1)(v - shift, 1)^T stands for: mean, covariance sums and count. Those of one shift add and subtract."""
+
+    sums: np.ndarray
+    shift: np.ndarray
+
+    @property
+    def n(self) -> float:
+        return float(self.sums[-1, -1])
+
+    @property
+    def mean(self) -> np.ndarray:
+        return self.shift + self.sums[:-1, -1] / max(self.n, 1.0)
+
+    @property
+    def scatter(self) -> np.ndarray:
+        rest = self.sums[:-1, -1] / max(self.n, 1.0)
+        return self.sums[:-1, :-1] - self.n * np.outer(rest, rest)
+
+    @property
+    def raw(self) -> np.ndarray:
+        """The sum of (v, 1)(v, 1)^T."""
+        back = np.eye(len(self.sums))
+        back[:-1, -1] = self.shift
+        return back @ self.sums @ back.T
+
+    def __add__(self, other: Moments) -> Moments:
+        return Moments(self.sums + other.sums, self.shift)
+
+    def __sub__(self, other: Moments) -> Moments:
+        return Moments(self.sums - other.sums, self.shift)
+
+    def part(self, places: list[int]) -> Moments:
+        """Those of some of the vector's places."""
+        keep = [*places, len(self.sums) - 1]
+        return Moments(self.sums[np.ix_(keep, keep)], self.shift[places])
+
+
+def first_mean(rows: DataFrame, vector: str) -> np.ndarray:
+    """Mean of SHIFT rows, 0 where it isn't finite."""
+    some = [np.array([np.nan if x is None else x for x in r[0]], dtype=np.float64) for r in rows.select(vector).limit(SHIFT).collect()]
+    if len({len(v) for v in some}) > 1:
+        raise ValueError("vectors of different lengths")
+    with np.errstate(invalid="ignore", over="ignore"):
+        mean = np.mean(some, axis=0) if some else np.empty(0)
+    return np.where(np.isfinite(mean), mean, 0.0)
+
+
+def moments(df: DataFrame, vector: str, group: str | None = None, weight: str | None = None, shift: np.ndarray | None = None) -> dict:
+    """group -> Moments of its rows; without ``group`` the only key is None. Rows with a NULL vector don't count.
+
+    shift: another than the first rows' mean, as for moments that are to be added to others.
+    """
+    rows = df.where(F.col(vector).isNotNull())
+    rows = rows.select((F.col(group) if group else F.lit(0)).cast("bigint").alias("k"), F.col(vector).cast("array<double>").alias("v"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"))
+    by = first_mean(rows, "v") if shift is None else shift
 
     def run(batches):
         sums: dict = {}
@@ -35,7 +96,9 @@ def moments(df: DataFrame, vector: str, group: str | None = None, weight: str |
             if not batch.num_rows:
                 continue
             v = matrix(batch.column(1))
-            v = np.hstack([v, np.ones((len(v), 1))])
+            if v.shape[1] != len(by):
+                raise ValueError("vectors of different lengths")
+            v = np.hstack([v - by, np.ones((len(v), 1))])
             w = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), dtype=np.float64)
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for k in np.unique(keys):
@@ -46,36 +109,15 @@ def moments(df: DataFrame, vector: str, group: str | None = None, weight: str |
             n = len(s)
             yield pa.RecordBatch.from_arrays([pa.array([k] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(s.tolist(), pa.list_(pa.float64()))], ["k", "i", "row"])
 
-    rows = df.where(F.col(vector).isNotNull())
-    rows = rows.select((F.col(group) if group else F.lit(0)).cast("bigint").alias("k"), F.col(vector).cast("array<double>").alias("v"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"))
     parts = rows.mapInArrow(run, "k bigint, i bigint, row array<double>").select("k", "i", F.posexplode("row").alias("j", "x"))
     found = parts.groupBy("k", "i", "j").agg(F.sum("x").alias("x")).collect()  # (d + 1)^2 numbers a group
-    size = 1 + max((r["i"] for r in found), default=0)
-    out: dict = {} if group else {None: np.zeros((size, size))}
+    size = len(by) + 1
+    out: dict = {} if group else {None: Moments(np.zeros((size, size)), by)}
     for r in found:
-        out.setdefault(r["k"] if group else None, np.zeros((size, size)))[r["i"], r["j"]] = r["x"]
+        out.setdefault(r["k"] if group else None, Moments(np.zeros((size, size)), by)).sums[r["i"], r["j"]] = r["x"]
     return out
 
 
-@dataclass(frozen=True)
-class Moments:
-    """Mean, covariance sums and count that a moment matrix stands for."""
-
-    sums: np.ndarray
-
-    @property
-    def n(self) -> float:
-        return float(self.sums[-1, -1])
-
-    @property
-    def mean(self) -> np.ndarray:
-        return self.sums[:-1, -1] / max(self.n, 1.0)
-
-    @property
-    def scatter(self) -> np.ndarray:
-        return self.sums[:-1, :-1] - self.n * np.outer(self.mean, self.mean)
-
-
 def mapped(df: DataFrame, vector: str, outs: dict[str, str], function, keys: list[str]) -> DataFrame:
     """(keys, outs): function(matrix of the rows' vectors, key columns as arrays) -> a dict of arrays, a batch at a time."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema), *(f"{k} {t}" for k, t in outs.items())])
@@ -106,7 +148,7 @@ class Components:
 
 
 def principal(df: DataFrame, vector: str, k: int | None = None) -> Components:
-    m = Moments(moments(df, vector)[None])
+    m = moments(df, vector)[None]
     if not len(m.mean):
         return Components(np.empty((0, 0)), m.mean, np.empty(0))
     values, vectors = np.linalg.eigh(m.scatter / max(m.n - 1, 1.0))
@@ -135,7 +177,7 @@ def components_for(share: float, found: Components) -> int:
 
 def correlations(df: DataFrame, vector: str) -> np.ndarray:
     """d x d correlation of the vector's places; NaN where one is constant."""
-    s = Moments(moments(df, vector)[None]).scatter
+    s = moments(df, vector)[None].scatter
     d = np.sqrt(np.diag(s))
     with np.errstate(divide="ignore", invalid="ignore"):
         return s / np.outer(d, d)
@@ -154,7 +196,7 @@ def residual(df: DataFrame, x: str, b: str, keys: list[str], alpha: float = 1e-3
     if dims is None:
         return df.select(*keys, F.col(x).cast("array<double>").alias("vector"))
     both = df.withColumn("__xb", F.concat(F.col(b).cast("array<double>"), F.col(x).cast("array<double>")))
-    m, nb = Moments(moments(both, "__xb")[None]), dims[1]
+    m, nb = moments(both, "__xb")[None], dims[1]
     w = np.linalg.solve(m.scatter[:nb, :nb] + alpha * np.eye(nb), m.scatter[:nb, nb:])
     offset = m.mean[nb:] - m.mean[:nb] @ w
     return mapped(both, "__xb", {"vector": "array<double>"}, lambda v, _: {"vector": v[:, nb:] - v[:, :nb] @ w - offset}, keys)
@@ -165,7 +207,7 @@ def procrustes(df: DataFrame, a: str, b: str) -> float:
     row = df.select(F.size(a)).first()
     if row is None:
         return float("nan")
-    m, n = Moments(moments(df.withColumn("__ab", F.concat(F.col(a).cast("array<double>"), F.col(b).cast("array<double>"))), "__ab")[None]), row[0]
+    m, n = moments(df.withColumn("__ab", F.concat(F.col(a).cast("array<double>"), F.col(b).cast("array<double>"))), "__ab")[None], row[0]
     s = m.scatter
     scale = np.sqrt(np.trace(s[:n, :n]) * np.trace(s[n:, n:]))
     return float(1 - (np.linalg.svd(s[:n, n:], compute_uv=False).sum() / scale) ** 2)
@@ -177,7 +219,7 @@ def canonical(df: DataFrame, x: str, y: str, k: int, ridge: float = 1e-9) -> tup
     if row is None:
         return np.empty(0), np.empty((0, 0)), np.empty((0, 0))
     nx = row[0]
-    m = Moments(moments(df.withColumn("__xy", F.concat(F.col(x).cast("array<double>"), F.col(y).cast("array<double>"))), "__xy")[None])
+    m = moments(df.withColumn("__xy", F.concat(F.col(x).cast("array<double>"), F.col(y).cast("array<double>"))), "__xy")[None]
     s = m.scatter / m.n
     root = lambda c: np.linalg.inv(np.linalg.cholesky(c + ridge * np.eye(len(c))))
     rx, ry = root(s[:nx, :nx]), root(s[nx:, nx:])
@@ -214,7 +256,7 @@ def factorised(df: DataFrame, vector: str, k: int, rounds: int = 30, inner: int
     A row's weights depend on H and the row alone, so they are solved where the row lies, by multiplicative steps from
     a fixed start; one pass adds up what H's update needs. ``clamp``: leading rows of H that stay as they are.
     """
-    shape = Moments(moments(df.withColumn("__p", F.transform(vector, lambda x: F.greatest(x.cast("double"), F.lit(0.0)))), "__p")[None])
+    shape = moments(df.withColumn("__p", F.transform(vector, lambda x: F.greatest(x.cast("double"), F.lit(0.0)))), "__p")[None]
     rng = np.random.default_rng(seed)
     h = np.abs(rng.normal(1.0, 0.5, size=(k, len(shape.mean)))) * (shape.mean + 1e-9)
     fixed = 0 if clamp is None else len(clamp)
