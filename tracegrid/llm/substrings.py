@@ -15,8 +15,8 @@ A round deals hashes by bucket, packed in arrays, and gets back to each document
 settles what it can from its own documents: of a stretch with many of them only the ends have to be asked about, so
 that one line in a third of all documents is no hot key. There are as many buckets as the text's bytes ask for, so a
 bucket doesn't grow with the input, and it is settled a slice of its hashes at a time. The first round only narrows down
-what to look at, and its hashes may collide (32 bits within a bucket); windows are equal if two hashes of 64 bits agree,
-made of different hashes of their words.
+what to look at, and its hashes may collide (32 bits within a bucket); windows of two documents are equal if two hashes
+agree, of 64 and 32 bits and made of different hashes of their words. Answers name windows of one document by the first.
 
 Edge cases: a null text has no words; repeated rows, and rows with one id, don't repeat each other, as their ids are
 not smaller; rows with a null id stay whole; an empty table gives an empty result; other columns pass through.
@@ -68,14 +68,14 @@ def rolling(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def second(words: np.ndarray, n: int) -> np.ndarray:
-    """Another hash, of other hashes of the words by another factor."""
+    """Another hash, of other hashes of the words by another factor: 32 bits."""
     if len(words) < n:
-        return np.empty(0, dtype=np.uint64)
+        return np.empty(0, dtype=np.uint32)
     total = np.zeros(len(words) - n + 1, dtype=np.uint64)
     for k in range(n):
         total = (total ^ words[k : len(words) - n + 1 + k]) * _OTHER
         total ^= total >> np.uint64(32)
-    return total
+    return total.astype(np.uint32)
 
 
 def bucket_count(texts: DataFrame, text: str, bucket_bytes: int = BUCKET_BYTES) -> int:
@@ -134,17 +134,17 @@ def standing(value: np.ndarray, check: np.ndarray | None, doc: np.ndarray, block
 
 
 def packed(docs: np.ndarray, bucket: int, value: np.ndarray, check: np.ndarray | None, block: np.ndarray) -> tuple:
-    """A question's row from rows in order of document. Hashes are 4 bytes, or 16 with their check."""
+    """A question's row from rows in order of document. Hashes are 4 bytes, or 12 with their check."""
     at = begins(docs)
-    hashes = value.astype("<u4").tobytes() if check is None else value.astype("<u8").tobytes() + check.astype("<u8").tobytes()
+    hashes = value.astype("<u4").tobytes() if check is None else value.astype("<u8").tobytes() + check.astype("<u4").tobytes()
     return bucket, docs[at].astype("<i8").tobytes(), np.diff(np.append(at, len(docs))).astype("<u4").tobytes(), hashes, np.packbits(block).tobytes()
 
 
 def hashes_of(hashes: bytes, wide: bool) -> tuple[np.ndarray, np.ndarray | None]:
     if not wide:
         return np.frombuffer(hashes, "<u4"), None
-    both = np.frombuffer(hashes, "<u8")
-    return both[: len(both) // 2], both[len(both) // 2 :]
+    n = len(hashes) // 12
+    return np.frombuffer(hashes, "<u8", n), np.frombuffer(hashes, "<u4", n, 8 * n)
 
 
 QUESTIONS = "bucket bigint, docs binary, counts binary, hashes binary, flags binary"
@@ -182,14 +182,18 @@ def answers(rows: DataFrame, buckets: int, wide: bool, both: bool) -> DataFrame:
     Buckets answer with one row for each shard of documents; a shard's rows then become one row for each document.
     """
 
-    def tell(doc, value, check):
+    kind = "<u8" if wide else "<u4"
+
+    def tell(doc, value):
         shard = (mix(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((doc, shard))
-        doc, value, check, shard = doc[order], value[order], picked(check, order), shard[order]
+        doc, value, shard = doc[order], value[order].astype(kind), shard[order]
         at = begins(shard)
-        ends = np.append(at[1:], len(doc)).tolist()
-        parts = [packed(doc[a:b], int(shard[a]), value[a:b], picked(check, slice(a, b)), np.zeros(0, dtype=bool))[:4] for a, b in zip(at.tolist(), ends, strict=True)]
-        columns = list(zip(*parts, strict=True))
+        rows = []
+        for a, b in zip(at.tolist(), np.append(at[1:], len(doc)).tolist(), strict=True):
+            own = a + begins(doc[a:b])
+            rows.append((int(shard[a]), doc[own].astype("<i8").tobytes(), np.diff(np.append(own, b)).astype("<u4").tobytes(), value[a:b].tobytes()))
+        columns = list(zip(*rows, strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["shard", "docs", "counts", "hashes"])
 
     def settle(parts):
@@ -206,28 +210,26 @@ def answers(rows: DataFrame, buckets: int, wide: bool, both: bool) -> DataFrame:
             doc, value, check, block = doc[order], value[order], picked(check, order), block[order]
             known, _ = standing(value, check, doc, block, both)
             if known.any():
-                yield from tell(doc[known], value[known], picked(check, known))
+                yield from tell(doc[known], value[known])
 
     def run(batches):
         for bucket, parts in runs(batches):
             if bucket < 0:
                 for part in parts:
-                    yield from tell(*opened(*part, wide)[:3])
+                    yield from tell(*opened(*part, wide)[:2])
             else:
                 yield from settle(parts)
 
     def merge(batches):
         for _, parts in runs(batches):
-            doc = np.concatenate([np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(n, "<u4")) for d, n, _ in parts])
-            value, check = ([x for x in xs if x is not None] for xs in zip(*(hashes_of(h, wide) for *_, h in parts), strict=True))
-            value, check = np.concatenate(value), np.concatenate(check) if check else None
+            doc, value = (np.concatenate(x) for x in zip(*((np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(n, "<u4")), np.frombuffer(h, kind)) for d, n, h in parts), strict=True))
             order = np.argsort(doc, kind="stable")
-            doc, value, check = doc[order], value[order], picked(check, order)
+            doc, value = doc[order], value[order]
             at = begins(doc)
             ends = np.append(at[1:], len(doc))
             for k in range(0, len(at), 1024):
                 some = zip(at[k : k + 1024].tolist(), ends[k : k + 1024].tolist(), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[at[k : k + 1024]], pa.int64()), pa.array([value[a:b].tobytes() + (check[a:b].tobytes() if wide else b"") for a, b in some], pa.binary())], ["of", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[at[k : k + 1024]], pa.int64()), pa.array([value[a:b].tobytes() for a, b in some], pa.binary())], ["of", "hashes"])
 
     told = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "shard bigint, docs binary, counts binary, hashes binary")
     return told.repartition(buckets, "shard").sortWithinPartitions("shard").mapInArrow(merge, "of bigint, hashes binary")
@@ -307,16 +309,8 @@ def repeats(docs: DataFrame, found: DataFrame, key: str, text: str, buckets: int
 
 
 def repeated_runs(words: np.ndarray, hashes: bytes, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Maximal repeats as (first word, past the last), from the words' two hashes and those of the windows that repeat."""
-    value, check = hashes_of(hashes, True)
-    own = rolling(words[0], window)
-    near = np.flatnonzero(np.isin(own, value))
-    if not len(near):
-        return []
-    # Equal in both hashes: rows of (value, check) that the list has as well.
-    pairs = np.stack([np.append(value, own[near]), np.append(check, second(words[1], window)[near])], axis=1)
-    of = np.unique(pairs, axis=0, return_inverse=True)[1].reshape(-1)
-    starts = near[np.isin(of[len(value) :], of[: len(value)])]
+    """Maximal repeats as (first word, past the last), from the words' hashes and those of the windows that repeat."""
+    starts = np.flatnonzero(np.isin(rolling(words, window), np.frombuffer(hashes, "<u8")))
     if not len(starts):
         return []
     cut = np.flatnonzero(np.diff(starts) > window) + 1  # windows that overlap or touch are one repeat
@@ -343,7 +337,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                 gone = []
                 if h:
                     words, values = words_of(memo, t)
-                    gone = repeated_runs(values, h, window)
+                    gone = repeated_runs(values[0], h, window)
                     edges = [0, *(x for run in gone for x in run), len(words)]
                     kept = [w for a, b in zip(edges[::2], edges[1::2], strict=True) for w in words[a:b]]
                 else:
