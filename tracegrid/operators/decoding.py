@@ -185,10 +185,16 @@ def circular(df: DataFrame, shifts: DataFrame, key: str, pos: str, n: int | str)
     return df.join(shifts, key).withColumn(pos, F.pmod(F.col(pos) + F.col("shift"), F.col(n) if isinstance(n, str) else F.lit(n))).drop("shift")
 
 
-def scrambled(df: DataFrame, by: list[str], pos: str, values: list[str], seed: int = 0) -> DataFrame:
-    """Values of each series in an order drawn by hash; positions stay."""
-    order = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), *by, pos), pos)
-    moved = df.select(*by, *values, (F.row_number().over(order) - 1).cast("bigint").alias(pos))
+def scrambled(df: DataFrame, by: list[str], pos: str, values: list[str], seed: int = 0, parts: int = 256) -> DataFrame:
+    """Values of each series in an order drawn by hash; positions, dense from 0, stay.
+
+    The hash's ranges are even by nature, so rows are ordered within each of ``parts`` of them, and only their sizes over a series.
+    """
+    rows = df.select(*by, *values, F.col(pos).alias("__pos"), F.xxhash64(F.lit(seed), *by, pos).alias("__h")).withColumn("__p", F.shiftright("__h", 56).cast("int") if parts == 256 else F.pmod("__h", F.lit(parts)).cast("int"))
+    sizes = rows.groupBy(*by, "__p").agg(F.count("*").alias("__n"))
+    before = sizes.select(*by, "__p", (F.sum("__n").over(Window.partitionBy(*by).orderBy("__p")) - F.col("__n")).alias("__before"))  # a row for each range
+    row = F.row_number().over(Window.partitionBy(*by, "__p").orderBy("__h", "__pos")) - 1
+    moved = joined(rows.withColumn("__row", row), before, [*by, "__p"]).select(*by, *values, (F.col("__row") + F.col("__before")).cast("bigint").alias(pos))
     return joined(df.drop(*values), moved, [*by, pos])
 
 

@@ -6,11 +6,11 @@ Loadings are rows (comp, cell, value), scores rows (comp, frame, value).
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracegrid.operators.linalg import Components, factorised, mapped, mean_correlation, moments, row_weights
-from tracegrid.operators.ordered import joined
+from tracegrid.operators.ordered import joined, ranked
 from tracegrid.operators.series import smoothed
 from tracegrid.operators.stats import robust_threshold, row_normalised
 
@@ -52,17 +52,20 @@ def to_vectors(df: DataFrame, frame: str, cell: str, value: str, cells: list) ->
 
 
 def significant_components(values: DataFrame, vector: str, draws: int = 5, seed: int = 0, frame: str = "frame", n: int | None = None) -> float:
-    """Mean number, over draws, of eigenvalues above the greatest of the same data with every place moved round by a shift of its own."""
+    """Mean number, over draws, of eigenvalues above the greatest of the same data with every place moved round by a shift of its own.
+
+    All draws are put together in one shuffle, and measured in one pass.
+    """
     n = n or values.count()
-    real = np.linalg.eigvalsh(moments(values, vector)[None].scatter)
-    dim, rng, counts = len(real), np.random.default_rng(seed), []
-    long = values.select(frame, F.posexplode(vector).alias("__c", "__x"))
-    for _ in range(draws):
-        shift = F.array(*[F.lit(int(s)) for s in rng.integers(0, n, size=dim)])
-        moved = long.withColumn(frame, F.pmod(F.col(frame) + F.get(shift, F.col("__c")), F.lit(n)))
-        wide = moved.groupBy(frame).agg(F.transform(F.array_sort(F.collect_list(F.struct("__c", "__x"))), lambda s: s["__x"]).alias(vector))  # ``dim`` values a frame
-        counts.append(int((real > np.linalg.eigvalsh(moments(wide, vector)[None].scatter).max()).sum()))
-    return float(np.mean(counts))
+    whole = moments(values, vector)[None]
+    real = np.linalg.eigvalsh(whole.scatter)
+    if not len(real):
+        return 0.0
+    long = values.select(frame, F.posexplode(vector).alias("__c", "__x")).withColumn("__d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    moved = long.withColumn(frame, F.pmod(F.col(frame) + F.pmod(F.xxhash64(F.lit(seed), "__d", "__c"), F.lit(n)), F.lit(n)))
+    wide = moved.groupBy("__d", frame).agg(F.transform(F.array_sort(F.collect_list(F.struct("__c", "__x"))), lambda s: s["__x"]).alias(vector))  # a place's value each
+    null = moments(wide, vector, "__d", shift=whole.shift)
+    return float(np.mean([(real > np.linalg.eigvalsh(m.scatter).max()).sum() for m in null.values()]))
 
 
 def silent(df: DataFrame, cell: str, value: str) -> DataFrame:
@@ -99,7 +102,8 @@ def correlated_cells(vectors: DataFrame, shuffled: list[DataFrame], vector: str,
 def ranked_cells(loadings: DataFrame, cell: str, value: str) -> DataFrame:
     """(cell, rank) by greatest loading, of equals by cell."""
     top = loadings.groupBy(cell).agg(F.max(value).alias("__m"))
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("__m").desc(), cell))).drop("__m")  # one row a cell
+    out = ranked(top.withColumn("__m", -F.col("__m")), "__m", [cell], "rank")
+    return out.select(cell, (F.col("rank") + 1).cast("int").alias("rank"))
 
 
 def stability(a: Components, b: Components) -> tuple[list[int], np.ndarray]:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracegrid.operators.asof import interpolated
-from tracegrid.operators.ordered import joined, running
+from tracegrid.operators.ordered import joined, ranked, running
 from tracegrid.operators.series import difference, gradient, movement, smoothed, unwrapped
 
 
@@ -103,11 +103,9 @@ def striped(pixels: DataFrame, height: int, top: int = 255, bottom: int = 128, w
 
 def by_distance(objects: DataFrame, key: str, place: tuple[float, float, float]) -> DataFrame:
     """Objects (x, y, z) with their distance from one place and their rank by it, of equals by key."""
-    from pyspark.sql import Window
-
     dist = F.sqrt(reduce(lambda a, b: a + b, [F.pow(F.col(c) - F.lit(p), 2) for c, p in zip("xyz", place, strict=True)]))
-    rows = objects.withColumn("dist", dist)
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy("dist", key)))  # one row an object of a scene
+    rows = ranked(objects.withColumn("dist", dist), "dist", [key], "rank")
+    return rows.withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def pooled_cut(values: DataFrame, value: str, percent: float) -> DataFrame:

@@ -106,15 +106,22 @@ def moments(df: DataFrame, vector: str, group: str | None = None, weight: str |
                 part = (v[mine] * w[mine, None]).T @ v[mine]
                 sums[int(k)] = sums.get(int(k), 0) + part
         for k, s in sums.items():
-            n = len(s)
-            yield pa.RecordBatch.from_arrays([pa.array([k] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(s.tolist(), pa.list_(pa.float64()))], ["k", "i", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(s), pa.int64()), pa.array(range(len(s)), pa.int64()), pa.array([r.tobytes() for r in s], pa.binary())], ["k", "i", "row"])
 
-    parts = rows.mapInArrow(run, "k bigint, i bigint, row array<double>").select("k", "i", F.posexplode("row").alias("j", "x"))
-    found = parts.groupBy("k", "i", "j").agg(F.sum("x").alias("x")).collect()  # (d + 1)^2 numbers a group
+    def total(batches):  # as many rows of each (k, i) as the pass has tasks, added up as they come
+        held: dict = {}
+        for batch in batches:
+            for k, i, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held[k, i] = held.get((k, i), 0.0) + np.frombuffer(row)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array([i for _, i in held], pa.int64()), pa.array([r.tobytes() for r in held.values()], pa.binary())], ["k", "i", "row"])
+
+    kind = "k bigint, i bigint, row binary"
+    found = rows.mapInArrow(run, kind).repartition("k", "i").mapInArrow(total, kind).collect()  # d + 1 rows of d + 1 numbers a group
     size = len(by) + 1
     out: dict = {} if group else {None: Moments(np.zeros((size, size)), by)}
     for r in found:
-        out.setdefault(r["k"] if group else None, Moments(np.zeros((size, size)), by)).sums[r["i"], r["j"]] = r["x"]
+        out.setdefault(r["k"] if group else None, Moments(np.zeros((size, size)), by)).sums[r["i"]] = np.frombuffer(r["row"])
     return out
 
 

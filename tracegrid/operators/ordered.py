@@ -43,6 +43,20 @@ def positions(df: DataFrame, by: list[str], time: str, order: list[str], out: st
     return joined(rows.withColumn("__row", row), before, [*by, "__b"]).withColumn(out, (F.col("__row") + F.col("__before")).cast("bigint")).drop("__b", "__row", "__before")
 
 
+def ranked(df: DataFrame, value: str, order: list, out: str, parts: int = 64) -> DataFrame:
+    """Add ``out``: 0, 1, 2 ... of all rows by a number, then by ``order``, NULL first. Rows are ordered within ranges of the number.
+
+    Approximate cuts make the ranges, so that as many rows fall in each as their values allow.
+    """
+    cuts = df.select(F.percentile_approx(F.col(value).cast("double"), [k / parts for k in range(1, parts)], 10 * parts)).collect()[0][0] or []
+    at = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(value))) if cuts else F.lit(0)
+    rows = df.withColumn("__p", F.coalesce(F.when(F.col(value).isNotNull(), at), F.lit(-1)))
+    sizes = rows.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))  # a row for each range
+    row = F.row_number().over(Window.partitionBy("__p").orderBy(value, *order)) - 1
+    return rows.withColumn("__row", row).join(F.broadcast(before), "__p").withColumn(out, (F.col("__row") + F.col("__before")).cast("bigint")).drop("__p", "__row", "__before")
+
+
 def carried(rows: DataFrame, by: list[str], time: str, order: list[Column], value: str, out: str, *, forward: bool = False, width: float | None = None) -> DataFrame:
     """Add ``out``: the last value that is not NULL at or before each row; with ``forward`` the first at or after it."""
     rows = bucketed(rows, time, width)

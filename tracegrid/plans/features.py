@@ -175,9 +175,13 @@ def q81_cluster_scores(spark, sf_dir):
     return found.select("cluster", "frame", r6("score", "score"), "active")
 
 
-@query("WITH c AS (SELECT iy, ix, iy * 10 + ix AS v FROM (SELECT unnest(range(0, 3)) AS iy), (SELECT unnest(range(0, 4)) AS ix)), y AS (SELECT row, CASE WHEN row >= 4 THEN 2 WHEN row >= 2 THEN 1 ELSE 0 END AS iy FROM (SELECT unnest(range(0, 7)) AS row)), x AS (SELECT col, CASE WHEN col >= 6 THEN 3 WHEN col >= 4 THEN 2 WHEN col >= 2 THEN 1 ELSE 0 END AS ix FROM (SELECT unnest(range(0, 9)) AS col)) SELECT CAST(row AS INT) AS row, CAST(col AS INT) AS col, CAST(v AS BIGINT) AS v FROM c JOIN y USING (iy) JOIN x USING (ix)")
+@query("""WITH c AS (SELECT CAST(p_size % 3 AS INT) AS iy, CAST(p_partkey % 4 AS INT) AS ix, count(*) AS v FROM part GROUP BY 1, 2),
+y AS (SELECT row, CASE WHEN row >= 4 THEN 2 WHEN row >= 2 THEN 1 ELSE 0 END AS iy FROM (SELECT unnest(range(0, 7)) AS row)), x AS (SELECT col, CASE WHEN col >= 6 THEN 3 WHEN col >= 4 THEN 2 WHEN col >= 2 THEN 1 ELSE 0 END AS ix FROM (SELECT unnest(range(0, 9)) AS col))
+SELECT CAST(row AS INT) AS row, CAST(col AS INT) AS col, v FROM c JOIN y USING (iy) JOIN x USING (ix)""")
 def q82_painted(spark, sf_dir):
-    cells = spark.range(12).select(F.floor(F.col("id") / 4).cast("int").alias("iy"), (F.col("id") % 4).cast("int").alias("ix")).withColumn("v", (F.col("iy") * 10 + F.col("ix")).cast("bigint"))
+    """Counts of parts in a grid of cells, painted over the cells' pixels."""
+    part = table(spark, sf_dir, "part")
+    cells = part.groupBy((F.col("p_size") % 3).cast("int").alias("iy"), (F.col("p_partkey") % 4).cast("int").alias("ix")).agg(F.count("*").alias("v"))
     return raster.painted(cells, [], 7, 9, (3, 4), "v")
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracegrid.operators.ordered import joined, positions, windowed
+
 SCHEMAS = {
     "MovementData": "Time double, x_pos double, y_pos double, z_pos double, x_rot_eu double, y_rot_eu double, totalDist double",
     "Events": "Time double, event string",
@@ -41,11 +43,14 @@ def started(session: Column) -> Column:
 def table(spark: SparkSession, folder: str, name: str, schema: str | None = None) -> DataFrame:
     """All sessions' rows of one table, with ``session`` and ``row``, the place in its file."""
     read = spark.read.schema(schema or SCHEMAS[name]).option("header", "true").option("enforceSchema", "false").option("pathGlobFilter", f"*_{name}.csv").csv(folder)
-    read = read.withColumn("session", session_of(F.col("_metadata.file_path"))).withColumn("__at", F.monotonically_increasing_id())
-    # Ids grow along a file; a window over the session gives the dense place.
-    from pyspark.sql import Window
-
-    return read.withColumn("row", F.row_number().over(Window.partitionBy("session").orderBy("__at")) - 1).drop("__at")
+    # A file's splits are told apart by where they start, and within one the id grows along the file.
+    start = F.col("_metadata.file_block_start")
+    read = read.withColumns({"session": session_of(F.col("_metadata.file_path")), "__block": start, "__at": F.monotonically_increasing_id()})
+    sizes = read.groupBy("session", "__block").agg(F.count("*").alias("__n"))
+    over = Window.partitionBy("session").orderBy("__block")  # a row for each split of a file
+    before = sizes.select("session", "__block", (F.sum("__n").over(over) - F.col("__n")).alias("__before"))
+    row = F.row_number().over(Window.partitionBy("session", "__block").orderBy("__at")) - 1
+    return joined(read.withColumn("__row", row), before, ["session", "__block"]).withColumn("row", (F.col("__row") + F.col("__before")).cast("int")).drop("__block", "__at", "__row", "__before")
 
 
 def parameters(spark: SparkSession, folder: str, sheet: DataFrame | None = None) -> DataFrame:
@@ -79,8 +84,6 @@ def first_value(df: DataFrame, by: list[str], order: str, value: str) -> DataFra
 
 def pulse_delay(events: DataFrame, by: list[str], time: str, is_pulse: Column, first_frame: DataFrame | None = None) -> DataFrame:
     """(by, first_pulse, max_gap, n_pulses[, delay]): delay is the first pulse minus the session's first frame time."""
-    from tracegrid.operators.ordered import joined, positions, windowed
-
     rows = windowed(positions(events.where(is_pulse), by, time, [], "__pos"), by, "__pos", {"__gap": lambda w: F.col(time) - F.lag(time).over(w)}, 1, 0)
     out = rows.groupBy(*by).agg(F.min(time).alias("first_pulse"), F.max("__gap").alias("max_gap"), F.count("*").alias("n_pulses"))
     if first_frame is not None:
