@@ -458,14 +458,14 @@ def test_substrings_with_colliding_hashes():
     value, check = np.array([5, 5, 5, 5], np.uint64), np.array([1, 1, 2, 2], np.uint32)
     known, ask = substrings.standing(value, check, np.array([3, 8, 4, 4]), np.ones(4, dtype=bool), both=False)
     assert known.tolist() == [False, True, False, False] and ask.tolist() == [True, False, True, True]
-    words = substrings.words_of(substrings._Words(), b" ".join(b"w%d" % k for k in range(40)))[1]
-    own, other = substrings.rolling(words[0], 13), substrings.second(words[1], 13)
+    found, words = substrings.words_of(substrings._Words(), b" ".join(b"w%d" % k for k in range(40)))
+    own, other = substrings.rolling(words, 13), substrings.second(substrings.hashed(substrings._Words(xxhash.xxh3_64_intdigest), found), 13)
     assert len(set(other.tolist())) == len(own) and other.dtype == np.uint32
     row = substrings.packed(np.array([4, 4, 9]), 7, own[:3], other[:3], np.array([True, False, True]))
     doc, value, check, block = substrings.opened(*row[1:], wide=True)
     assert doc.tolist() == [4, 4, 9] and (value == own[:3]).all() and (check == other[:3]).all() and block.tolist() == [True, False, True]
-    assert substrings.repeated_runs(words[0], own[2:5].tobytes()) == [(2, 17)]
-    assert substrings.repeated_runs(words[0], own[[0, 20]].tobytes()) == [(0, 13), (20, 33)]
+    assert substrings.repeated_runs(words, own[2:5].tobytes()) == [(2, 17)]
+    assert substrings.repeated_runs(words, own[[0, 20]].tobytes()) == [(0, 13), (20, 33)]
 
 
 def test_substrings_buckets_grow_with_the_text_not_in_size(spark, docs):

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 WINDOW, BLOCK = 13, 7
 #: Bytes of text that a bucket's hashes come from on average; slices in which it is settled; the most buckets there can be.
-BUCKET_BYTES, SLICES, MOST_BUCKETS = 64 << 20, 8, (1 << 18) - 1
+BUCKET_BYTES, SLICES, MOST_BUCKETS = 32 << 20, 8, (1 << 18) - 1
 #: Documents that a task looks at together, and distinct words whose hashes it keeps.
 TOGETHER, MEMO = 4096, 1_000_000
 #: Bytes of text after which a group of documents ends even with fewer of them.
@@ -43,10 +43,13 @@ _ODD, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class _Words(dict):
-    """word -> its XXH3 of 128 bits, the two halves as numbers."""
+    """word -> its hash of 64 bits."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        self[word] = value = divmod(xxhash.xxh3_128_intdigest(word, 9), 1 << 64)
+    def __init__(self, digest=xxhash.xxh64_intdigest):
+        self.digest = digest
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = value = self.digest(word, 9)
         return value
 
 
@@ -198,6 +201,7 @@ def answers(rows: DataFrame, buckets: int, wide: bool, both: bool) -> DataFrame:
 
     def settle(parts):
         """A slice of the bucket's hashes at a time, so that what is sorted is small beside the bucket."""
+        docs, values = [], []
         for k in range(SLICES):
             some = []
             for part in parts:
@@ -209,8 +213,10 @@ def answers(rows: DataFrame, buckets: int, wide: bool, both: bool) -> DataFrame:
             order = np.lexsort((doc, check, value)) if wide else np.argsort(value.astype(np.uint64) << np.uint64(32) | np.unique(doc, return_inverse=True)[1].astype(np.uint64))
             doc, value, check, block = doc[order], value[order], picked(check, order), block[order]
             known, _ = standing(value, check, doc, block, both)
-            if known.any():
-                yield from tell(doc[known], value[known])
+            docs.append(doc[known])
+            values.append(value[known])
+        if any(map(len, docs)):
+            yield from tell(np.concatenate(docs), np.concatenate(values))
 
     def run(batches):
         for bucket, parts in runs(batches):
@@ -250,11 +256,14 @@ def runs(batches):
 
 
 def words_of(memo: _Words, text: bytes | None) -> tuple[list[bytes], np.ndarray]:
-    """(words, their two hashes as rows)."""
+    found = (text or b"").split()
+    return found, hashed(memo, found)
+
+
+def hashed(memo: _Words, words: list[bytes]) -> np.ndarray:
     if len(memo) > MEMO:
         memo.clear()
-    found = (text or b"").split()
-    return found, np.array([memo[w] for w in found], dtype=np.uint64).reshape(-1, 2).T
+    return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def anchors(docs: DataFrame, key: str, text: str, buckets: int, block: int = BLOCK) -> DataFrame:
@@ -267,7 +276,7 @@ def anchors(docs: DataFrame, key: str, text: str, buckets: int, block: int = BLO
             own, rank = np.unique(np.array(ids, dtype=np.int64), return_inverse=True)
             keys = []
             for k, t in zip(rank.tolist(), texts, strict=True):
-                value = rolling(words_of(memo, t)[1][0], block)
+                value = rolling(words_of(memo, t)[1], block)
                 to = mix(value ^ _ODD) % np.uint64(buckets)
                 keys.append(((to << hash_ | value & np.uint64(0xFFFFFFFF)) << who | np.uint64(k)) << flag | (np.arange(len(value)) % block == 0))
             # bucket, hash, document, is a block: one number each; of a hash that a document has twice the block stays
@@ -284,17 +293,17 @@ def repeats(docs: DataFrame, found: DataFrame, key: str, text: str, buckets: int
     """(of, hashes): for documents with words to go, the hashes of the windows that repeat an earlier document's."""
 
     def run(batches):
-        memo = _Words()
+        memo, other = _Words(), _Words(xxhash.xxh3_64_intdigest)
         for ids, texts, hashes in groups(batches):
             docs_, values, checks = [], [], []
             for k, t, h in zip(ids, texts, hashes, strict=True):
-                words, others = words_of(memo, t)[1]
+                found, words = words_of(memo, t)
                 marks = np.isin((rolling(words, block) & np.uint64(0xFFFFFFFF)).astype("<u4"), np.frombuffer(h, "<u4"))
                 windows, seen = rolling(words, window), np.append(0, np.cumsum(marks))
                 some = seen[window - block + 1 :][: len(windows)] > seen[: len(windows)]  # windows that hold an anchor
                 docs_.append(np.full(int(some.sum()), k, dtype=np.int64))
                 values.append(windows[some])
-                checks.append(second(others, window)[some])
+                checks.append(second(hashed(other, found), window)[some] if some.any() else np.empty(0, dtype=np.uint32))
             doc, value, check = (np.concatenate(x) for x in (docs_, values, checks))
             order = np.lexsort((doc, check, value))
             doc, value, check = doc[order], value[order], check[order]
@@ -304,8 +313,8 @@ def repeats(docs: DataFrame, found: DataFrame, key: str, text: str, buckets: int
             known, ask = standing(value, check, doc, every, both=False)
             yield from asking(doc, value, check, every, known, ask, (mix(value ^ _ODD) % np.uint64(buckets)).astype(np.int64))
 
-    joined = docs.join(found, F.col(key) == F.col("of")).select(key, text, "hashes")
-    return answers(joined.mapInArrow(run, QUESTIONS), buckets, wide=True, both=False)
+    met = docs.join(found, F.col(key) == F.col("of")).select(key, text, "hashes")
+    return answers(met.mapInArrow(run, QUESTIONS), buckets, wide=True, both=False)
 
 
 def repeated_runs(words: np.ndarray, hashes: bytes, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -337,7 +346,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                 gone = []
                 if h:
                     words, values = words_of(memo, t)
-                    gone = repeated_runs(values[0], h, window)
+                    gone = repeated_runs(values, h, window)
                     edges = [0, *(x for run in gone for x in run), len(words)]
                     kept = [w for a, b in zip(edges[::2], edges[1::2], strict=True) for w in words[a:b]]
                 else:
