@@ -137,6 +137,32 @@ def test_toxicity_held_out_accuracy(spark):
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
 
 
+def test_toxicity_query_against_plain_recursion(spark, docs):
+    """Every score of the query from the learned field's parameters, by scaled forward and backward products, text by text."""
+    from math import exp, log
+
+    field = toxicity.learn(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    found = {r["doc_id"]: r for r in toxicity.query(spark, SF).collect()}
+    step = np.exp(field.trans)
+    texts = texts_of(docs)
+    assert set(found) == set(texts)
+    for k, text in texts.items():
+        tokens = toxicity._WORD.findall(text)
+        emit = np.array([[1.0, exp(o)] if o < 0 else [exp(-o), 1.0] for o in field.odds(tokens)]).reshape(-1, 2)
+        ahead, behind = np.ones((len(emit), 2)), np.ones((len(emit), 2))
+        for t in range(len(emit)):
+            row = emit[t] * (ahead[t - 1] @ step if t else 1.0)
+            ahead[t] = row / row.sum()
+        for t in range(len(emit) - 2, -1, -1):
+            row = step @ (emit[t + 1] * behind[t + 1])
+            behind[t] = row / row.sum()
+        both = ahead * behind
+        logits = np.array([log(max(b, 1e-300)) - log(max(a, 1e-300)) for a, b in both])
+        want = field.score(logits)
+        assert found[k]["score"] == pytest.approx(want, abs=1e-6)
+        assert found[k]["predicted"] == int(found[k]["score"] >= 0.5) and found[k]["held_out"] == (zlib.crc32(str(k).encode()) % 5 == 0)
+
+
 def test_forward_backward_against_enumeration():
     from itertools import product
 
