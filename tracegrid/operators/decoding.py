@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tracegrid.operators.linalg import Moments, mapped, moments
 from tracegrid.operators.ordered import joined
+from tracegrid.operators.settle import settled
 from tracegrid.operators.stats import auc
 
 
@@ -112,6 +113,7 @@ def logistic(df: DataFrame, x: str, y: str, c: float = 1.0, steps: int = 12) ->
         return np.empty(0)
     d = row[0]
     beta = np.zeros(d + 1)
+    rows = settled(df.na.drop(subset=[y]).select(F.concat(F.col(x).cast("array<double>"), F.array(F.col(y).cast("double"))).alias("__xy"), F.lit(0).cast("bigint").alias("__k")))
     for _ in range(steps):
         now = beta
 
@@ -121,7 +123,6 @@ def logistic(df: DataFrame, x: str, y: str, c: float = 1.0, steps: int = 12) ->
             w = np.maximum(p * (1 - p), 1e-9)
             return {"w": w, "zv": np.hstack([v[:, :-1], (z + (v[:, -1] - p) / w)[:, None]])}
 
-        rows = df.na.drop(subset=[y]).withColumn("__xy", F.concat(F.col(x).cast("array<double>"), F.array(F.col(y).cast("double")))).withColumn("__k", F.lit(0).cast("bigint"))
         s = moments(mapped(rows, "__xy", {"w": "double", "zv": "array<double>"}, weigh, ["__k"]), "zv", weight="w")[None].raw
         keep = [*range(d), d + 1]
         penalty = np.diag([1 / c] * d + [0.0])

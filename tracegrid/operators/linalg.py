@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracegrid.operators.settle import settled
+
 
 def matrix(column) -> np.ndarray:
     """Rows of an Arrow list column as a matrix; vectors of different lengths are an error, a NULL place is NaN."""
@@ -257,11 +259,12 @@ def partial_least_squares(sums: Moments, nx: int, k: int) -> np.ndarray:
     return np.array(weights).T @ np.array(targets) if weights else np.zeros((nx, s.shape[0] - nx))
 
 
-def factorised(df: DataFrame, vector: str, k: int, rounds: int = 30, inner: int = 20, clamp: np.ndarray | None = None, ridge: float = 0.0, seed: int = 0) -> tuple[np.ndarray, list[float]]:
+def factorised(df: DataFrame, vector: str, k: int, rounds: int = 30, inner: int = 20, clamp: np.ndarray | None = None, ridge: float = 0.0, seed: int = 0, tol: float = 0.0) -> tuple[np.ndarray, list[float]]:
     """Non-negative factors H (k x d), and the squared error after each round. Negative values count as zero.
 
     A row's weights depend on H and the row alone, so they are solved where the row lies, by multiplicative steps from
-    a fixed start; one pass adds up what H's update needs. ``clamp``: leading rows of H that stay as they are.
+    a fixed start; one pass adds up what H's update needs. ``clamp``: leading rows of H that stay as they are. tol: rounds
+    end when the error falls by less than this share of the first.
     """
     shape = moments(df.withColumn("__p", F.transform(vector, lambda x: F.greatest(x.cast("double"), F.lit(0.0)))), "__p")[None]
     rng = np.random.default_rng(seed)
@@ -269,7 +272,8 @@ def factorised(df: DataFrame, vector: str, k: int, rounds: int = 30, inner: int
     fixed = 0 if clamp is None else len(clamp)
     if fixed:
         h[:fixed] = clamp
-    errors = []
+    errors: list[float] = []
+    rows = settled(df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v")))
     for _ in range(rounds):
         now = h
 
@@ -283,7 +287,7 @@ def factorised(df: DataFrame, vector: str, k: int, rounds: int = 30, inner: int
             if not np.isscalar(ww):
                 yield pa.RecordBatch.from_arrays([pa.array(list(range(len(now))), pa.int64()), pa.array(np.hstack([ww, wx]).tolist(), pa.list_(pa.float64())), pa.array([err] + [0.0] * (len(now) - 1))], ["i", "row", "err"])
 
-        parts = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v")).mapInArrow(part, "i bigint, row array<double>, err double")
+        parts = rows.mapInArrow(part, "i bigint, row array<double>, err double")
         cells = parts.select("i", "err", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"), F.sum("err").alias("err")).collect()  # k (k + d) numbers
         full = np.zeros((k, k + h.shape[1]))
         for r in cells:
@@ -291,6 +295,8 @@ def factorised(df: DataFrame, vector: str, k: int, rounds: int = 30, inner: int
         errors.append(max((r["err"] for r in cells), default=0.0))
         step = full[:, k:] / np.maximum(full[:, :k] @ h, 1e-12)
         h = np.where(np.arange(k)[:, None] < fixed, h, h * step)
+        if tol and len(errors) > 1 and errors[-2] - errors[-1] < tol * errors[0]:
+            break
     return h, errors
 
 
