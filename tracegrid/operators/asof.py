@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracegrid.operators.ordered import carried, joined
+from tracegrid.operators.ordered import carried_all, joined
 
 
 def looked_up(spine: DataFrame, samples: DataFrame, by: list[str], at: str, time: str, values: list[str], sides: dict[str, str], width: float | None = None) -> DataFrame:
@@ -23,9 +23,8 @@ def looked_up(spine: DataFrame, samples: DataFrame, by: list[str], at: str, time
     both = spine.select(*by, F.col(at).cast("double").alias("__t"), F.lit(1).alias("__kind"), row.alias("__row")).unionByName(
         times.select(*by, F.col(time).cast("double").alias("__t"), F.lit(0).alias("__kind"), sample.alias("__sample")), allowMissingColumns=True
     )
-    for name, side in sides.items():
-        order = [-F.col("__kind")] if side == "next" else [F.col("__kind")]
-        both = carried(both, by, "__t", order, "__sample", f"__{name}", forward=side != "prev", width=width)
+    order = lambda side: [-F.col("__kind")] if side == "next" else [F.col("__kind")]
+    both = carried_all(both, by, "__t", {f"__{name}": ("__sample", order(side), side != "prev") for name, side in sides.items()}, width)
     known = lambda s: F.when(F.col("__t").isNotNull() & ~F.isnan("__t"), F.col(s))
     return both.where("__kind = 1").select("__row.*", *[known(f"__{name}").alias(name) for name in sides])
 

@@ -59,20 +59,24 @@ def ranked(df: DataFrame, value: str, order: list, out: str, parts: int = 64) ->
 
 def carried(rows: DataFrame, by: list[str], time: str, order: list[Column], value: str, out: str, *, forward: bool = False, width: float | None = None) -> DataFrame:
     """Add ``out``: the last value that is not NULL at or before each row; with ``forward`` the first at or after it."""
+    return carried_all(rows, by, time, {out: (value, order, forward)}, width)
+
+
+def carried_all(rows: DataFrame, by: list[str], time: str, wanted: dict[str, tuple[str, list[Column], bool]], width: float | None = None) -> DataFrame:
+    """``carried`` for several columns: out -> (value, order, forward). The rows are read twice, however many there are."""
     rows = bucketed(rows, time, width)
     # Forward looks back along the opposite order: a frame that grows costs one step a row, one that shrinks a whole pass.
-    turned = [c.desc() if forward else c for c in (F.col(time), *order)]
-    near = F.last(value, True).over(Window.partitionBy(*by, "__b").orderBy(*turned).rowsBetween(Window.unboundedPreceding, 0))
+    turned = lambda order, forward: [c.desc() if forward else c for c in (F.col(time), *order)]
+    near = {o: F.last(v, True).over(Window.partitionBy(*by, "__b").orderBy(*turned(order, forward)).rowsBetween(Window.unboundedPreceding, 0)) for o, (v, order, forward) in wanted.items()}
     if not width:
-        return rows.withColumn(out, near).drop("__b")
-    kept = rows.where(F.col(value).isNotNull())
-    rank = F.struct(F.col(time), *order)
-    heads = kept.groupBy(*by, "__b").agg((F.min_by if forward else F.max_by)(F.col(value), rank).alias("__head"))
-    buckets = joined(rows.select(*by, "__b").distinct(), heads, [*by, "__b"])
-    over = Window.partitionBy(*by).orderBy(F.col("__b").desc() if forward else "__b")
-    beyond = F.last("__head", True).over(over.rowsBetween(Window.unboundedPreceding, -1))
-    told = buckets.select(*by, "__b", beyond.alias("__beyond"))
-    return joined(rows.withColumn("__near", near), told, [*by, "__b"]).withColumn(out, F.coalesce("__near", "__beyond")).drop("__b", "__near", "__beyond")
+        return rows.withColumns(near).drop("__b")
+    # Of each bucket the value nearest to its border; rows without a value have no rank.
+    rank = lambda v, order: F.when(F.col(v).isNotNull(), F.struct(F.col(time), *order))
+    heads = rows.groupBy(*by, "__b").agg(*[(F.min_by if forward else F.max_by)(F.col(v), rank(v, order)).alias(f"__head_{o}") for o, (v, order, forward) in wanted.items()])
+    over = {forward: Window.partitionBy(*by).orderBy(F.col("__b").desc() if forward else "__b").rowsBetween(Window.unboundedPreceding, -1) for forward in (False, True)}
+    told = heads.select(*by, "__b", *[F.last(f"__head_{o}", True).over(over[forward]).alias(f"__beyond_{o}") for o, (_, _, forward) in wanted.items()])
+    rows = joined(rows.withColumns({f"__near_{o}": c for o, c in near.items()}), told, [*by, "__b"])
+    return rows.withColumns({o: F.coalesce(f"__near_{o}", f"__beyond_{o}") for o in wanted}).drop("__b", *[f"__{x}_{o}" for o in wanted for x in ("near", "beyond")])
 
 
 def windowed(df: DataFrame, by: list[str], pos: str, made: dict[str, Callable[[WindowSpec], Column]], before: int = 1, after: int = 1, chunk: int = CHUNK) -> DataFrame:
