@@ -136,11 +136,20 @@ def standing(value: np.ndarray, check: np.ndarray | None, doc: np.ndarray, block
     return known, ask
 
 
+def steps(ids: np.ndarray) -> bytes:
+    """Rising ids as steps from one to the next, whose upper bytes are mostly 0 and take no room in a shuffle."""
+    return np.diff(ids.astype("<i8"), prepend=0).tobytes()
+
+
+def of_steps(ids: bytes, counts: bytes) -> np.ndarray:
+    return np.repeat(np.cumsum(np.frombuffer(ids, "<i8")), np.frombuffer(counts, "<u4"))
+
+
 def packed(docs: np.ndarray, bucket: int, value: np.ndarray, check: np.ndarray | None, block: np.ndarray) -> tuple:
     """A question's row from rows in order of document. Hashes are 4 bytes, or 12 with their check."""
     at = begins(docs)
     hashes = value.astype("<u4").tobytes() if check is None else value.astype("<u8").tobytes() + check.astype("<u4").tobytes()
-    return bucket, docs[at].astype("<i8").tobytes(), np.diff(np.append(at, len(docs))).astype("<u4").tobytes(), hashes, np.packbits(block).tobytes()
+    return bucket, steps(docs[at]), np.diff(np.append(at, len(docs))).astype("<u4").tobytes(), hashes, np.packbits(block).tobytes()
 
 
 def hashes_of(hashes: bytes, wide: bool) -> tuple[np.ndarray, np.ndarray | None]:
@@ -176,7 +185,7 @@ def asking(doc: np.ndarray, value: np.ndarray, check: np.ndarray | None, block:
 
 def opened(docs: bytes, counts: bytes, hashes: bytes, flags: bytes, wide: bool):
     value, check = hashes_of(hashes, wide)
-    return np.repeat(np.frombuffer(docs, "<i8"), np.frombuffer(counts, "<u4")), value, check, np.unpackbits(np.frombuffer(flags, np.uint8), count=len(value)).astype(bool)
+    return of_steps(docs, counts), value, check, np.unpackbits(np.frombuffer(flags, np.uint8), count=len(value)).astype(bool)
 
 
 def answers(rows: DataFrame, buckets: int, wide: bool, both: bool) -> DataFrame:
@@ -195,7 +204,7 @@ def answers(rows: DataFrame, buckets: int, wide: bool, both: bool) -> DataFrame:
         rows = []
         for a, b in zip(at.tolist(), np.append(at[1:], len(doc)).tolist(), strict=True):
             own = a + begins(doc[a:b])
-            rows.append((int(shard[a]), doc[own].astype("<i8").tobytes(), np.diff(np.append(own, b)).astype("<u4").tobytes(), value[a:b].tobytes()))
+            rows.append((int(shard[a]), steps(doc[own]), np.diff(np.append(own, b)).astype("<u4").tobytes(), value[a:b].tobytes()))
         columns = list(zip(*rows, strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["shard", "docs", "counts", "hashes"])
 
@@ -228,7 +237,7 @@ def answers(rows: DataFrame, buckets: int, wide: bool, both: bool) -> DataFrame:
 
     def merge(batches):
         for _, parts in runs(batches):
-            doc, value = (np.concatenate(x) for x in zip(*((np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(n, "<u4")), np.frombuffer(h, kind)) for d, n, h in parts), strict=True))
+            doc, value = (np.concatenate(x) for x in zip(*((of_steps(d, n), np.frombuffer(h, kind)) for d, n, h in parts), strict=True))
             order = np.argsort(doc, kind="stable")
             doc, value = doc[order], value[order]
             at = begins(doc)
