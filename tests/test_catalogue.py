@@ -8,7 +8,7 @@ import pytest
 from tracegrid.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-TABLES = "customer supplier part orders lineitem events embeddings".split()
+TABLES = "nation customer supplier part orders lineitem events embeddings".split()
 
 
 @pytest.fixture(scope="module")

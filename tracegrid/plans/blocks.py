@@ -49,7 +49,7 @@ def clock(spark, sf_dir):
 
 
 @query(f"""WITH {VIEW}, z AS (SELECT *, 2 * atan2({SIZE}, greatest(dist, 1e-6)) AS q FROM w), m AS (SELECT event_id, sum(q * lat) / sum(q) AS lat, sum(q * vert) / sum(q) AS vert, sum(q * dist) / sum(q) AS dist FROM z GROUP BY 1),
-b AS (SELECT f.event_id, t, CASE WHEN dist IS NULL THEN 0.0 ELSE 1.0 END AS presence, coalesce(lat, 0) AS lat, coalesce(vert, 0) AS vert, coalesce(2 * atan2({SIZE}, dist), 0) AS ang FROM f LEFT JOIN m USING (event_id)),
+b AS (SELECT f.event_id, t, CASE WHEN dist IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS presence, coalesce(lat, 0) AS lat, coalesce(vert, 0) AS vert, coalesce(2 * atan2({SIZE}, dist), 0) AS ang FROM f LEFT JOIN m USING (event_id)),
 c AS (SELECT DISTINCT t AS tau FROM ev WHERE event_type = 'signup'), pr AS (SELECT c.tau, b.* FROM c ASOF LEFT JOIN b ON c.tau >= b.t), nx AS (SELECT c.tau, b.* FROM c ASOF LEFT JOIN b ON c.tau <= b.t),
 j AS (SELECT pr.tau, pr.t AS t0, nx.t AS t1, CASE WHEN pr.t IS NULL THEN nx.presence WHEN nx.t IS NULL OR pr.tau - pr.t <= nx.t - pr.tau THEN pr.presence ELSE nx.presence END AS presence,
 CASE WHEN pr.t IS NULL THEN nx.lat WHEN nx.t IS NULL OR nx.t = pr.t THEN pr.lat ELSE pr.lat + (nx.lat - pr.lat) * (pr.tau - pr.t) / (nx.t - pr.t) END AS lat, CASE WHEN pr.t IS NULL THEN nx.ang WHEN nx.t IS NULL OR nx.t = pr.t THEN pr.ang ELSE pr.ang + (nx.ang - pr.ang) * (pr.tau - pr.t) / (nx.t - pr.t) END AS ang FROM pr JOIN nx USING (tau))
@@ -125,8 +125,8 @@ def q131_vertices(spark, sf_dir):
     return drivers.vertices_in_view(objects, shapes, 0.0, math.pi / 2, 1.4).select("obj_id", F.col("vertex").cast("bigint").alias("vertex"), r6("u", "u"), r6("v", "v"))
 
 
-@query("""SELECT event_id, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS corner, CAST(user_id AS DOUBLE) + CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS x, round(user_id + 0.5, 6) AS centre_x FROM events WHERE event_type = 'click'
-UNION ALL SELECT event_id, 1, user_id + 1.0, round(user_id + 0.5, 6) FROM events WHERE event_type = 'click'""")
+@query("""SELECT event_id, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS corner, CAST(user_id AS DOUBLE) + CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS x, round(user_id + 0.5::DOUBLE, 6) AS centre_x FROM events WHERE event_type = 'click'
+UNION ALL SELECT event_id, 1, user_id + 1.0::DOUBLE, round(user_id + 0.5::DOUBLE, 6) FROM events WHERE event_type = 'click'""")
 def q132_corners(spark, sf_dir):
     """Corner lists in JSON, and the middle of each; other texts have none."""
     u = F.col("user_id").cast("string")

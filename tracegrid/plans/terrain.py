@@ -12,7 +12,7 @@ from tracegrid.plans.registry import EV, events, query, r6, table
 GROUND = scene.Monitor(0.0, math.pi / 2, 1.4, 1.2, 12.0)
 W, H, BRIGHT = 41, 31, 200
 
-CELLS = "g AS (SELECT (p_size - 1) * 2.0 AS cx, CAST(p_partkey % 40 AS DOUBLE) * 2 AS cz, max(p_retailprice) / 200 - 8 AS h FROM part GROUP BY 1, 2)"
+CELLS = "g AS (SELECT (p_size - 1) * 2.0::DOUBLE AS cx, CAST(p_partkey % 40 AS DOUBLE) * 2 AS cz, max(p_retailprice) / 200 - 8 AS h FROM part GROUP BY 1, 2)"
 SEEN = f"""{EV}, f AS (SELECT event_id, value AS x, 0.5 AS y, hour(ts) * 3.0 AS z, (event_id % 63) / 10.0 AS phi FROM ev WHERE event_type = 'purchase'), {CELLS},
 p AS (SELECT *, sqrt((cx - x) ** 2 + (h - y) ** 2 + (cz - z) ** 2) AS dist, phi - atan2(cx - x, cz - z) AS a, {GROUND.theta} - atan2(sqrt((cx - x) ** 2 + (cz - z) ** 2), h - y) AS vert FROM f JOIN g ON abs(cx - x) < 12 AND abs(cz - z) < 12),
 w AS (SELECT *, atan2(sin(a), cos(a)) AS lat FROM p WHERE dist < 12 AND dist > 1e-6), v AS (SELECT * FROM w WHERE abs(lat) < 0.7 AND abs(vert) < 0.6)"""
