@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegrid.operators.linalg import Moments, mapped, moments
+from tracegrid.operators.neighbours import nearest_allowed
 from tracegrid.operators.ordered import joined
 from tracegrid.operators.settle import settled
 from tracegrid.operators.stats import auc
@@ -135,40 +136,15 @@ def logistic(df: DataFrame, x: str, y: str, c: float = 1.0, steps: int = 12) ->
 def knn_oof(df: DataFrame, x: str, y: str, pos: str, n: int, folds: int = 5, embargo: int = 0, k: int = 15, block: int = 1024) -> DataFrame:
     """(pos, pred): mean of the k nearest training rows' targets, weighted by one over distance; rows at distance 0 take all.
 
-    Rows stand in blocks. Each block of questions goes to every block of training rows, each such pair gives up the k
-    nearest it has for every question, and these few are put in order; of equal distances the lower position counts.
+    Of equal distances the lower position counts. Rows with a NULL target or vector, or a component that is NULL or not
+    finite, take no part; a row without any training row has no prediction.
     """
-    import pyarrow as pa
-
     edges = fold_edges(n, folds)
-    rows = df.na.drop(subset=[y]).select(F.col(pos).cast("bigint").alias("p"), F.col(x).cast("array<double>").alias("v"), F.col(y).cast("double").alias("y")).withColumn("b", F.floor(F.col("p") / block))
-    packed = rows.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("p", "y", "v"))).alias("rows"))  # at most ``block`` rows each
-    blocks = max(1, math.ceil(n / block))
-    asked = packed.select(F.col("b").alias("__q"), F.col("rows").alias("asks"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("b"))
-    met = asked.join(packed, "b").select("asks", "rows")
-    low, high = (np.array(e) for e in (edges[:-1], edges[1:]))
-
-    def nearest(batches):
-        for batch in batches:
-            for asks, known in zip(batch.column(0), batch.column(1), strict=True):
-                a, t = asks.values, known.values
-                ap, tp = (s.field("p").to_numpy() for s in (a, t))
-                av, tv = (np.array(s.field("v").to_pylist()) for s in (a, t))
-                dist = np.sqrt(np.maximum((av**2).sum(1)[:, None] + (tv**2).sum(1)[None, :] - 2 * av @ tv.T, 0))
-                exact = dist < 1e-6 * (1 + np.sqrt((av**2).sum(1)))[:, None]
-                i, j = np.nonzero(exact)
-                dist[i, j] = np.sqrt(((av[i] - tv[j]) ** 2).sum(1))
-                fold = np.searchsorted(high, ap, side="right")
-                barred = (tp[None, :] >= (low[fold] - embargo)[:, None]) & (tp[None, :] < (high[fold] + embargo)[:, None])
-                dist[barred] = np.inf
-                order = np.argsort(dist, axis=1, kind="stable")[:, :k]
-                d = np.take_along_axis(dist, order, axis=1)
-                i, j = np.nonzero(np.isfinite(d))
-                at = order[i, j]
-                yield pa.RecordBatch.from_arrays([pa.array(ap[i]), pa.array(tp[at]), pa.array(t.field("y").to_numpy()[at]), pa.array(d[i, j])], ["p", "t", "y", "d"])
-
-    found = met.mapInArrow(nearest, "p bigint, t bigint, y double, d double")
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("d", "t"))).where(F.col("r") <= k)
+    inner = F.lit(0)
+    for e in edges[1:-1]:
+        inner = inner + (F.col("p") >= F.lit(e)).cast("int")
+    rows = df.select(F.col(pos).cast("bigint").alias("p"), F.col(x).cast("array<double>").alias("v"), F.col(y).cast("double").alias("y")).withColumn("f", inner)
+    best = nearest_allowed(rows, [(a - embargo, b + embargo) for a, b in zip(edges, edges[1:], strict=False)], k, n, block)
     exact = F.max((F.col("d") == 0).cast("int")) == 1
     mean = F.when(exact, F.avg(F.when(F.col("d") == 0, F.col("y")))).otherwise(F.sum(F.try_divide(F.col("y"), F.col("d"))) / F.sum(F.try_divide(F.lit(1.0), F.col("d"))))
     return best.groupBy(F.col("p").alias(pos)).agg(mean.alias("pred"))
