@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracegrid.plans import blocks, features, models, rows, scenes, sessions, statistics, sweeps, terrain  # noqa: F401  they register their queries
+from tracegrid.plans import blocks, features, models, planes, rows, scenes, sessions, statistics, sweeps, terrain  # noqa: F401  they register their queries
 from tracegrid.plans.registry import QUERIES, SQL
 
 
