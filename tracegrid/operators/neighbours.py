@@ -1,6 +1,6 @@
 """Exact nearest rows by cells about pivots.
 
-Rows belong to the nearest of about sqrt(n) pivots. Two bounds of the triangle inequality, the distance to a cell's ring and
+Rows belong to the nearest of about sqrt(n) pivots, or so few that a cell fills a block. Two bounds of the triangle inequality, the distance to a cell's ring and
 to the plane between two pivots, tell which cells can hold one of a question's k nearest. A question first visits the cells
 nearest to it that hold k rows it may use; the k-th distance found there decides which others it still has to visit, so
 no cell is left out that could matter, and few are visited where rows are spread along few dimensions.
@@ -166,7 +166,7 @@ def nearest_allowed(rows: DataFrame, barred: list[tuple[int, int]], k: int, n: i
     """
     fine = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
     rows = settled(rows.where(F.col("p").isNotNull() & F.col("f").isNotNull() & F.col("y").isNotNull() & F.coalesce(fine, F.lit(False)) & (F.size("v") > 0)))
-    wanted = int(min(PIVOTS, max(1, min(math.ceil(math.sqrt(n)), n // 256))))
+    wanted = int(min(PIVOTS, max(1, min(math.ceil(math.sqrt(n)), n // block))))
     pivots = np.unique(np.array([r.v for r in rows.orderBy(F.xxhash64("p"), "p").select("v").limit(wanted).collect()], dtype=float), axis=0)
     if not len(pivots):
         return rows.select("p", F.col("p").alias("t"), "y", F.lit(0.0).alias("d"))
