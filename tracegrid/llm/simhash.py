@@ -64,24 +64,18 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int(majority(hashes.view(np.uint8).reshape(-1, 8))[0]) if len(hashes) else 0
 
 
-def wide_fingerprint(text: bytes, words: int = 5) -> tuple[int, int]:
-    """SimHash of 128 bits, by XXH3."""
-    found = b"".join(map(xxhash.xxh3_128_digest, shingles(text, words)))
-    return tuple(majority(np.frombuffer(found, np.uint8).reshape(-1, 16)).tolist()) if found else (0, 0)
-
-
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, gated: bool = False) -> DataFrame:
-    """(key, fp, g1, g2 bigint) for every row; g1 and g2 are the wide fingerprint if ``gated``, else 0."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """(key, fp bigint) for every row."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
-                prints = np.array([[fingerprint(t, words), *(wide_fingerprint(t) if gated else (0, 0))] for t in texts], dtype=np.uint64).view(np.int64).reshape(-1, 3)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(prints[:, k]) for k in range(3))], [key, "fp", "g1", "g2"])
+                prints = np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints)], [key, "fp"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} bigint, fp bigint, g1 bigint, g2 bigint")
+    return docs.select(key, text).mapInArrow(run, f"{key} bigint, fp bigint")
 
 
 def planes(values: np.ndarray) -> np.ndarray:
@@ -179,10 +173,10 @@ def _links(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int):
             yield left[i], right[j]
 
 
-def linked(classes: DataFrame, radius: int = RADIUS, gate: int | None = None, blocks: int = BLOCKS, part: int = PART) -> DataFrame:
-    """Links (a, b) among the nodes of classes (node, fp, g1, g2): not all of them, but enough to connect what is linked.
+def linked(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, part: int = PART) -> DataFrame:
+    """Links (a, b) among the nodes of classes (node, fp): not all of them, but enough to connect what is linked.
 
-    Nodes link if their ``fp`` differ in at most ``radius`` bits and, with a gate, their wide fingerprints in at most that many.
+    Nodes link if their ``fp`` differ in at most ``radius`` bits.
     """
     if radius > blocks - 2:
         raise ValueError("a link must leave two blocks alike")
@@ -190,13 +184,13 @@ def linked(classes: DataFrame, radius: int = RADIUS, gate: int | None = None, bl
     field = lambda k: F.expr(f"(shiftrightunsigned(fp, {edges[k]}) & {(1 << edges[k + 1] - edges[k]) - 1})")
     width = max(b - a for a, b in zip(edges, edges[1:], strict=False))
     keys = [F.lit(n << 2 * width) + F.shiftleft(field(i), width) + field(j) for n, (i, j) in enumerate(combinations(range(blocks), 2))]
-    banded = classes.select("node", "fp", "g1", "g2", F.explode(F.array(*keys)).alias("bucket"))
+    banded = classes.select("node", "fp", F.explode(F.array(*keys)).alias("bucket"))
     sizes = settled(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     parts = F.ceil(F.col("n") / part).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
     met = banded.join(sizes, "bucket").withColumns({"parts": parts, "own": own}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "node", "fp", "g1", "g2")
-    met = met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").select("bucket", "i", "j", "side", "node", "fp", "g1", "g2")
+    met = met.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "node", "fp")
+    met = met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").select("bucket", "i", "j", "side", "node", "fp")
 
     def run(batches):
         held = None
@@ -213,12 +207,9 @@ def linked(classes: DataFrame, radius: int = RADIUS, gate: int | None = None, bl
 
     def compare(cols):
         group = np.cumsum(np.append(0, np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)))
-        side, node, fp, g1, g2 = cols[3:]
+        side, node, fp = cols[3:]
         found = []
         for i, j in _links(group, side, fp.view(np.uint64), radius):
-            if gate is not None:
-                near = np.bitwise_count(g1[i] ^ g1[j]) + np.bitwise_count(g2[i] ^ g2[j]) <= gate
-                i, j = i[near], j[near]
             if len(i):
                 found.append(forest(node[i], node[j]))
         if found:
@@ -228,18 +219,15 @@ def linked(classes: DataFrame, radius: int = RADIUS, gate: int | None = None, bl
     return met.mapInArrow(run, "a bigint, b bigint")
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS, gate: int | None = None) -> DataFrame:
-    """(key, fp, component_id): the least key whose fingerprint is reachable by links, for every row."""
-    prints = settled(fingerprints(docs, key, text, words, gate is not None))
-    same = ["fp", "g1", "g2"]
-    # A class is named by its fingerprint where that is all there is to it, else by a hash of the three.
-    node = F.col("fp") if gate is None else F.xxhash64(*same)
-    classes = settled(prints.groupBy(*same).agg(F.min(key).alias("least")).withColumn("node", node))
-    of = components(linked(classes, radius, gate)).select("node", F.col("component").alias("root"))
-    roots = classes.join(of, "node", "left").select(*same, "least", F.coalesce("root", "node").alias("root"))
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """(key, fp, component_id): the least key whose fingerprint is reachable by links, for every row. A class is named by its fingerprint."""
+    prints = settled(fingerprints(docs, key, text, words))
+    classes = settled(prints.groupBy("fp").agg(F.min(key).alias("least")).withColumn("node", F.col("fp")))
+    of = components(linked(classes, radius)).select("node", F.col("component").alias("root"))
+    roots = classes.join(of, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
     named = settled(roots.groupBy("root").agg(F.min("least").alias("component_id")))
-    of_class = settled(roots.join(named, "root").select(*same, "component_id"))
-    return prints.join(of_class, same).select(key, "fp", "component_id")
+    of_class = settled(roots.join(named, "root").select("fp", "component_id"))
+    return prints.join(of_class, "fp").select(key, "fp", "component_id")
 
 
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
