@@ -135,3 +135,10 @@ def test_sessions_from_files(spark, tmp_path):
     p = sessions.parameters(spark, str(tmp_path)).first()
     assert (p["zone"], p["zonal"], p["lick_reward"]) == (12.0, 1.0, 0.0)
     assert sessions.files(spark, str(tmp_path), [".csv", ".json"], ["2024", "params"]).count() == 1
+
+
+@pytest.mark.parametrize("made", [lambda df: stats.quantiles(df, ["g"], "v", [0.25, 0.75]), lambda df: stats.average_ranks(df, ["g"], "v", "r")])
+def test_cuts_are_taken_once(spark, made):
+    """Approximate cuts follow the order in which parts arrive, so a plan that takes them twice may deal a value to two buckets."""
+    df = spark.range(2000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+    assert "percentile_approx" not in made(df)._jdf.queryExecution().optimizedPlan().toString()

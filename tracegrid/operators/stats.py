@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracegrid.functions.columns import ratio
 from tracegrid.operators.ordered import joined
+from tracegrid.operators.settle import settled
 
 
 def zscored(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
@@ -52,6 +53,13 @@ def bucket_of(marks: DataFrame, rows: DataFrame, by: list[str], value: str, out:
     return met.withColumn(out, F.col("__c") * 16 + F.size(F.filter(near, lambda c: c < F.col(value)))).drop("__cuts", "__coarse", "__c")
 
 
+def cut_marks(counts: DataFrame, by: list[str], value: str, cuts: int, *more: Column) -> DataFrame:
+    """(by, __cuts, more): a group's approximate cuts, rising. They are settled, as they depend on the order in which parts
+    of a group arrive: taken twice, two readers of one plan would deal the same value to different buckets."""
+    at = F.percentile_approx(value, [k / cuts for k in range(1, cuts)], 10 * cuts)
+    return settled(counts.groupBy(*by).agg(F.array_sort(at).alias("__cuts"), *more))
+
+
 def quantiles(df: DataFrame, by: list[str], value: str, at: list[float], cuts: int = 256) -> DataFrame:
     """(by, p, q): exact quantiles, interpolated, of groups of any size.
 
@@ -59,7 +67,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, at: list[float], cuts: i
     which of them hold the wanted ranks; only within those are values put in order.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
-    marks = counts.groupBy(*by).agg(F.percentile_approx("__v", [k / cuts for k in range(1, cuts)], 10 * cuts).alias("__cuts"), F.sum("__n").alias("__total"))
+    marks = cut_marks(counts, by, "__v", cuts, F.sum("__n").alias("__total"))
     bucketed = bucket_of(marks, counts, by, "__v", "__b", cuts)
     sizes = bucketed.groupBy(*by, "__b", "__total").agg(F.sum("__n").alias("__size"))
     sizes = sizes.withColumn("__before", F.sum("__size").over(Window.partitionBy(*by).orderBy("__b")) - F.col("__size"))
@@ -107,8 +115,7 @@ def average_ranks(df: DataFrame, by: list[str], value: str, out: str, cuts: int
     a bucket, and only the buckets' sizes over the group.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
-    marks = counts.groupBy(*by).agg(F.percentile_approx("__v", [k / cuts for k in range(1, cuts)], 10 * cuts).alias("__cuts"))
-    rows = bucket_of(marks, counts, by, "__v", "__b", cuts)
+    rows = bucket_of(cut_marks(counts, by, "__v", cuts), counts, by, "__v", "__b", cuts)
     sizes = rows.groupBy(*by, "__b").agg(F.sum("__n").alias("__size"))
     sizes = sizes.select(*by, "__b", (F.sum("__size").over(Window.partitionBy(*by).orderBy("__b")) - F.col("__size")).alias("__before"))
     upto = F.sum("__n").over(Window.partitionBy(*by, "__b").orderBy("__v"))
