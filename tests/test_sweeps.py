@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracegrid.operators import decoding, sweeps
 from tracegrid.operators.decoding import fold_edges
@@ -169,3 +170,22 @@ def test_training_rows_by_moments(frame):
     old = decoding.training(frame, "v", "pos", edges, 6)
     new = sweeps.fold_moments(frame, "v", "pos", edges, [6])[1]
     assert all(np.allclose(old[f].scatter, new[6, f].scatter) and old[f].n == new[6, f].n for f in old)
+
+
+@pytest.mark.parametrize("block", [1 << 20, 16])
+def test_resampled_means_are_the_hashed_draws(spark, block):
+    """Groups of one block and of several, a NULL key and NULL values, against the draws written out as rows; no drawn trial is shuffled."""
+    rows = spark.createDataFrame([(u, k, None if k % 11 == 3 else float((k * 37) % 101)) for u, n in ((1, 50), (None, 7), (2, 1)) for k in range(n)], "u bigint, k bigint, x double")
+    n = rows.groupBy("u").agg(F.count("*").alias("n"))
+    asked = n.selectExpr("u", "n", "explode(sequence(0, 29)) as draw").selectExpr("u", "draw", "n", "explode(sequence(0L, n - 1)) as i").selectExpr("u", "draw", "pmod(xxhash64(5, u, draw, i), n) as k")
+    want = asked.alias("a").join(rows.alias("r"), F.expr("a.u <=> r.u and a.k = r.k")).groupBy("a.u", "draw").agg(F.avg("x").alias("m")).collect()
+    made = decoding.resampled_means(rows, ["u"], "k", "x", 30, 5, block)
+    got = {(r["u"], r["draw"]): r["mean"] for r in made.collect()}
+    assert len(got) == len(want) == 90
+    for r in want:
+        assert got[r["u"], r["draw"]] == (None if r["m"] is None else pytest.approx(r["m"], abs=1e-12))
+
+
+def test_many_draws_shuffle_no_trials(spark):
+    plan = decoding.resampled_means(spark.range(10).selectExpr("id % 2 as u", "id div 2 as k", "double(id) as x"), ["u"], "k", "x", 2000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and plan.count("Generate explode") == 1

@@ -12,6 +12,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from tracegrid.operators.linalg import Moments, mapped, moments
 from tracegrid.operators.neighbours import nearest_allowed
@@ -181,9 +182,58 @@ def chunk_order(n: int, size: int, seed: int = 0) -> dict[int, int]:
     return {int(c): k for k, c in enumerate(order)}
 
 
-def resampled_means(df: DataFrame, by: list[str], trial: str, value: str, draws: int, seed: int = 0) -> DataFrame:
-    """(by, draw, mean): means of as many trials as there are, drawn with replacement by hash. Trials are dense from 0 within ``by``."""
-    n = df.groupBy(*by).agg(F.count("*").alias("__n"))
-    asked = n.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("__k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1)))
-    asked = asked.withColumn(trial, F.pmod(F.xxhash64(F.lit(seed), *by, "draw", "__k"), F.col("__n")))
-    return joined(asked.select(*by, "draw", trial), df.select(*by, F.col(trial).cast("bigint").alias(trial), value), [*by, trial], "inner").groupBy(*by, "draw").agg(F.avg(value).alias("mean"))
+def resampled_means(df: DataFrame, by: list[str], trial: str, value: str, draws: int, seed: int = 0, block: int = 1 << 20) -> DataFrame:
+    """(by, draw, mean): means of as many trials as there are, drawn with replacement by hash. Trials are dense from 0 within ``by``.
+
+    The k-th trial of a draw is xxhash64(seed, by, draw, k) modulo their number. A group's values stand in arrays of at most
+    ``block``; draws are hashed beside them and give up only sums and counts, so that no drawn trial is ever a row.
+    """
+    import pyarrow as pa
+
+    rows = df.select(*by, F.col(trial).cast("bigint").alias("__t"), F.col(value).cast("double").alias("__v"))
+    n = rows.groupBy(*by).agg(F.count("*").alias("__n"))
+    packs = rows.where("__t is not null").groupBy(*by, F.floor(F.col("__t") / block).alias("__b")).agg(F.collect_list(F.struct("__t", "__v")).alias("__rows"))
+    step = F.greatest(F.lit(1), F.least(F.lit(draws), F.floor(F.lit(1 << 24) / F.col("__n")))).cast("int")
+    parts = joined(packs, n, by).withColumn("__lo", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), step)))
+    hashes = F.transform(F.sequence("__lo", F.least(F.lit(draws), F.col("__lo") + step) - 1), lambda d: F.xxhash64(F.lit(seed), *by, d))
+    parts = parts.select(*by, "__b", "__n", "__lo", hashes.alias("__h"), "__rows").repartition(*by, "__b", "__lo")
+
+    def draw(batches):
+        for batch in batches:
+            n, b, lo = (batch.column(c).to_numpy() for c in ("__n", "__b", "__lo"))
+            found = []
+            for i in range(batch.num_rows):
+                held, starts = batch.column("__rows")[i].values, batch.column("__h")[i].values.to_numpy()
+                t, v = held.field("__t").to_numpy() - b[i] * block, held.field("__v")
+                size = int(t.max()) + 1
+                known = np.zeros(size + 1)  # the last place is for trials of other blocks
+                known[t] = v.is_valid().to_numpy(zero_copy_only=False)
+                values = np.zeros(size + 1)
+                values[t] = v.fill_null(0.0).to_numpy()
+                total, count = np.zeros(len(starts)), np.zeros(len(starts))
+                wide = max(1, (1 << 16) // n[i])
+                for at in range(0, len(starts), wide):
+                    for k in range(0, n[i], 1 << 16):
+                        picked = long_hashes(starts[at : at + wide, None], np.arange(k, min(n[i], k + (1 << 16)))[None, :]) % n[i] - b[i] * block
+                        picked[(picked < 0) | (picked > size)] = size
+                        total[at : at + wide] += values[picked].sum(axis=1)
+                        count[at : at + wide] += known[picked].sum(axis=1)
+                found.append((lo[i] + np.arange(len(starts)), total, count))
+            if found:
+                draw_, total, count = (np.concatenate(x) for x in zip(*found, strict=True))
+                at = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in by), pa.array(draw_.astype(np.int32)), pa.array(total), pa.array(count.astype(np.int64))], [*by, "draw", "__s", "__c"])
+
+    kinds = StructType([*(parts.schema[c] for c in by), StructField("draw", IntegerType()), StructField("__s", DoubleType()), StructField("__c", LongType())])
+    return parts.mapInArrow(draw, kinds).groupBy(*by, "draw").agg(F.try_divide(F.sum("__s"), F.sum("__c")).alias("mean"))
+
+
+def long_hashes(start: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """XXH64 of 8-byte numbers k from given states, as xxhash64 goes on from one column to the next."""
+    one, two, three, four, five = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, r: x << np.uint64(r) | x >> np.uint64(64 - r)
+    h = (start.view(np.uint64) + five + np.uint64(8)) ^ turned(k.astype(np.int64).view(np.uint64) * two, 31) * one
+    h = turned(h, 27) * one + four
+    h = (h ^ h >> np.uint64(33)) * two
+    h = (h ^ h >> np.uint64(29)) * three
+    return (h ^ h >> np.uint64(32)).view(np.int64)

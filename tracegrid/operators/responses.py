@@ -72,5 +72,6 @@ def tuned(trials: DataFrame, by: list[str], trial: str, value: str, draws: int =
     """(by, response, cut, tuned): mean over trials against that percentile of resampled means of all the group's trials pooled."""
     keys = by[:-1]  # the last of ``by`` is the kind of trial; draws pool all kinds
     pooled = resampled_means(trials.select(*keys, trial, value), keys, trial, value, draws, seed)
-    cut = quantiles(pooled, keys, "mean", [percent / 100]).select(*keys, F.col("q").alias("cut"))
+    # As many values a group as there are draws, so a plain percentile holds few.
+    cut = pooled.groupBy(*keys).agg(F.percentile("mean", percent / 100).alias("cut"))
     return joined(trials.groupBy(*by).agg(F.avg(value).alias("response")), cut, keys).withColumn("tuned", F.col("response") > F.col("cut"))
