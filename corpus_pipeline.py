@@ -17,7 +17,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each group of near copies."""
+    """One document, that with the least id, of each group of near copies: SimHash links first, bands of minima for what those miss."""
     return simhash.keep_one(docs)
 
 

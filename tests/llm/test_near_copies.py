@@ -127,3 +127,12 @@ def grouped(pairs):
         for k in one:
             of[k] = one
     return {frozenset(s) for s in of.values()}
+
+
+def test_fingerprints_link_near_copies(spark, monkeypatch):
+    """SimHash itself connects a long text and its copy with one other word, without any candidate of a band."""
+    monkeypatch.setattr(simhash, "met_pairs", lambda *_, **__: spark.createDataFrame([], "a bigint, b bigint"))
+    words = [f"w{k * k % 1009}" for k in range(900)]
+    texts = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, " ".join(reversed(words)))]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}

@@ -5,9 +5,10 @@ blocks, so on every pair out of some BLOCKS - radius of them: a bucket for each
 Within a bucket the bits stand vertically, one plane for each position; distances of 64 pairs at once are summed by
 carry-save counters, and words of pairs that have all exceeded the radius are abandoned.
 
-``keep_one`` takes the candidates of its near copies from bands of minima of five-word shingles instead, as fingerprints
-in reach of buckets miss pairs, and decides each by the exact similarity of the two sets. Before, a bound from bit
-parities leaves out most pairs below the similarity, and none at it.
+``keep_one`` links near copies by the same fingerprints, of sets of five-word shingles, and decides each link by the exact
+similarity of the two sets. Fingerprints in reach of buckets miss pairs, so bands of minima then give the candidates
+among texts that are not connected yet. Before the sets are compared, a bound from bit parities leaves out most of those
+pairs below the similarity, and none at it.
 
 Edge cases: a null text is empty, and texts without words have fingerprint zero; equal fingerprints are one class,
 so groups of copies meet as one row; repeated rows stay; rows with a null id get a fingerprint and their class's
@@ -231,7 +232,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 
 
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, node, bands, sig): a hash of the text's set of shingles, a hash for each band of its minima, and the set's sketch.
+    """(key, node, fp, bands, sig): a hash of the text's set of shingles, its SimHash, a hash for each band of its minima, and the set's sketch.
 
     A sketch is a byte of each minimum, the PARITY bits, and the number of members in 8 bytes.
     """
@@ -244,22 +245,23 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                node, least = np.zeros(part.num_rows, np.uint64), np.zeros((part.num_rows, BANDS * ROWS), np.uint32)
+                node, fp, least = np.zeros(part.num_rows, np.uint64), np.zeros(part.num_rows, np.uint64), np.zeros((part.num_rows, BANDS * ROWS), np.uint32)
                 rest = []
                 for k, t in enumerate(part.column(1).cast(pa.binary()).to_pylist()):
                     node[k], hashes = shingle_set(t or b"")
                     some = hashes.astype(np.uint32)
                     rest.append(parity(hashes).tobytes() + len(hashes).to_bytes(8, "little"))
                     if len(some):
+                        fp[k] = majority(hashes.view(np.uint8).reshape(-1, 8))[0]
                         least[k] = np.min([(some[i : i + 1024, None] * times + plus).min(axis=0) for i in range(0, len(some), 1024)], axis=0)
                 x, y = np.ascontiguousarray(least).view("<u8").reshape(len(least), BANDS, 2).transpose(2, 0, 1)
                 mixed = (x ^ salt[:, 0]) * (salt[:, 1] | np.uint64(1))
                 mixed = ((mixed ^ mixed >> np.uint64(31)) + y) * (salt[:, 2] | np.uint64(1))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(least) * BANDS + 1, BANDS, dtype=np.int32)), pa.array((mixed ^ mixed >> np.uint64(29)).view(np.int64).reshape(-1)))
                 sig = [row.tobytes() + more for row, more in zip(least.astype(np.uint8), rest, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node.view(np.int64)), bands, pa.array(sig, pa.binary())], [key, "node", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node.view(np.int64)), pa.array(fp.view(np.int64)), bands, pa.array(sig, pa.binary())], [key, "node", "fp", "bands", "sig"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} bigint, node bigint, bands array<bigint>, sig binary")
+    return docs.select(key, text).mapInArrow(run, f"{key} bigint, node bigint, fp bigint, bands array<bigint>, sig binary")
 
 
 def shingle_set(text: bytes) -> tuple[int, np.ndarray]:
@@ -389,23 +391,29 @@ def met_pairs(members: DataFrame, sketches: DataFrame, part: int = PART, spannin
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, component_id) for every row: the least key that is reachable by pairs of a Jaccard similarity of 0.8 or more.
 
-    Texts with the same set of shingles are one node. Nodes that agree in a band of minima meet in a bucket; two at 0.8
+    Texts with the same set of shingles are one node. Nodes whose SimHash differs in at most RADIUS bits are linked first,
+    where their sets confirm it. Nodes that agree in a band of minima meet in a bucket; two at 0.8
     miss each other in all bands once in 2e7, and GATE once in 1e7. All pairs of a small bucket that may be near are
     looked at, but of a large one first only a spanning forest of them: where those are near copies, the rest, as many
     as the square of a group, need no look. Then come the pairs of large buckets that are not connected yet.
     """
     told = settled(signatures(docs, key, text))
-    classes = settled(told.groupBy("node").agg(F.min(key).alias("least"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    classes = settled(told.groupBy("node").agg(F.min(key).alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    printed = settled(linked(classes.select("node", "fp")))
     banded = classes.select("node", F.explode("bands").alias("bucket"))
     sizes = settled(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     members = settled(banded.join(sizes, "bucket").select("bucket", "node", "n"))
-    some = settled(classes.join(members.select("node").distinct(), "node").select("node", "least", "sig"))
+    met = members.select("node").unionByName(printed.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    some = settled(classes.join(met, "node").select("node", "least", "sig"))
     wanted = some.select(F.col("least").alias(key)).distinct()
     sets = settled(shingle_sets(docs.select(key, text).join(wanted, key, "left_semi"), text).groupBy("node").agg(F.first("members").alias("members")))
     sketches = some.select("node", "sig")
-    links = settled(verified(met_pairs(members.select("bucket", "node", F.col("node").alias("root")), sketches, spanning=True), sets))
+    rooted = lambda some, roots: some.join(roots, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("root"))
+    near = settled(verified(printed, sets))
+    rest = settled(verified(met_pairs(rooted(members, components(near)), sketches, spanning=True), sets))
+    links = near.unionByName(rest)
     roots = components(links)
-    large = members.where(F.col("n") > SMALL).join(roots, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("root"))
+    large = rooted(members.where(F.col("n") > SMALL), roots)
     more = settled(verified(met_pairs(large, sketches), sets))
     if not more.isEmpty():
         roots = components(links.unionByName(more))
