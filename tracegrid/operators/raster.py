@@ -26,7 +26,7 @@ def silhouettes(view: DataFrame, key: list[str], monitor: Monitor, width: int, h
 
     Coverage of a pixel is its overlap with the box; objects combine as 255 (1 - product of what each leaves uncovered),
     cut down to a whole number; depth is the least distance among objects that cover some of the pixel.
-    raw: ``cover`` from 0 to 1 in place of ``value``.
+    raw: ``cover`` from 0 to 1 in place of ``value``. A row counts ``n`` times if it has that.
     """
     rows = view.withColumns(_box(monitor, width, height, x, y, ground))
     left, right, top, low = F.col("__cx") - F.col("__hx"), F.col("__cx") + F.col("__hx"), F.col("__cy") - F.col("__up"), F.col("__cy") + F.col("__down")
@@ -37,7 +37,8 @@ def silhouettes(view: DataFrame, key: list[str], monitor: Monitor, width: int, h
     rows = rows.withColumn("col", F.explode(pixels("__l", "__r", width))).withColumn("row", F.explode(pixels("__t", "__d", height)))
     cover = lambda p, lo, hi: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.least(F.col(p) + 0.5, F.col(hi)) - F.greatest(F.col(p) - 0.5, F.col(lo))))
     rows = rows.withColumn("__c", cover("col", "__l", "__r") * cover("row", "__t", "__d")).where("__c > 0")
-    covered = 1 - F.product(1 - F.col("__c"))
+    left_out = 1 - F.col("__c")
+    covered = 1 - F.product(F.pow(left_out, F.col("n")) if "n" in view.columns else left_out)
     return rows.groupBy(*key, "row", "col").agg(covered.alias("cover") if raw else F.floor(255 * covered).cast("int").alias("value"), F.min("dist").alias("depth"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracegrid.functions.columns import angular_size, salience, spherical, wrapped
 from tracegrid.operators.ordered import joined
+from tracegrid.operators.settle import settled
 
 
 @dataclass(frozen=True)
@@ -29,15 +30,35 @@ def rewarded_at(objects: DataFrame, events: DataFrame, by: list[str], time: str)
     return joined(objects, first, [*by, *place])
 
 
+def classed(objects: DataFrame, by: list[str], apart: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Objects that share their places and what ends them are one class: a frame sees all of a class or none.
+
+    (objects with ``n``, the size of a class; (by, obj_id, member)). A class is named by its least obj_id, and those listed
+    in ``apart`` have one of their own. Work on the classes grows with the different places and not with the objects.
+    """
+    alone = F.when(F.col("obj_id").isin(apart), F.col("obj_id")) if apart else F.lit(None).cast("bigint")
+    of = objects.groupBy(*by, "obj_id").agg(F.array_sort(F.collect_list(F.struct("x", "y", "z", "gone"))).alias("__sites")).withColumn("__alone", alone)
+    found = settled(of.groupBy(*by, "__sites", "__alone").agg(F.min("obj_id").alias("__rep"), F.count("*").alias("n")))
+    sites = found.select(*by, F.col("__rep").alias("obj_id"), "n", F.inline("__sites"))
+    members = joined(of, found, [*by, "__sites", "__alone"], "inner").select(*by, F.col("__rep").alias("obj_id"), F.col("obj_id").alias("member"))
+    return sites, members
+
+
+def expanded(rows: DataFrame, members: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Rows of classes as rows of each of their objects."""
+    return joined(rows, members, [*by, "obj_id"], how).withColumn("obj_id", F.col("member")).drop("member", "n")
+
+
 def in_view(frames: DataFrame, objects: DataFrame, by: list[str], monitor: Monitor, time: str = "t") -> DataFrame:
-    """(frame columns, obj_id, dist, lat, vert) of each object that a frame shows.
+    """(frame columns, obj_id, dist, lat, vert) of each object that a frame shows, and ``n`` if the objects have it.
 
     frames: x, y, z; objects: obj_id, x, y, z, gone. Only pairs in reach meet: floor squares as wide as the clipping
     distance are joined to the 3 x 3 around them, and objects are the side that is copied.
     """
     clip = float(monitor.clip)
     square = lambda c, d=0: F.floor(F.col(c) / clip).cast("bigint") + d
-    near = objects.select(*[F.col(b).alias(f"__o_{b}") for b in by], "obj_id", *[F.col(c).alias(f"o{c}") for c in "xyz"], "gone")
+    size = ["n"] if "n" in objects.columns else []
+    near = objects.select(*[F.col(b).alias(f"__o_{b}") for b in by], "obj_id", *size, *[F.col(c).alias(f"o{c}") for c in "xyz"], "gone")
     near = near.withColumn("__dx", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("__dz", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
     near = near.withColumns({"__sx": square("ox") + F.col("__dx"), "__sz": square("oz") + F.col("__dz")}).drop("__dx", "__dz")
     on = [F.col(b).eqNullSafe(F.col(f"__o_{b}")) for b in by] + [F.col("__fx") == F.col("__sx"), F.col("__fz") == F.col("__sz")]
@@ -45,18 +66,18 @@ def in_view(frames: DataFrame, objects: DataFrame, by: list[str], monitor: Monit
     rho, theta, phi = spherical(F.col("ox") - F.col("x"), F.col("oy") - F.col("y"), F.col("oz") - F.col("z"))
     met = met.withColumns({"dist": rho, "lat": wrapped(F.lit(float(monitor.phi)) - phi), "vert": wrapped(F.lit(float(monitor.theta)) - theta)})
     seen = (F.col("dist") < clip) & (F.abs("lat") < monitor.h_fov / 2) & (F.abs("vert") < monitor.v_fov / 2) & F.coalesce(F.col(time) < F.col("gone"), F.lit(True))
-    return met.where(seen).select(*frames.columns, "obj_id", "dist", "lat", "vert")
+    return met.where(seen).select(*frames.columns, "obj_id", *size, "dist", "lat", "vert")
 
 
 def side_features(view: DataFrame, frames: DataFrame, key: list[str], size: float, clip: float, collapse: str = "nearest", mode: str = "raw") -> DataFrame:
     """Every frame with presence, lat, vert and dist (or ang_size), and salience if the mode has it; 0 where nothing is seen.
 
-    collapse: nearest (of equals the least obj_id) or salience_mean (weighted by angular size).
+    collapse: nearest (of equals the least obj_id) or salience_mean (weighted by angular size). A row counts ``n`` times if it has that.
     """
     if collapse == "nearest":
         seen = view.groupBy(*key).agg(F.min_by(F.struct("lat", "vert", "dist"), F.struct("dist", "obj_id")).alias("s")).select(*key, "s.*")
     elif collapse == "salience_mean":
-        w = angular_size(size, F.col("dist"), 1e-6)
+        w = angular_size(size, F.col("dist"), 1e-6) * (F.col("n") if "n" in view.columns else 1)
         mean = lambda c: F.try_divide(F.sum(w * F.col(c)), F.sum(w)).alias(c)
         seen = view.groupBy(*key).agg(*[mean(c) for c in ("lat", "vert", "dist")])
     else:

@@ -38,9 +38,9 @@ def behaviour(spark, sf_dir):
     return settled(rows.withColumn("even", (F.col("event_id") % 2 == 0).cast("double")))
 
 
-def seen(spark, sf_dir):
+def seen(spark, sf_dir, apart=None):
     beh = behaviour(spark, sf_dir)
-    return beh, settled(view(spark, sf_dir).select("event_id", "obj_id", "lat", "vert", "dist").join(beh.select("event_id", "pos"), "event_id").drop("event_id"))
+    return beh, settled(view(spark, sf_dir, apart).select("event_id", "obj_id", "n", "lat", "vert", "dist").join(beh.select("event_id", "pos"), "event_id").drop("event_id"))
 
 
 def clock(spark, sf_dir):
@@ -64,7 +64,7 @@ def q126_feature_block(spark, sf_dir):
 @query()
 def q127_all_blocks(spark, sf_dir):
     """Rows, columns and gaps of every block of features, pictures, motion, objects and counts among them."""
-    beh, shown = seen(spark, sf_dir)
+    beh, shown = seen(spark, sf_dir, [3])
     pictures = beh.select("pos", F.array(*[F.sin(F.col("x") * (k + 1) / 40 + F.col("z") / (k + 3)) for k in range(12)]).alias("v"))
     blocks = drivers.feature_blocks({"R": shown}, beh, clock(spark, sf_dir), [], "pos", "t", "at", SIZE, MONITOR.clip, pictures=pictures, n_pix=4, pix_slopes=2.0, motion=2.0, objects=[3], self_moving=2.0, counts=["even"], bucket=DAY)
     out = None

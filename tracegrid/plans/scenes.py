@@ -25,18 +25,25 @@ def frames(spark, sf_dir):
     return ev.select("event_id", "t", (F.col("value") * 2).alias("x"), F.lit(0.0).alias("y"), (F.hour("ts") * 8.0).alias("z"))
 
 
-def view(spark, sf_dir):
+def places(spark, sf_dir, apart=None):
+    """Classes of objects, and the members of each."""
     k = F.col("s_suppkey")
     objects = table(spark, sf_dir, "supplier").select(k.alias("obj_id"), ((k % 50) * 4.0).alias("x"), F.lit(1.0).alias("y"), ((k % 37) * 5.0).alias("z"))
     rewards = objects.where(F.col("obj_id") % 10 == 0).select("x", "y", "z", F.col("obj_id"), ((F.col("obj_id") % 30) * 86400.0).alias("t"))
     # Places repeat in the fixture, so the id goes along as the session.
-    objects = scene.rewarded_at(objects, rewards, ["obj_id"], "t")
-    return scene.in_view(frames(spark, sf_dir), objects, [], MONITOR)
+    return scene.classed(scene.rewarded_at(objects, rewards, ["obj_id"], "t"), [], apart)
+
+
+def view(spark, sf_dir, apart=None):
+    """What frames show, a row for each class of objects."""
+    return scene.in_view(frames(spark, sf_dir), places(spark, sf_dir, apart)[0], [], MONITOR)
 
 
 @query(f"WITH {VIEW} SELECT event_id, obj_id, round(dist, 6) AS dist, round(lat, 6) AS lat, round(vert, 6) AS vert FROM w")
 def q27_fov_join(spark, sf_dir):
-    return view(spark, sf_dir).select("event_id", "obj_id", r6("dist", "dist"), r6("lat", "lat"), r6("vert", "vert"))
+    sites, members = places(spark, sf_dir)
+    rows = scene.in_view(frames(spark, sf_dir), sites, [], MONITOR).select("event_id", "obj_id", r6("dist", "dist"), r6("lat", "lat"), r6("vert", "vert"))
+    return scene.expanded(rows, members, []).select("event_id", "obj_id", "dist", "lat", "vert")
 
 
 @query(f"""WITH {VIEW}, m AS (SELECT event_id, arg_min(w, {{'d': dist, 'o': obj_id}}) AS s FROM w GROUP BY event_id)
@@ -56,8 +63,9 @@ def q29_collapse_salience(spark, sf_dir):
 @query(f"WITH {VIEW} SELECT f.event_id, obj_id, round(max(lat), 6) AS lat, round(max(dist), 6) AS dist FROM f LEFT JOIN w USING (event_id) GROUP BY f.event_id, obj_id")
 def q30_per_object_rows(spark, sf_dir):
     """All objects in view, a row each. ``scene.slots`` makes columns of a fixed list of them."""
-    out = scene.slot_rows(view(spark, sf_dir), frames(spark, sf_dir), KEY, ["lat", "dist"])
-    return out.select("event_id", "obj_id", r6("lat", "lat"), r6("dist", "dist"))
+    sites, members = places(spark, sf_dir)
+    rows = scene.slot_rows(scene.in_view(frames(spark, sf_dir), sites, [], MONITOR), frames(spark, sf_dir), KEY, ["lat", "dist"])
+    return scene.expanded(rows.select("event_id", "obj_id", r6("lat", "lat"), r6("dist", "dist")), members, [], "left").select("event_id", "obj_id", "lat", "dist")
 
 
 PIXEL = ["p_size", "p_brand"]
