@@ -64,3 +64,12 @@ def test_bounds_leave_cells_out_but_none_that_matters():
         assert (least[:, k] <= true[:, c == k].min(axis=1)).all()
     kth = np.sort(true, axis=1)[:, 14]
     assert (least <= kth[:, None]).mean() < 0.2
+
+
+def test_even_vectors_are_sent_to_few_blocks(spark, monkeypatch):
+    """Where the bounds leave nothing out, what is sent is the questions times the blocks: blocks are large."""
+    sent, met = [], neighbours._met
+    monkeypatch.setattr(neighbours, "_met", lambda asked, *rest: (sent.append(asked.selectExpr("sum(size(asks))").first()[0] or 0), met(asked, *rest))[1])
+    x = np.random.default_rng(3).normal(size=(4200, 32))
+    df = spark.createDataFrame([(i, v.tolist(), float(i % 5)) for i, v in enumerate(x)], "pos bigint, v array<double>, y double")
+    assert decoding.knn_oof(df, "v", "y", "pos", 4200, 5, 5).count() == 4200 and sum(sent) <= 4200

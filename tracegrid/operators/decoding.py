@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from tracegrid.operators.linalg import Moments, mapped, moments
-from tracegrid.operators.neighbours import nearest_allowed
+from tracegrid.operators.neighbours import BLOCK, nearest_allowed
 from tracegrid.operators.ordered import joined
 from tracegrid.operators.settle import settled
 from tracegrid.operators.stats import auc
@@ -134,7 +134,7 @@ def logistic(df: DataFrame, x: str, y: str, c: float = 1.0, steps: int = 12) ->
     return beta
 
 
-def knn_oof(df: DataFrame, x: str, y: str, pos: str, n: int, folds: int = 5, embargo: int = 0, k: int = 15, block: int = 1024) -> DataFrame:
+def knn_oof(df: DataFrame, x: str, y: str, pos: str, n: int, folds: int = 5, embargo: int = 0, k: int = 15, block: int = BLOCK) -> DataFrame:
     """(pos, pred): mean of the k nearest training rows' targets, weighted by one over distance; rows at distance 0 take all.
 
     Of equal distances the lower position counts. Rows with a NULL target or vector, or a component that is NULL or not

@@ -20,6 +20,10 @@ from tracegrid.operators.settle import settled
 #: Most pivots: with vectors of 64 doubles, 2 MB that every task gets.
 PIVOTS = 4096
 
+#: Rows of a block, 8 MB of 64 doubles. Where bounds leave nothing out a question is sent to every block, so that what is
+#: shuffled falls with this.
+BLOCK = 1 << 14
+
 #: Equal questions are asked at most this many times, so that one vector on many rows is no hot key when answers go back.
 COPIES = 32
 
@@ -105,8 +109,12 @@ def _met(asked: DataFrame, packed: DataFrame, barred: np.ndarray, k: int) -> Dat
                     near = (q**2).sum(1)[:, None] + (tv**2).sum(1)[None, :] - 2 * q @ tv.T
                     slack = 1e-12 * ((q**2).sum(1)[:, None] + (tv**2).sum(1)[None, :])
                     near[(tp[None, :] >= barred[f, 0][:, None]) & (tp[None, :] < barred[f, 1][:, None])] = np.inf
-                    top = np.partition(near + slack, k - 1, axis=1)[:, k - 1] if near.shape[1] > k else np.full(len(q), np.inf)
-                    i, j = np.nonzero(np.isfinite(near) & (near - slack <= np.minimum(top, (ad[at : at + 128] * (1 + 1e-9)) ** 2)[:, None]))
+                    fits = np.isfinite(near) & (near - slack <= ((ad[at : at + 128] * (1 + 1e-9)) ** 2)[:, None])
+                    many = np.flatnonzero(np.count_nonzero(fits, axis=1) > k)  # of these the k-th of the block is a closer bound
+                    if len(many):
+                        top = np.partition(near[many] + slack[many], k - 1, axis=1)[:, k - 1]
+                        fits[many] &= near[many] - slack[many] <= top[:, None]
+                    i, j = np.nonzero(fits)
                     exact = np.sqrt(((_vectors(a.field("v"))[at + i] - _vectors(t.field("v"))[j]) ** 2).sum(1))
                     order = np.lexsort((tp[j], exact, i))
                     i, j, exact = i[order], j[order], exact[order]
@@ -156,7 +164,7 @@ def _routed(questions: DataFrame, cells: Cells, open_: np.ndarray, k: int, block
     return questions.mapInArrow(route, "c int, b int, asks array<struct<p: bigint, f: int, d: double, v: array<double>>>")
 
 
-def nearest_allowed(rows: DataFrame, barred: list[tuple[int, int]], k: int, n: int, block: int = 1024) -> DataFrame:
+def nearest_allowed(rows: DataFrame, barred: list[tuple[int, int]], k: int, n: int, block: int = BLOCK) -> DataFrame:
     """(p, t, y, d): the k rows t nearest to each row p that lie outside the positions [low, high) barred to p's fold f.
 
     ``rows``: p bigint (unique), f int, y double, v array<double> of one length. Rows with a NULL, or a component that is
