@@ -36,6 +36,36 @@ def test_filter_edges_across_chunks(wave, edge, pad):
         assert np.allclose(got[s], np.convolve(np.pad(x, len(w) // 2, mode=pad), w, "valid"))
 
 
+@pytest.mark.parametrize("edge,pad", [("zero", "constant"), ("nearest", "edge"), ("reflect", "symmetric")])
+def test_long_kernels_slide_over_chunks(wave, edge, pad):
+    """No list of rows is put together for each row; half-widths may exceed a series' length."""
+    w, h = series.taps("even", 4.0), 16
+    made = series.filtered(wave, ["s"], "k", {"x": "x", "y": "x"}, w, edge, chunk=16)
+    assert made.columns == ["s", "k", "x", "y"] and "collect_list" not in made._jdf.queryExecution().toString()
+    for s, x in series_of(wave, "x").items():
+        want = np.convolve(np.pad(x, h, mode=pad), w, "valid")
+        known = [edge != "reflect" or max(h - k, h - (len(x) - 1 - k)) <= len(x) for k in range(len(x))]
+        for column in "xy":
+            got = series_of(made, column)[s]
+            assert [v is not None for v in got] == known and np.allclose([v for v in got if v is not None], want[known])
+
+
+def test_detrended_all_reads_once_for_each_sigma(wave):
+    rows = wave.withColumns({"v": F.when(F.col("k") % 7 != 3, F.col("x")), "few": F.when(F.col("k") < 2, F.col("x"))})
+    made = series.detrended_all(rows, ["s"], "k", {"a": ("x", 1.0), "b": ("x", 2.0), "c": ("v", 2.0), "d": ("few", 2.0)}, chunk=9)
+    assert made.columns == ["s", "k", "x", "v", "few", "a", "b", "c", "d"]
+    assert made._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 2
+    for s, x in series_of(rows, "x").items():
+        k = np.arange(len(x))
+        for out, keep, sigma in (("a", k >= 0, 1.0), ("b", k >= 0, 2.0), ("c", k % 7 != 3, 2.0)):
+            w = series.taps("even", sigma)
+            run = lambda v, w=w: np.convolve(np.pad(v, len(w) // 2, mode="edge"), w, "valid")
+            got = series_of(made, out)[s]
+            assert [v is not None for v in got] == keep.tolist()
+            assert np.allclose([v for v in got if v is not None], (x - run(np.where(keep, x, 0.0)) / run(keep.astype(float)))[keep])
+        assert series_of(made, "d")[s] == series_of(rows, "few")[s]
+
+
 def test_gradient_unwrap_and_runs_across_chunks(wave, spark):
     timed = wave.withColumn("t", F.col("k") + F.col("k") * F.col("k") / 50)
     got = series_of(series.gradient(timed, ["s"], "k", "x", "g", "t", chunk=5), "g")

@@ -84,16 +84,20 @@ def windowed(df: DataFrame, by: list[str], pos: str, made: dict[str, Callable[[W
 
     Each row goes to its chunk and, if it lies near a border, to the chunk beyond it as well.
     """
+    spec = Window.partitionBy(*by, "__chunk").orderBy(pos)
+    rows = bordered(df, pos, before, after, chunk).withColumns({name: f(spec) for name, f in made.items()})
+    return rows.where(F.col("__chunk") == F.floor(F.col(pos) / chunk)).drop("__chunk")
+
+
+def bordered(df: DataFrame, pos: str, before: int, after: int, chunk: int = CHUNK) -> DataFrame:
+    """Each row with ``__chunk``, its own chunk's number, and once more for each other chunk whose rows look at it."""
     if before > chunk or after > chunk:
         raise ValueError("a chunk must be as long as what its rows look at")
     own, k = F.floor(F.col(pos) / chunk), F.col(pos) % chunk
     none = F.lit(None).cast("bigint")
     ahead = F.when(k >= chunk - before, own + 1) if before else none
     back = F.when((k < after) & (own > 0), own - 1) if after else none
-    rows = df.withColumn("__chunk", F.explode(F.array_compact(F.array(own, ahead, back))))
-    spec = Window.partitionBy(*by, "__chunk").orderBy(pos)
-    rows = rows.withColumns({name: f(spec) for name, f in made.items()})
-    return rows.where(F.col("__chunk") == F.floor(F.col(pos) / chunk)).drop("__chunk")
+    return df.withColumn("__chunk", F.explode(F.array_compact(F.array(own, ahead, back))))
 
 
 def running(df: DataFrame, by: list[str], pos: str, sums: dict[str, Column], chunk: int = CHUNK) -> DataFrame:

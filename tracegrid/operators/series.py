@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tracegrid.operators.ordered import CHUNK, joined, running, windowed
+from tracegrid.operators.ordered import CHUNK, bordered, joined, running, windowed
 
 #: Half-widths of the three Gaussian kernels, in frames.
 REACH = {"plain": lambda s: 3 * math.ceil(s), "even": lambda s: int(4 * s + 0.5), "zeroed": lambda s: math.ceil(4 * s)}
 
+#: What stands for rows beyond a series' ends.
+EDGES = ("zero", "nearest", "reflect")
+
 
 def taps(kind: str, sigma: float) -> list[float]:
     """Weights of a Gaussian: 'plain' is not divided by its sum; 'even' and 'zeroed' are, and differ in reach."""
@@ -27,31 +33,70 @@ def filtered(df: DataFrame, by: list[str], pos: str, columns: dict[str, str], we
     NULL values count as zero. A reflected series must be as long as the kernel's half-width, else the result is NULL.
     """
     h = len(weights) // 2
-    w = F.array(*[F.lit(float(x)) for x in weights])
+    if edge not in EDGES:
+        raise ValueError(f"unknown edge {edge!r}")
     if h == 0:
         return df.withColumns({out: F.col(x) * weights[0] for out, x in columns.items()})
-
-    def one(x: str):
-        def made(spec) -> Column:
-            spec = spec.rowsBetween(-h, h)
-            seen = F.collect_list(F.struct(F.coalesce(F.col(x).cast("double"), F.lit(0.0)).alias("v"))).over(spec)
-            seen = F.transform(seen, lambda s: s["v"])
-            left = F.greatest(F.lit(h) - F.col(pos).cast("int"), F.lit(0))
-            right = F.lit(2 * h + 1) - left - F.size(seen)
-            if edge == "zero":
-                pads = (F.array_repeat(F.lit(0.0), left), F.array_repeat(F.lit(0.0), right))
-            elif edge == "nearest":
-                pads = (F.array_repeat(F.element_at(seen, 1), left), F.array_repeat(F.element_at(seen, -1), right))
-            elif edge == "reflect":
-                pads = (F.reverse(F.slice(seen, F.lit(1), left)), F.reverse(F.slice(seen, F.size(seen) - right + 1, right)))
-            else:
-                raise ValueError(f"unknown edge {edge!r}")
-            full = F.concat(pads[0], seen, pads[1])
-            return F.when(F.size(full) == 2 * h + 1, F.aggregate(F.zip_with(full, w, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))
-
-        return made
-
-    return windowed(df, by, pos, {out: one(x) for out, x in columns.items()}, h, h, chunk)
+    names = {out: (f"__x{i}", f"__f{i}") for i, out in enumerate(columns)}
+    rows = bordered(df, pos, h, h, chunk).withColumns({names[out][0]: F.coalesce(F.col(x).cast("double"), F.lit(0.0)) for out, x in columns.items()})
+    # A task's rows are in order by the window; row 1 begins a chunk.
+    rows = rows.withColumn("__row", F.row_number().over(Window.partitionBy(*by, "__chunk").orderBy(pos)))
+
+    def run(batches):
+        for some in whole_chunks(batches):
+            first = some["__row"].to_numpy() == 1
+            for x, f in names.values():
+                value, known = weighted(some[x].to_numpy(), first, weights, edge)
+                some = some.append_column(f, pa.array(value, pa.float64(), mask=~known))
+            yield from some.to_batches()
+
+    made = [StructField(f, DoubleType()) for _, f in names.values()]
+    rows = rows.mapInArrow(run, StructType([*(StructField(c.name, c.dataType) for c in rows.schema), *made]))
+    rows = rows.where(F.col("__chunk") == F.floor(F.col(pos) / chunk)).withColumns({out: F.col(f) for out, (_, f) in names.items()})
+    return rows.drop("__chunk", "__row", *[c for pair in names.values() for c in pair])
+
+
+def whole_chunks(batches):
+    """Arrow tables of whole chunks, in which ``__row`` counts from 1."""
+    held: list = []
+    for batch in batches:
+        starts = np.flatnonzero(batch.column("__row").to_numpy() == 1)
+        if not len(starts):
+            held.append(batch)
+            continue
+        held.append(batch.slice(0, starts[-1]))
+        if any(b.num_rows for b in held):
+            yield pa.Table.from_batches(held)
+        held = [batch.slice(starts[-1])]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def weighted(x: np.ndarray, first: np.ndarray, weights: list[float], edge: str) -> tuple[np.ndarray, np.ndarray]:
+    """(weighted sums, whether known) of chunks that lie one behind the other, terms added from the earliest row on."""
+    h = len(weights) // 2
+    start = np.flatnonzero(first)
+    size = np.diff(np.append(start, len(x)))
+    of = np.cumsum(first) - 1
+    # Each chunk gets h places on both sides, which hold what stands for rows beyond it.
+    at = np.arange(len(x)) + h + 2 * h * of
+    wide = np.zeros(len(x) + 2 * h * len(start))
+    wide[at] = x
+    beyond = np.arange(h)
+    low, high = at[start] - 1, at[start + size - 1] + 1
+    known = np.ones(len(x), dtype=bool)
+    if edge != "zero":
+        step = np.zeros((len(start), h), dtype=np.int64) if edge == "nearest" else np.minimum(beyond[None, :], size[:, None] - 1)
+        wide[low[:, None] - beyond] = x[start[:, None] + step]
+        wide[high[:, None] + beyond] = x[(start + size - 1)[:, None] - step]
+    if edge == "reflect":
+        k = np.arange(len(x)) - start[of]
+        known = np.maximum(h - k, h - (size[of] - 1 - k)) <= size[of]
+    n = len(wide) - 2 * h
+    total = np.zeros(n)
+    for j, w in enumerate(weights):
+        total += w * wide[j : j + n]
+    return total[at - h], known
 
 
 def smoothed(df: DataFrame, by: list[str], pos: str, columns: dict[str, str], sigma: float, kind: str = "plain", edge: str = "zero", chunk: int = CHUNK) -> DataFrame:
@@ -63,12 +108,26 @@ def smoothed(df: DataFrame, by: list[str], pos: str, columns: dict[str, str], si
 
 def detrended(df: DataFrame, by: list[str], pos: str, value: str, out: str, sigma: float, chunk: int = CHUNK) -> DataFrame:
     """value minus its smoothed self, NULLs left out of the smoothing and kept; under 3 values: unchanged."""
-    rows = df.withColumns({"__m": F.when(F.col(value).isNotNull(), 1.0).otherwise(0.0), "__y": F.coalesce(F.col(value).cast("double"), F.lit(0.0))})
-    rows = smoothed(rows, by, pos, {"__gy": "__y", "__gm": "__m"}, sigma, "even", "nearest", chunk)
-    counts = rows.groupBy(*by).agg(F.sum("__m").alias("__n"))
-    trend = F.when(F.col("__gm") > 1e-6, F.col("__gy") / F.col("__gm")).otherwise(0.0)
+    return detrended_all(df, by, pos, {out: (value, sigma)}, chunk)
+
+
+def detrended_all(df: DataFrame, by: list[str], pos: str, wanted: dict[str, tuple[str, float]], chunk: int = CHUNK) -> DataFrame:
+    """``detrended`` for several columns: out -> (value, sigma), a pass for each sigma."""
+    place = {v: i for i, v in enumerate(dict.fromkeys(v for v, _ in wanted.values()))}
+    counts = df.groupBy(*by).agg(*[F.count(v).alias(f"__n{i}") for v, i in place.items()])
+    rows = df.withColumns({f"__m{i}": F.when(F.col(v).isNotNull(), 1.0).otherwise(0.0) for v, i in place.items()} | {f"__y{i}": F.coalesce(F.col(v).cast("double"), F.lit(0.0)) for v, i in place.items()})
+    sigmas = {s: k for k, s in enumerate(dict.fromkeys(s for _, s in wanted.values()))}
+    for s, k in sigmas.items():
+        at = [place[v] for v in dict.fromkeys(v for v, own in wanted.values() if own == s)]
+        rows = smoothed(rows, by, pos, {f"__g{c}{i}_{k}": f"__{c}{i}" for i in at for c in "ym"}, s, "even", "nearest", chunk)
     rows = joined(rows, counts, by)
-    return rows.withColumn(out, F.when(F.col("__n") < 3, F.col(value).cast("double")).otherwise(F.col(value) - trend)).drop("__m", "__y", "__gy", "__gm", "__n")
+    flat = {}
+    for out, (v, s) in wanted.items():
+        gy, gm = (F.col(f"__g{c}{place[v]}_{sigmas[s]}") for c in "ym")
+        trend = F.when(gm > 1e-6, gy / gm).otherwise(0.0)
+        flat[out] = F.when(F.col(f"__n{place[v]}") < 3, F.col(v).cast("double")).otherwise(F.col(v) - trend)
+    own = [f"__{c}{i}" for i in place.values() for c in "myn"] + [f"__g{c}{i}_{k}" for i in place.values() for c in "ym" for k in sigmas.values()]
+    return rows.withColumns(flat).drop(*own)
 
 
 def detrend_sigma(block: str, spec, seconds: float | None, fs: float) -> float | None:

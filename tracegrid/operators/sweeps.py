@@ -21,7 +21,7 @@ from tracegrid.operators import decoding
 from tracegrid.operators.decoding import fold_edges, near_folds, ridge_weights
 from tracegrid.operators.linalg import Moments, mapped, matrix, moments, partial_least_squares
 from tracegrid.operators.ordered import joined
-from tracegrid.operators.series import detrended
+from tracegrid.operators.series import detrended_all
 from tracegrid.operators.settle import settled
 from tracegrid.operators.stats import auc
 
@@ -119,13 +119,10 @@ def detrend_grid(df: DataFrame, vector: str, targets: list[str], pos: str, n: in
 
     sigma 0 leaves a target as it is. Every target at every sigma with all its draws is a column of one moment matrix.
     """
-    rows, names = df, []
-    for s in sigmas:
-        for t in targets:
-            name = f"{t}~{s:g}"
-            rows = detrended(rows, [], pos, t, name, float(s)) if s else rows.withColumn(name, F.col(t).cast("double"))
-            names.append(name)
-    rows = moved_round(settled(rows), pos, n, names, draws, 0, seed)
+    cells = {f"{t}~{s:g}": (t, float(s)) for s in sigmas for t in targets}
+    names = list(cells)
+    rows = detrended_all(df.select(pos, *targets), [], pos, {c: ts for c, ts in cells.items() if ts[1]}).withColumns({c: F.col(t).cast("double") for c, (t, s) in cells.items() if not s})
+    rows = joined(df.select(pos, vector), moved_round(settled(rows.select(pos, *names)), pos, n, names, draws, 0, seed), [pos])
     wide = [*names, *[f"{t}__{d}" for t in names for d in range(draws)]]
     found = named(ridge_sweep(rows, vector, wide, pos, n, [k], folds, embargoes, alpha))
     mean = found.groupBy("target", "embargo", "draw").agg(F.avg("r2").alias("r2"))
