@@ -105,3 +105,23 @@ def test_offset_sweep(spark):
         assert peaks[a, b]["peak"] == pytest.approx((edges[n.argmax()] + edges[n.argmax() + 1]) / 2, abs=(edges[1] - edges[0]) * 1.01)
     whole = terrain.offset_moments(points, grid, some, 12, 9).join(terrain.offset_peaks(deltas), ["ox", "oz"])
     assert {r["rule"]: (r["ox"], r["oz"]) for r in terrain.best_offsets(whole, 0.4).collect()} == dict.fromkeys(("std", "median", "peak"), (2, -1))
+
+
+def test_frames_are_dealt_out_by_the_pixels_they_paint(spark):
+    """More frames are more parts, not larger ones, and a frame's pixels stay where it is."""
+    rows = spark.range(600).selectExpr("id as k", "double(id % 7) as x", "0.0D as y", "double(id % 5) as z")
+    for n, parts in ((60, 6), (600, 60), (0, 1)):
+        f = terrain.dealt(rows.limit(n), ["k"], 10, 100)
+        assert f.rdd.getNumPartitions() == parts and f.distinct().count() == n
+    c = spark.createDataFrame([(float(x), 0.0, float(z)) for x in range(-12, 13) for z in range(-12, 13)], "x double, height double, z double")
+    seen = lambda f: terrain.painted_points(terrain.in_cone(f, F.broadcast(c), [], MONITOR), ["k"], MONITOR, 41, 31, point=2)
+    px = seen(terrain.dealt(rows, ["k"], 41 * 31, 1 << 16))
+    assert px._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert px.exceptAll(seen(rows)).count() == 0 and seen(rows).count() == px.count() > 0
+
+
+def test_q97_paints_dealt_frames(spark):
+    from tracegrid.plans import catalogue
+
+    plan = catalogue.queries()["q97_terrain_pixels"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(event_id") == 1 and "REPARTITION_BY_NUM" in plan

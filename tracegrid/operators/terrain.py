@@ -17,6 +17,18 @@ from tracegrid.operators.scene import Monitor
 from tracegrid.operators.stats import quantiles
 
 
+#: Pixels of all frames that one task paints.
+PIXELS = 1 << 21
+
+
+def dealt(frames: DataFrame, key: list[str], pixels: int, most: int = PIXELS) -> DataFrame:
+    """Frames in as many parts as it takes to paint about ``most`` pixels in each, ``pixels`` being those of a frame's screen.
+
+    A task then holds no more however many frames there are, and what is grouped by the key stays where it is.
+    """
+    return frames.repartition(max(1, math.ceil(frames.count() * pixels / most)), *key)
+
+
 def in_cone(frames: DataFrame, cells: DataFrame, by: list[str], monitor: Monitor, phi: str | None = None, theta: str | None = None, eye: float = 0.0, tiles: int = 4) -> DataFrame:
     """(frame columns, cell_x, cell_z, height, dist, lat, vert) of each terrain cell that a frame shows.
 

@@ -29,7 +29,8 @@ def walkers(spark, sf_dir):
 
 
 def shown(spark, sf_dir):
-    return terrain.in_cone(walkers(spark, sf_dir), ground(spark, sf_dir), [], GROUND, "phi")
+    frames = terrain.dealt(walkers(spark, sf_dir), ["event_id"], W * H)
+    return terrain.in_cone(frames, F.broadcast(ground(spark, sf_dir)), [], GROUND, "phi")  # 2000 places at most
 
 
 @query(f"WITH {SEEN} SELECT event_id, cx AS cell_x, cz AS cell_z, round(dist, 6) AS dist, round(lat, 6) AS lat, round(vert, 6) AS vert FROM v")
