@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracegrid.functions import columns
-from tracegrid.operators import asof, decoding, linalg, raster, series, stats
+from tracegrid.operators import asof, decoding, linalg, ordered, raster, series, stats
 from tracegrid.operators.ordered import carried, positions, running
 from tracegrid.sources import sessions
 
@@ -80,6 +80,18 @@ def test_gradient_unwrap_and_runs_across_chunks(wave, spark):
         assert lengths[s] == [len(list(g)) for _, g in itertools.groupby(v > 0 for v in x)]
 
 
+def test_more_rows_are_more_parts(wave, monkeypatch):
+    """A task orders no more than PART rows or so; buckets without a value, NULL times and NULL keys keep what is carried."""
+    rows = wave.withColumns({"v": F.when(F.col("k").isin(3, 30), F.col("x")), "w": F.when(F.col("k") % 9 == 1, F.col("x")), "t": F.when(F.col("k") != 5, F.col("k").cast("double"))})
+    wanted = {"a": ("v", [F.col("x")], False), "b": ("w", [F.col("x")], True)}
+    monkeypatch.setattr(ordered, "PART", 2)
+    made = ordered.carried_all(rows, ["s"], "t", wanted, 4.0)
+    assert made.rdd.getNumPartitions() == 26  # of 51 rows
+    assert made.columns == [*rows.columns, "a", "b"]
+    a, b = (sorted(map(str, d.select("s", "k", "a", "b").collect())) for d in (made, ordered.carried_all(rows, ["s"], "t", wanted)))
+    assert a == b and len(a) == 51
+
+
 def test_buckets_of_time_change_nothing(wave):
     rows = wave.withColumn("v", F.when(F.col("k") % 7 == 3, F.col("x")))
     for forward in (False, True):

@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 #: Rows of a series that one chunk holds besides its borders.
 CHUNK = 1 << 16
 
+#: Rows of many buckets that one task puts in order.
+PART = 1 << 18
+
 
 def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join on keys that may be NULL; the right side's keys go. Without keys the right side is one row."""
@@ -57,26 +60,37 @@ def ranked(df: DataFrame, value: str, order: list, out: str, parts: int = 64) ->
     return rows.withColumn("__row", row).join(F.broadcast(before), "__p").withColumn(out, (F.col("__row") + F.col("__before")).cast("bigint")).drop("__p", "__row", "__before")
 
 
+def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """df in parts by some columns, as many as let none hold or make much more than ``PART`` of so many rows."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // PART)), *by)
+
+
 def carried(rows: DataFrame, by: list[str], time: str, order: list[Column], value: str, out: str, *, forward: bool = False, width: float | None = None) -> DataFrame:
     """Add ``out``: the last value that is not NULL at or before each row; with ``forward`` the first at or after it."""
     return carried_all(rows, by, time, {out: (value, order, forward)}, width)
 
 
 def carried_all(rows: DataFrame, by: list[str], time: str, wanted: dict[str, tuple[str, list[Column], bool]], width: float | None = None) -> DataFrame:
-    """``carried`` for several columns: out -> (value, order, forward). The rows are read twice, however many there are."""
+    """``carried`` for several columns: out -> (value, order, forward). The rows are read a few times, however many there are."""
     rows = bucketed(rows, time, width)
     # Forward looks back along the opposite order: a frame that grows costs one step a row, one that shrinks a whole pass.
     turned = lambda order, forward: [c.desc() if forward else c for c in (F.col(time), *order)]
-    near = {o: F.last(v, True).over(Window.partitionBy(*by, "__b").orderBy(*turned(order, forward)).rowsBetween(Window.unboundedPreceding, 0)) for o, (v, order, forward) in wanted.items()}
     if not width:
+        near = {o: F.last(v, True).over(Window.partitionBy(*by, "__b").orderBy(*turned(order, forward)).rowsBetween(Window.unboundedPreceding, 0)) for o, (v, order, forward) in wanted.items()}
         return rows.withColumns(near).drop("__b")
-    # Of each bucket the value nearest to its border; rows without a value have no rank.
+    # Of each bucket the value nearest to its border; rows without a value have no rank, and those without any aren't sorted.
     rank = lambda v, order: F.when(F.col(v).isNotNull(), F.struct(F.col(time), *order))
-    heads = rows.groupBy(*by, "__b").agg(*[(F.min_by if forward else F.max_by)(F.col(v), rank(v, order)).alias(f"__head_{o}") for o, (v, order, forward) in wanted.items()])
+    known = rows.where(F.coalesce(*[F.when(F.col(v).isNotNull(), True) for v, _, _ in wanted.values()]))
+    heads = known.groupBy(*by, "__b").agg(*[(F.min_by if forward else F.max_by)(F.col(v), rank(v, order)).alias(f"__head_{o}") for o, (v, order, forward) in wanted.items()])
+    heads = joined(rows.select(*by, "__b").distinct(), heads, [*by, "__b"])
     over = {forward: Window.partitionBy(*by).orderBy(F.col("__b").desc() if forward else "__b").rowsBetween(Window.unboundedPreceding, -1) for forward in (False, True)}
     told = heads.select(*by, "__b", *[F.last(f"__head_{o}", True).over(over[forward]).alias(f"__beyond_{o}") for o, (_, _, forward) in wanted.items()])
-    rows = joined(rows.withColumns({f"__near_{o}": c for o, c in near.items()}), told, [*by, "__b"])
-    return rows.withColumns({o: F.coalesce(f"__near_{o}", f"__beyond_{o}") for o in wanted}).drop("__b", *[f"__{x}_{o}" for o in wanted for x in ("near", "beyond")])
+    # What lies beyond a bucket is a row before its first, along either order.
+    both = rows.withColumn("__own", F.lit(True)).unionByName(told.withColumn("__own", F.lit(False)), allowMissingColumns=True)
+    both = dealt(both, rows.count(), *by, "__b")
+    value = lambda o, v: F.when(F.col("__own"), F.col(v)).otherwise(F.col(f"__beyond_{o}"))
+    near = {o: F.last(value(o, v), True).over(Window.partitionBy(*by, "__b").orderBy("__own", *turned(order, forward)).rowsBetween(Window.unboundedPreceding, 0)) for o, (v, order, forward) in wanted.items()}
+    return both.withColumns(near).where("__own").drop("__b", "__own", *[f"__beyond_{o}" for o in wanted])
 
 
 def windowed(df: DataFrame, by: list[str], pos: str, made: dict[str, Callable[[WindowSpec], Column]], before: int = 1, after: int = 1, chunk: int = CHUNK) -> DataFrame:

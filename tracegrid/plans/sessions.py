@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from tracegrid.operators import asof, series as sr
-from tracegrid.operators.ordered import joined, positions, running
+from tracegrid.operators.ordered import dealt, joined, positions, running
 from tracegrid.plans.registry import DAY, EV, events, query, r6, series
 from tracegrid.sources.sessions import pulse_delay
 
@@ -84,7 +84,8 @@ LINE = "CASE WHEN nt > pt THEN pv + (nv - pv) * (g - pt) / (nt - pt) ELSE pv END
 
 
 def _grid(ev):
-    return ev.select("user_id").distinct().withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(719)))).withColumn("g", F.col("g") * 3600.0)
+    users = ev.select("user_id").distinct()
+    return dealt(users, 720 * users.count(), "user_id").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(719)))).withColumn("g", F.col("g") * 3600.0)
 
 
 @query(f"WITH {EV}, {VIEWS}, {GRID}, {BRACKETS} SELECT user_id, g, round(CASE WHEN pt IS NULL THEN nv WHEN nt IS NULL THEN pv ELSE {LINE} END, 6) AS value FROM c")
