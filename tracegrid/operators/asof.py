@@ -40,17 +40,17 @@ def nearer(prev: Column, next_: Column, at: Column, value: str) -> Column:
     return F.when(at - prev["t"] <= next_["t"] - at, prev[value]).otherwise(next_[value])
 
 
-def interpolated(spine: DataFrame, samples: DataFrame, by: list[str], at: str, time: str, values: list[str], kind: str = "linear", boundary: str = "clamp", width: float | None = None) -> DataFrame:
-    """The spine with ``values`` read off the samples. kind: linear or nearest; boundary: clamp, zero or null."""
-    if kind not in ("linear", "nearest") or boundary not in ("clamp", "zero", "null"):
+def interpolated(spine: DataFrame, samples: DataFrame, by: list[str], at: str, time: str, values: list[str], kind: str | dict[str, str] = "linear", boundary: str = "clamp", width: float | None = None) -> DataFrame:
+    """The spine with ``values`` read off the samples. kind: linear or nearest, for all or by value; boundary: clamp, zero or null."""
+    kinds = kind if isinstance(kind, dict) else dict.fromkeys(values, kind)
+    if not {kinds[v] for v in values} <= {"linear", "nearest"} or boundary not in ("clamp", "zero", "null"):
         raise ValueError(f"unknown kind {kind!r} or boundary {boundary!r}")
-    read = lerp if kind == "linear" else nearer
     met = looked_up(spine, samples, by, at, time, values, {"__p": "prev", "__q": "next"}, width)
     p, q = F.col("__p"), F.col("__q")
 
     def value(v: str) -> Column:
         edge = F.coalesce(p[v], q[v]) if boundary == "clamp" else F.when(p.isNotNull() | q.isNotNull(), F.lit(0.0) if boundary == "zero" else F.lit(None))
-        return F.when(p.isNotNull() & q.isNotNull(), read(p, q, F.col(at), v)).otherwise(edge)
+        return F.when(p.isNotNull() & q.isNotNull(), (lerp if kinds[v] == "linear" else nearer)(p, q, F.col(at), v)).otherwise(edge)
 
     return met.withColumns({v: value(v) for v in values}).drop("__p", "__q")
 

@@ -99,8 +99,7 @@ round(CASE WHEN pt IS NULL AND nt IS NULL THEN NULL WHEN pt IS NULL OR nt IS NUL
 def q08_resample_zero_fill(spark, sf_dir):
     ev = events(spark, sf_dir)
     views = _views(ev).select("user_id", "t", F.col("value").alias("line"), F.col("value").alias("near"))
-    out = asof.interpolated(_grid(ev), views, U, "g", "t", ["line"], "linear", "zero", DAY)
-    out = asof.interpolated(out, views, U, "g", "t", ["near"], "nearest", "zero", DAY)
+    out = asof.interpolated(_grid(ev), views, U, "g", "t", ["line", "near"], {"line": "linear", "near": "nearest"}, "zero", DAY)
     return out.select("user_id", "g", r6("line", "line"), r6("near", "near"))
 
 
