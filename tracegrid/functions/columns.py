@@ -27,6 +27,17 @@ def ratio(a, b) -> Column:
     return F.try_divide(a, b)
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b by IEEE 754, as NumPy and DuckDB have it: infinite or NaN where b is 0, of either sign, taken for +0."""
+    return F.when(b == 0, a * F.lit(math.inf)).otherwise(a / b)
+
+
+def finite(x) -> Column:
+    """x, NULL where it is NaN or infinite."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.when(~F.isnan(x) & (F.abs(x) < math.inf), x)
+
+
 def wrapped(angle: Column) -> Column:
     """The same direction in (-pi, pi]."""
     return F.atan2(F.sin(angle), F.cos(angle))

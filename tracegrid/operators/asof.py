@@ -12,18 +12,20 @@ from pyspark.sql import functions as F
 from tracegrid.operators.ordered import carried_all, joined
 
 
-def looked_up(spine: DataFrame, samples: DataFrame, by: list[str], at: str, time: str, values: list[str], sides: dict[str, str], width: float | None = None) -> DataFrame:
+def looked_up(spine: DataFrame, samples: DataFrame, by: list[str], at: str, time: str, values: list[str], sides: dict[str, str], width: float | None = None, ties: list[str] | None = None) -> DataFrame:
     """The spine with a struct of (time, values) of a sample for each entry of sides: name -> 'prev', 'next' or 'after'.
 
-    prev: the last sample at or before ``at``; next: the first at or after it; after: the first strictly later.
+    prev: the last sample at or before ``at``; next: the first at or after it; after: the first strictly later. ties: columns
+    that order samples of one time; without them any of those may be taken.
     """
     sample = F.struct(F.col(time).cast("double").alias("t"), *[F.col(v) for v in values])
     row = F.struct(*[F.col(c) for c in spine.columns])
     times = samples.where(F.col(time).isNotNull() & ~F.isnan(F.col(time).cast("double")))
+    tied = {f"__tie{i}": F.col(c) for i, c in enumerate(ties or [])}
     both = spine.select(*by, F.col(at).cast("double").alias("__t"), F.lit(1).alias("__kind"), row.alias("__row")).unionByName(
-        times.select(*by, F.col(time).cast("double").alias("__t"), F.lit(0).alias("__kind"), sample.alias("__sample")), allowMissingColumns=True
+        times.select(*by, F.col(time).cast("double").alias("__t"), F.lit(0).alias("__kind"), sample.alias("__sample"), *[c.alias(k) for k, c in tied.items()]), allowMissingColumns=True
     )
-    order = lambda side: [-F.col("__kind")] if side == "next" else [F.col("__kind")]
+    order = lambda side: [-F.col("__kind") if side == "next" else F.col("__kind"), *map(F.col, tied)]
     both = carried_all(both, by, "__t", {f"__{name}": ("__sample", order(side), side != "prev") for name, side in sides.items()}, width)
     known = lambda s: F.when(F.col("__t").isNotNull() & ~F.isnan("__t"), F.col(s))
     return both.where("__kind = 1").select("__row.*", *[known(f"__{name}").alias(name) for name in sides])
@@ -40,12 +42,12 @@ def nearer(prev: Column, next_: Column, at: Column, value: str) -> Column:
     return F.when(at - prev["t"] <= next_["t"] - at, prev[value]).otherwise(next_[value])
 
 
-def interpolated(spine: DataFrame, samples: DataFrame, by: list[str], at: str, time: str, values: list[str], kind: str | dict[str, str] = "linear", boundary: str = "clamp", width: float | None = None) -> DataFrame:
+def interpolated(spine: DataFrame, samples: DataFrame, by: list[str], at: str, time: str, values: list[str], kind: str | dict[str, str] = "linear", boundary: str = "clamp", width: float | None = None, ties: list[str] | None = None) -> DataFrame:
     """The spine with ``values`` read off the samples. kind: linear or nearest, for all or by value; boundary: clamp, zero or null."""
     kinds = kind if isinstance(kind, dict) else dict.fromkeys(values, kind)
     if not {kinds[v] for v in values} <= {"linear", "nearest"} or boundary not in ("clamp", "zero", "null"):
         raise ValueError(f"unknown kind {kind!r} or boundary {boundary!r}")
-    met = looked_up(spine, samples, by, at, time, values, {"__p": "prev", "__q": "next"}, width)
+    met = looked_up(spine, samples, by, at, time, values, {"__p": "prev", "__q": "next"}, width, ties)
     p, q = F.col("__p"), F.col("__q")
 
     def value(v: str) -> Column:

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracegrid.functions.columns import angular_size
+from tracegrid.functions.columns import angular_size, finite
 from tracegrid.operators import scene
 from tracegrid.operators.asof import interpolated
 from tracegrid.operators.factors import non_negative, row_weights, start
@@ -30,9 +30,9 @@ from tracegrid.operators.stats import quantiles
 def motion_features(side: DataFrame, by: list[str], pos: str, time: str, size: float | None = None, sigma: float = 2.0, nearest: str | None = None) -> DataFrame:
     """(by, pos, time, d_lat, d_vert, d_dist[, d_ang_size], motion_mag, motion_dir_sin, motion_dir_cos) from presence, lat, vert and dist.
 
-    Gradients per second of the smoothed place; 0 where nothing is in view. size: half-width for the growth of the angle
-    it is seen under. nearest: the column with the object in view, if the place is that of the nearest one; then values
-    within ceil(2 sigma) + 1 rows of a change of the object are NULL, as those are jumps and not motion.
+    Gradients per second of the smoothed place, not finite at rows of one time; 0 where nothing is in view. size: half-width
+    for the growth of the angle it is seen under. nearest: the column with the object in view, if the place is that of the
+    nearest one; then values within ceil(2 sigma) + 1 rows of a change of the object are NULL, as those are jumps and not motion.
     """
     rows = side.na.fill(0.0, ["lat", "vert", "dist", "presence"])
     rows = smoothed(rows, by, pos, {"__lat": "lat", "__vert": "vert", "__dist": "dist"}, sigma, "even", "nearest")
@@ -56,18 +56,18 @@ def motion_features(side: DataFrame, by: list[str], pos: str, time: str, size: f
 
 
 def component_slopes(scored: DataFrame, by: list[str], pos: str, time: str, vector: str, k: int, sigma: float = 2.0) -> DataFrame:
-    """(by, pos, time, vector): the gradient per second of each smoothed component, place by place."""
+    """(by, pos, time, vector): the gradient per second of each smoothed component, place by place; NULL places where it isn't finite."""
     wide = scored.select(*by, pos, time, *[F.get(vector, i).alias(f"__c{i}") for i in range(k)])
     wide = smoothed(wide, by, pos, {f"__s{i}": f"__c{i}" for i in range(k)}, sigma, "even", "nearest")
     for i in range(k):
         wide = gradient(wide, by, pos, f"__s{i}", f"__g{i}", time)
-    return wide.select(*by, pos, time, F.array(*[f"__g{i}" for i in range(k)]).alias(vector))
+    return wide.select(*by, pos, time, F.array(*[finite(f"__g{i}") for i in range(k)]).alias(vector))
 
 
-def on_clock(rows: DataFrame, frames: DataFrame, by: list[str], time: str, at: str, steps: list[str], lines: list[str], bucket: float | None = None) -> DataFrame:
-    """The frames with ``steps`` from the nearest sample and ``lines`` interpolated; ends are held."""
-    out = interpolated(frames, rows, by, at, time, steps, "nearest", "clamp", bucket) if steps else frames
-    return interpolated(out, rows, by, at, time, lines, "linear", "clamp", bucket) if lines else out
+def on_clock(rows: DataFrame, frames: DataFrame, by: list[str], time: str, at: str, steps: list[str], lines: list[str], bucket: float | None = None, ties: list[str] | None = None) -> DataFrame:
+    """The frames with ``steps`` from the nearest sample and ``lines`` interpolated; ends are held. ties: the order of samples of one time."""
+    out = interpolated(frames, rows, by, at, time, steps, "nearest", "clamp", bucket, ties) if steps else frames
+    return interpolated(out, rows, by, at, time, lines, "linear", "clamp", bucket, ties) if lines else out
 
 
 def feature_blocks(views: dict[str, DataFrame], beh: DataFrame, frames: DataFrame, by: list[str], pos: str, time: str, at: str, size: float, clip: float, mode: str = "angular", collapse: str = "salience_mean", pictures: DataFrame | None = None, n_pix: int = 20, pix_slopes: float | None = None, motion: float | None = None, objects: list[int] | None = None, self_moving: float | None = None, counts: list[str] | None = None, count_sigma: float = 0.0, bucket: float | None = None) -> dict[str, DataFrame]:
@@ -75,7 +75,8 @@ def feature_blocks(views: dict[str, DataFrame], beh: DataFrame, frames: DataFram
 
     views: side -> (by, pos, obj_id, lat, vert, dist) of what its screen shows. beh: (by, pos, time[, x, z, heading][,
     counts]) on the behaviour's clock, frames: (by, at) on the other. pictures: (by, pos, v), for n_pix components; the
-    floats are the smoothing of what they turn on.
+    floats are the smoothing of what they turn on. Slopes at rows of one time aren't finite, and are NULL in the blocks, as
+    is what is read off between such a row and another; of rows of one time a frame has the last before and the first behind it.
     """
     key, clock = [*by, pos], beh.select(*by, pos, time)
     blocks: dict[str, DataFrame] = {}
@@ -84,7 +85,7 @@ def feature_blocks(views: dict[str, DataFrame], beh: DataFrame, frames: DataFram
         side = settled(joined(scene.side_features(views[tag], clock, key, size, clip, collapse, mode), clock, key))
         own = [c for c in side.columns if c not in (*key, time)]
         rest = [c for c in own if c != "presence"]
-        met = on_clock(side, frames, by, time, at, ["presence"], rest, bucket)
+        met = on_clock(side, frames, by, time, at, ["presence"], rest, bucket, [pos])
         there = F.col("presence") > 0
         met = met.withColumns({c: F.when(there, F.col(c)) for c in rest})
         agg = _beside(agg, met, by, at, own, tag)
@@ -95,15 +96,17 @@ def feature_blocks(views: dict[str, DataFrame], beh: DataFrame, frames: DataFram
                 raw, near = joined(raw, views[tag].groupBy(*key).agg(F.min_by("obj_id", F.struct("dist", "obj_id")).alias("__obj")), key), "__obj"
             moving = motion_features(raw, by, pos, time, size if mode.startswith("angular") else None, motion, near)
             names = [c for c in moving.columns if c not in (*key, time)]
-            seen = on_clock(side, frames, by, time, at, ["presence"], [], bucket).select(*by, at, "presence")
-            got = joined(on_clock(moving, frames, by, time, at, [], names, bucket), seen, [*by, at])
+            known = finite("motion_mag").isNotNull()  # infinite slopes would have a direction still
+            moving = moving.withColumns({c: F.when(known, finite(c)) for c in names})
+            seen = on_clock(side, frames, by, time, at, ["presence"], [], bucket, [pos]).select(*by, at, "presence")
+            got = joined(on_clock(moving, frames, by, time, at, [], names, bucket, [pos]), seen, [*by, at])
             slopes = _beside(slopes, got.withColumns({c: F.when(F.col("presence") > 0, F.col(c)) for c in names}), by, at, names, tag)
         if objects:
             shown = views[tag].withColumn("presence", F.lit(1.0)).withColumn("ang_size", angular_size(size, F.col("dist")))
             values = ["presence", "lat", "vert", "ang_size" if mode.startswith("angular") else "dist"]
             wide = joined(scene.slots(shown, clock, key, objects, values), clock, key)
             steps, lines = [f"o{o}_presence" for o in objects], [f"o{o}_{v}" for o in objects for v in values[1:]]
-            got = on_clock(wide, frames, by, time, at, steps, lines, bucket)
+            got = on_clock(wide, frames, by, time, at, steps, lines, bucket, [pos])
             got = got.withColumns({f"o{o}_{v}": F.when(F.col(f"o{o}_presence") > 0, F.col(f"o{o}_{v}")) for o in objects for v in values[1:]})
             per_obj = _beside(per_obj, got, by, at, [*steps, *lines], tag)
     blocks["agg"] = agg
@@ -115,14 +118,15 @@ def feature_blocks(views: dict[str, DataFrame], beh: DataFrame, frames: DataFram
         found = principal(pictures, "v", n_pix)
         scored = settled(joined(scores(pictures, "v", found, key, n_pix).withColumnRenamed("scores", "v"), clock, key))
         k = len(found.loadings)
-        blocks["pix"] = read_off(scored, frames, by, time, at, "v", k, "linear", bucket)
+        blocks["pix"] = read_off(scored, frames, by, time, at, "v", k, "linear", bucket, [pos])
         if pix_slopes is not None:
-            blocks["pix_mot"] = read_off(component_slopes(scored, by, pos, time, "v", k, pix_slopes), frames, by, time, at, "v", k, "linear", bucket)
+            turning = read_off(component_slopes(scored, by, pos, time, "v", k, pix_slopes), frames, by, time, at, "v", k, "linear", bucket, [pos])
+            blocks["pix_mot"] = turning.withColumn("v", F.when(~F.exists("v", lambda x: x.isNull()), F.col("v")))
     if self_moving is not None:
         moved = self_motion(beh, by, pos, self_moving).select(*key, time, "speed", "yaw_rate")
-        blocks["self_mot"] = on_clock(moved, frames, by, time, at, [], ["speed", "yaw_rate"], bucket)
+        blocks["self_mot"] = on_clock(moved, frames, by, time, at, [], ["speed", "yaw_rate"], bucket, [pos])
     if counts:
-        blocks["beh"] = on_clock(event_features(beh.select(*key, time, *counts), by, pos, counts, count_sigma), frames, by, time, at, counts, [], bucket)
+        blocks["beh"] = on_clock(event_features(beh.select(*key, time, *counts), by, pos, counts, count_sigma), frames, by, time, at, counts, [], bucket, [pos])
     return blocks
 
 

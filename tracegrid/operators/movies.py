@@ -263,8 +263,8 @@ def visual_blocks(movies: dict[str, DataFrame], times: DataFrame, frames: DataFr
     return out
 
 
-def read_off(rows: DataFrame, frames: DataFrame, key: list[str], time: str, at: str, vector: str, size: int, kind: str = "linear", bucket: float | None = None) -> DataFrame:
+def read_off(rows: DataFrame, frames: DataFrame, key: list[str], time: str, at: str, vector: str, size: int, kind: str = "linear", bucket: float | None = None, ties: list[str] | None = None) -> DataFrame:
     """Vectors of a series read off at other times, place by place, ends held; nothing before there is a sample."""
-    wide = rows.select(*key, time, *[F.get(vector, k).alias(f"__x{k}") for k in range(size)])
-    met = interpolated(frames, wide, key, at, time, [f"__x{k}" for k in range(size)], kind, "clamp", bucket)
+    wide = rows.select(*key, time, *(ties or []), *[F.get(vector, k).alias(f"__x{k}") for k in range(size)])
+    met = interpolated(frames, wide, key, at, time, [f"__x{k}" for k in range(size)], kind, "clamp", bucket, ties)
     return met.select(*frames.columns, F.array(*[f"__x{k}" for k in range(size)]).alias(vector))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tracegrid.functions.columns import quotient
 from tracegrid.operators.ordered import CHUNK, bordered, joined, running, windowed
 
 #: Half-widths of the three Gaussian kernels, in frames.
@@ -157,14 +158,17 @@ def rectified_slope(df: DataFrame, by: list[str], pos: str, value: str, out: str
 
 
 def gradient(df: DataFrame, by: list[str], pos: str, value: str, out: str, time: str | None = None, chunk: int = CHUNK) -> DataFrame:
-    """Central differences, of second order for uneven times as well; one-sided at both ends."""
+    """Central differences, of second order for uneven times as well; one-sided at both ends.
+
+    A row at the time of one that it is compared with has no finite slope: infinite or NaN, as the division by 0 gives it.
+    """
 
     def made(w) -> Column:
         y, a, b = F.col(value), F.lag(value).over(w), F.lead(value).over(w)
         hs = F.col(time) - F.lag(time).over(w) if time else F.when(a.isNotNull(), 1.0)
         hd = F.lead(time).over(w) - F.col(time) if time else F.when(b.isNotNull(), 1.0)
-        inner = (hs * hs * b + (hd * hd - hs * hs) * y - hd * hd * a) / (hs * hd * (hd + hs))
-        return F.when(hs.isNull(), (b - y) / hd).when(hd.isNull(), (y - a) / hs).otherwise(inner)
+        inner = quotient(hs * hs * b + (hd * hd - hs * hs) * y - hd * hd * a, hs * hd * (hd + hs))
+        return F.when(hs.isNull(), quotient(b - y, hd)).when(hd.isNull(), quotient(y - a, hs)).otherwise(inner)
 
     return windowed(df, by, pos, {out: made}, 1, 1, chunk)
 
